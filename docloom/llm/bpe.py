@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import most_frequent, staged
 
 #: Most distinct words in the table; the other words are merged in the task that meets them.
 TABLE = 150_000
@@ -135,17 +135,6 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(counts: DataFrame, most: int = TABLE) -> DataFrame:
-    """At most ``most`` words: those above the smallest count that leaves no more; the count is found from how many words have each."""
-    total, least = 0, None
-    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(most + 1).toLocalIterator():
-        total += r["words"]
-        if total > most:
-            break
-        least = r["n"]
-    return counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
-
-
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = TABLE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, ids array<int>.
 
@@ -159,7 +148,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = T
     """
     spark = docs.sparkSession
     counts = staged(word_counts(docs, pattern).where(F.octet_length("word") <= LONGEST), "words")
-    folded = frequent_words(counts, most).select(
+    folded = most_frequent(counts, most).select(
         "word", fold_merges(F.col("word").cast("binary"), literal_ranks(ranks)).alias("ids")
     )
     known = spark.sparkContext.broadcast(({r["word"]: tuple(r["ids"]) for r in folded.collect()}, ranks))

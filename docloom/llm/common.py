@@ -77,3 +77,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not changed:
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of ``counts`` (n long, one row per key): those not below the smallest count that leaves no more.
+
+    Only how many keys have each count reaches the driver, until ``most`` is passed.
+    """
+    total, least = 0, None
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("keys")).orderBy(F.desc("n"))
+    for r in sizes.limit(most + 1).toLocalIterator():
+        total += r["keys"]
+        if total > most:
+            break
+        least = r["n"]
+    return counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
