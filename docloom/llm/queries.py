@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .exact_dedup import exact_dedup
+from .jaccard import jaccard_components
 from .mixing import mix_sources
 from .url_filter import url_verdicts
 
@@ -31,6 +32,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def token_digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Number and digest of the ids, and digest of the decoded bytes."""
     return bpe.decode(encoded, ranks).select(
@@ -60,6 +65,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_jaccard": op3_jaccard,
     "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_url_filter": op9_url_filter,
