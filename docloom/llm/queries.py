@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .mixing import mix_sources
 from .url_filter import url_verdicts
+from .vector_dedup import vector_components
 
 #: (verdict, host, path); the longest that fits a url wins.
 URL_RULES = [
@@ -63,12 +64,17 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"), URL_RULES, listed)
 
 
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_components(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_jaccard": op3_jaccard,
     "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_url_filter": op9_url_filter,
+    "op10_vector_dedup": op10_vector_dedup,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
