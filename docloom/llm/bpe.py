@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import most_frequent, staged
 
 #: Most distinct words in the table; the other words are merged in the task that meets them.
-TABLE = 150_000
+TABLE = 100_000
 #: Longest word of the table in bytes: the fold's work grows with the square of a word's length.
 LONGEST = 64
 #: Distinct words that a Python worker remembers at once.
@@ -151,12 +151,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = T
     folded = most_frequent(counts, most).select(
         "word", fold_merges(F.col("word").cast("binary"), literal_ranks(ranks)).alias("ids")
     )
-    known = spark.sparkContext.broadcast(({r["word"]: tuple(r["ids"]) for r in folded.collect()}, ranks))
+    known = spark.sparkContext.broadcast((folded.toArrow(), ranks))  # Arrow: rows of Python objects would fill the driver
 
     def assemble(batches):
         import regex
 
-        table, rank = known.value
+        rows, rank = known.value
+        table = {w: tuple(ids) for b in rows.to_batches() for w, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
 
         class Memo(dict):
             def __missing__(self, word):
