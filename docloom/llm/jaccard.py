@@ -32,7 +32,7 @@ class Shingler:
         if len(self.hash_of) > self.memo:
             self.hash_of.clear()
         words, known = (text or "").encode("utf-8", "surrogatepass").lower().split(), self.hash_of
-        for w in set(words) - known.keys():
+        for w in set(words).difference(known):
             known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
