@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from . import bpe
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
+from .lang_crf import fit_languages, label_languages
 from .mixing import mix_sources
+from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import url_verdicts
 from .vector_dedup import vector_components
 
@@ -33,10 +35,24 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = label_languages(docs, fit_languages(docs))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_windows", "worst_word")
+
+
 def token_digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Number and digest of the ids, and digest of the decoded bytes."""
     return bpe.decode(encoded, ranks).select(
@@ -70,7 +86,9 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_language": op2_language,
     "op3_jaccard": op3_jaccard,
+    "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_url_filter": op9_url_filter,
