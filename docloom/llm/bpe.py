@@ -91,10 +91,21 @@ def fold_merges(word: Column, ranks: tuple[Column, int]) -> Column:
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word by ranked merges over a linked list: n log n steps, for words that are not in the table."""
+    """Ids of one word by ranked merges, for words that are not in the table: n log n steps where n is large."""
     if word in ranks:
         return [ranks[word]]
-    n = len(word)
+    n, rank = len(word), ranks.get
+    if n <= LONGEST:
+        cut = list(range(n + 1))
+        low = [rank(word[i : i + 2], NO_RANK) for i in range(n - 1)]
+        while low and (best := min(low)) < NO_RANK:
+            i = low.index(best)
+            del cut[i + 1], low[i]
+            if i:
+                low[i - 1] = rank(word[cut[i - 1] : cut[i + 1]], NO_RANK)
+            if i < len(low):
+                low[i] = rank(word[cut[i] : cut[i + 2]], NO_RANK)
+        return [ranks[word[a:b]] for a, b in zip(cut, cut[1:], strict=False)]
     piece = [word[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, i, word[i : i + 2]) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
