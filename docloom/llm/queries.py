@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
+from .cross_entropy import fit_models, score_difference
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .jaccard import jaccard_components
 from .lang_crf import fit_languages, label_languages
 from .mixing import mix_sources
@@ -75,6 +77,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return score_difference(docs, fit_models(docs, good))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(h,) for h in BAD_HOSTS], "key string")
     return url_verdicts(table(spark, sf_dir, "pages"), URL_RULES, listed)
@@ -91,6 +103,8 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_html_text": op7_html_text,
+    "op8_lm_score": op8_lm_score,
     "op9_url_filter": op9_url_filter,
     "op10_vector_dedup": op10_vector_dedup,
 }
