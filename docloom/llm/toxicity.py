@@ -288,6 +288,36 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXI
     return train([r["text"] or "" for r in rows], [int(r["toxic"] > 0) for r in rows], seed)
 
 
+def _scored(batches, net: Network | float):
+    """Parts of the batches with score, number of windows and place of the highest window of each text."""
+    table = WordTable(net.gates, 6 * HIDDEN) if not isinstance(net, float) else None
+    for batch in batches:
+        for s in range(0, batch.num_rows, 256):
+            part = batch.slice(s, 256)
+            words = [split_words(t) for t in part.column("text").to_pylist()]
+            _, _, owner = windows([len(w) for w in words])
+            count = np.bincount(owner, minlength=len(words))
+            if table is None:
+                yield part, np.full(len(words), net), count, np.zeros(len(words), np.int64)
+                continue
+            logit, _ = _logits(net, words, table)
+            best = np.lexsort((np.arange(len(logit)), -logit, owner))
+            best = best[np.r_[True, owner[best][1:] != owner[best][:-1]]]
+            score = sigmoid(net.scale[0] * logit[best].astype(np.float64) + net.scale[1])
+            yield part, score, count, (best - (np.cumsum(count) - count)) * STRIDE
+
+
+def reject_toxic(docs: DataFrame, model: Network | float) -> DataFrame:
+    """The rows of ``docs`` (text, and any others) whose score is below 0.5, unchanged; edge cases as for ``score_toxicity``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for part, score, _, _ in _scored(batches, shared.value):
+            yield part.filter(pa.array(score < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, model: Network | float) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, score, predicted, n_windows, worst_word (where the highest
     window begins, counted in words).
@@ -300,26 +330,11 @@ def score_toxicity(docs: DataFrame, model: Network | float) -> DataFrame:
     names = ["doc_id", "score", "predicted", "n_windows", "worst_word"]
 
     def run(batches):
-        net = shared.value
-        table = WordTable(net.gates, 6 * HIDDEN) if not isinstance(net, float) else None
-        for batch in batches:
-            for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
-                words = [split_words(t) for t in part.column("text").to_pylist()]
-                _, _, owner = windows([len(w) for w in words])
-                count = np.bincount(owner, minlength=len(words))
-                if table is None:
-                    score, worst = np.full(len(words), net), np.zeros(len(words), np.int64)
-                else:
-                    logit, _ = _logits(net, words, table)
-                    best = np.lexsort((np.arange(len(logit)), -logit, owner))
-                    best = best[np.r_[True, owner[best][1:] != owner[best][:-1]]]
-                    score = sigmoid(net.scale[0] * logit[best].astype(np.float64) + net.scale[1])
-                    worst = (best - (np.cumsum(count) - count)) * STRIDE
-                yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(count.astype(np.int64)), pa.array(worst.astype(np.int64))],
-                    names,
-                )
+        for part, score, count, worst in _scored(batches, shared.value):
+            yield pa.record_batch(
+                [part.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(count.astype(np.int64)), pa.array(worst.astype(np.int64))],
+                names,
+            )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, score double, predicted int, n_windows long, worst_word long"
