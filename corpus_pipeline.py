@@ -1,5 +1,80 @@
-"""Placeholder of the corpus pipeline's stages."""
-STAGES = []
+"""A corpus pipeline: toxicity filter, exact and near deduplication, source mixing, tokenizing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docloom.llm import bpe
+from docloom.llm.common import WORD, staged
+from docloom.llm.exact_dedup import exact_dedup, normalised
+from docloom.llm.jaccard import jaccard_components
+from docloom.llm.mixing import mix_sources
+from docloom.llm.queries import token_digests
+from docloom.llm.toxicity import fit_toxicity, reject_toxic
+
+#: The toxicity network can't be written in SQL; tests/llm compares the stages with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network fitted to the labels does not predict toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return reject_toxic(docs, fit_toxicity(docs, labels))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts the one that exact_dedup keeps; of repeated rows of it the first."""
+    keep = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("keep_id"), F.unhex("text_sha256").alias("keep_text"))
+    rows = docs.withColumn("__text", F.unhex(F.sha2(normalised(F.col("text")), 256)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("__text") == F.col("keep_text"))
+    one = Window.partitionBy("doc_id", "__text").orderBy(F.desc_nulls_last(F.length("text")), "text")
+    rows = rows.join(keep, same, "left_semi").withColumn("__nth", F.row_number().over(one))
+    return rows.where("__nth = 1").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by word shingles, directly or through others, the one with the smallest doc_id."""
+    found = jaccard_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("keep_id")).distinct()
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")), "left_semi").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix itself: a row for each time a document is taken whole, and one with the words of a part."""
+    plan = mix_sources(docs).where("taken > 0").select(
+        F.col("doc_id").alias("plan_id"), F.col("size").alias("__size"), "whole", "part_from", "part_to"
+    )
+    plan = plan.dropDuplicates(["plan_id"])
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    ahead = F.slice(words, (F.col("part_from") + 1).cast("int"), (F.least("part_to", "__size") - F.col("part_from")).cast("int"))
+    again = F.slice(words, F.lit(1), F.greatest(F.col("part_to") - F.col("__size"), F.lit(0)).cast("int"))
+    part = F.when(F.col("part_to") > F.col("part_from"), F.array(F.array_join(F.concat(ahead, again), " ")))
+    taken = F.concat(F.array_repeat("text", F.col("whole").cast("int")), F.coalesce(part, F.array().cast("array<string>")))
+    rows = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("plan_id"))).withColumn("__taken", F.explode(taken))
+    columns = {"text": F.col("__taken"), "n_chars": F.length("__taken").cast("long")}
+    return rows.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digest of each document's ids, and digest of the text decoded from them."""
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return token_digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix),
+    ("byte-level BPE encoding and decoding", tokenize),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``, each written as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)
