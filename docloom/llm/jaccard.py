@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, most_frequent, staged
+from .common import connected_components, drop_staged, most_frequent, staged
 
 #: Shingles kept as frequent, at most; they come last in every set's order, so unlike sets that share them stay apart.
 HOT = 100_000
@@ -144,7 +144,7 @@ def _may_link(pos_a, n_a, pos_b, n_b, percent):
 
 
 def _list_pairs(percent: int, small: int):
-    """Candidate pairs of short lists, hub pairs of long ones (kind 0), and the entries of long lists (kind 1).
+    """Candidate pairs of short lists, hub pairs of long ones (kinds 0 and 2), and the entries of long lists (kind 1).
 
     Rows come sorted by (token, place, key): a list is read in blocks by
     position and never held whole. The first entry, the set with the fewest
@@ -157,14 +157,22 @@ def _list_pairs(percent: int, small: int):
         full = lambda x: x if isinstance(x, np.ndarray) else np.full(n, x, np.int64)
         return pa.record_batch([pa.array(full(x)) for x in (kind, token, place, a, b)], names)
 
+    def pairs(pa_, ka, pb, kb):
+        """Pairs with the smaller name first, and the sizes of both sets in the places of token and place. Kind 2: this
+        can't be the first shingle that they share and still link; such meetings only count."""
+        na, nb = pa_ & 0xFFFFFFFF, pb & 0xFFFFFFFF
+        by_place = _may_link(pa_ >> 32, na, pb >> 32, nb, percent)
+        ok = (ka != kb) & _may_link(0, na, 0, nb, percent)
+        na, nb, ka, kb, by_place = (np.broadcast_to(v, ok.shape)[ok] for v in (na, nb, ka, kb, by_place))
+        first = ka < kb
+        return out(np.where(by_place, 0, 2), np.where(first, na, nb), np.where(first, nb, na), np.minimum(ka, kb), np.maximum(ka, kb))
+
     def short(token, place, key, start, size):
         """All pairs of the lists of one size, at once."""
         i, j = np.triu_indices(size, 1)
         at = start[:, None]
         a, b = (at + i).ravel(), (at + j).ravel()
-        ok = (key[a] != key[b]) & _may_link(place[a] >> 32, place[a] & 0xFFFFFFFF, place[b] >> 32, place[b] & 0xFFFFFFFF, percent)
-        a, b = key[a[ok]], key[b[ok]]
-        return out(0, 0, 0, np.minimum(a, b), np.maximum(a, b))
+        return pairs(place[a], key[a], place[b], key[b])
 
     def run(batches):
         rest, hub = None, None  # rest: rows of a list that may go on; hub: (token, place, key) of a long list under way
@@ -199,8 +207,7 @@ def _list_pairs(percent: int, small: int):
                 hub_box[0] = (t, p[0], k[0])
             _, hp, hk = hub_box[0]
             yield out(1, t, p, k, hk)
-            ok = (k != hk) & _may_link(hp >> 32, hp & 0xFFFFFFFF, p >> 32, p & 0xFFFFFFFF, percent)
-            yield out(0, 0, 0, np.minimum(k[ok], hk), np.maximum(k[ok], hk))
+            yield pairs(p, k, hp, hk)
 
     return run
 
@@ -235,6 +242,33 @@ def _read_sets(docs: DataFrame, wanted: DataFrame, k: int, bits: int) -> DataFra
     return picked.select("text").mapInArrow(run, "key long, members binary")
 
 
+def _sets_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, bits: int) -> DataFrame:
+    """key and set of every set in ``pairs`` (a, b), read from one text each."""
+    touched = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    wanted = touched.join(nodes, "key").select("key", F.coalesce("rep", F.lit(-(1 << 63))).alias("doc_id"))
+    wanted = staged(wanted, "wanted")
+    return staged(_read_sets(docs, wanted, k, bits).join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
+
+
+def _enough_common(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may reach the threshold by the number of lists they met in.
+
+    Of two prefixes, the one that ends first in the common order is known whole
+    to the other: what the sets share is at most the shingles that both
+    prefixes hold, and the rest of the first set. Pairs may have met unseen in
+    long lists; as many as either set has of those are allowed for.
+    """
+    met = pairs.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("c"), F.max("token").alias("na"), F.max("place").alias("nb"), F.min("kind").alias("kind")
+    ).where("kind = 0")
+    long = entries.groupBy("key").agg(F.count(F.lit(1)).alias("long"))
+    met = met.join(long.select(F.col("key").alias("a"), F.col("long").alias("la")), "a", "left")
+    met = met.join(long.select(F.col("key").alias("b"), F.col("long").alias("lb")), "b", "left")
+    unseen = F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
+    rest = F.floor((percent * F.greatest("na", "nb") + 99) / 100) - 1
+    return met.where((100 + percent) * (F.col("c") + unseen + rest) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def _verify(batches):
     """Intersection sizes of pairs of sets."""
     for batch in batches:
@@ -280,32 +314,33 @@ def jaccard_components(
     compared with the other components, some at a time, except where the
     distances to the hub exclude a pair.
     """
-    rows = staged(_prefixes(docs, k, _frequent(docs, k, hot), percent), "prefixes")
+    prefixes = staged(_prefixes(docs, k, _frequent(docs, k, hot), percent), "prefixes")
+    rows = staged(prefixes.select("doc_id", "key", "n"), "rows")
     full = rows.where("key is not null")
     nodes = staged(
         full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "nodes"
     )
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = full.select("key", "n", "prefix").mapInArrow(_postings, "token long, place long, key long")
+    index = prefixes.where("key is not null").select("key", "n", "prefix").mapInArrow(_postings, "token long, place long, key long")
     lists = index.repartition(parts, "token").sortWithinPartitions("token", "place", "key")
     found = staged(
         lists.mapInArrow(_list_pairs(percent, small), "kind long, token long, place long, a long, b long"), "found"
     )
-    pairs = staged(found.where("kind = 0").select("a", "b").distinct(), "pairs")
+    drop_staged(prefixes)
     entries = staged(
         found.where("kind = 1").select("token", F.col("a").alias("key"), F.col("b").alias("hub"), "place").distinct(), "entries"
     )
-    touched = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(entries.select("key")).distinct()
-    wanted = touched.join(nodes, "key").select(F.coalesce("rep", F.lit(-(1 << 63))).alias("doc_id"))
-    sets = staged(_read_sets(docs, wanted, k, bits).dropDuplicates(["key"]), "sets")
-    checked = staged(_links(pairs, sets, percent), "links")
+    pairs = staged(_enough_common(found.where("kind <> 1"), entries, percent), "pairs")
+    drop_staged(found)
+    checked = staged(_links(pairs, _sets_of(docs, pairs, nodes, k, bits), percent), "links")
     edges = checked.where("linked").select("a", "b")
     labels = connected_components(edges)
     known, asked = checked, None
     while (turn := _askers(entries, labels, known, asked, small)) is not None:
         live, askers = turn
-        again = staged(_links(_cross_pairs(live, askers, known, percent), sets, percent), "links")
+        pairs = _cross_pairs(live, askers, known, percent)
+        again = staged(_links(pairs, _sets_of(docs, pairs, nodes, k, bits), percent), "links")
         known = known.unionByName(again)
         edges = edges.unionByName(again.where("linked").select("a", "b"))
         labels = connected_components(edges)
