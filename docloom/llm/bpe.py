@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import most_frequent, staged
+from .common import most_frequent, small_batches, staged
 
 #: Most distinct words in the table; the other words are merged in the task that meets them.
 TABLE = 100_000
@@ -143,7 +143,7 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
                     seen.clear()
         yield flush()
 
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return small_batches(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = TABLE) -> DataFrame:
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = T
                     [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(assemble, "doc_id long, ids array<int>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

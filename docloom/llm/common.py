@@ -47,6 +47,14 @@ def drop_staged(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """``df``, whose session hands Python workers at most so many rows at once: texts may be long, and a worker holds a batch."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node of ``edges`` (a long, b long).
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import most_frequent, staged
+from .common import most_frequent, small_batches, staged
 
 #: Words of the vocabulary at most (the others are one unknown word), cells that bigrams share, weight of the unigrams.
 VOCABULARY = 30_000
@@ -49,7 +49,7 @@ def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
                     seen.clear()
         yield flush()
 
-    counts = staged(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = staged(small_batches(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     table = most_frequent(counts, most).toArrow()
     pairs = sorted(zip(table["n"].to_pylist(), table["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
     return {w: i for i, (_, w) in enumerate(pairs)}
@@ -153,6 +153,6 @@ def score_difference(docs: DataFrame, models, cells: int = CELLS) -> DataFrame:
                 )
                 yield pa.record_batch([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b), pa.array(a - b)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_tokens long, ce_target double, ce_background double, ce_diff double"
     )

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .url_filter import url_host
 
 #: Tokens of a repeated run at least, distinct pages it must stand on, part of a block's tokens such runs must cover.
@@ -232,7 +233,7 @@ def extract_text(pages: DataFrame, run: int = RUN, least: int = PAGES, shard: in
     repeated rows give repeated rows; pages are read whole, however long; other
     columns are ignored; no rows give no rows.
     """
-    rows = pages.select("page_id", "url", "html")
+    rows = small_batches(pages).select("page_id", "url", "html")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     head = f"page_id {kinds['page_id']}, url {kinds['url']}"
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_staged, most_frequent, staged
+from .common import connected_components, drop_staged, most_frequent, small_batches, staged
 
 #: Shingles kept as frequent, at most; they come last in every set's order, so unlike sets that share them stay apart.
 HOT = 100_000
@@ -80,7 +80,7 @@ def _frequent(docs: DataFrame, k: int, most: int) -> list[tuple[int, int]]:
         if held:
             yield flush()
 
-    counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = small_batches(docs).select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return [(r["token"], r["n"]) for r in most_frequent(staged(counts.where("n > 8"), "hot"), most).collect()]
 
 

@@ -10,6 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .word_features import WordTable, affix_slots, ngram_slots
 
 #: Buckets of the features; labelled rows and words of each (spread over the text) that are learned from at most.
@@ -232,8 +233,8 @@ def label_languages(docs: DataFrame, field: Field | None) -> DataFrame:
 
         table = WordTable(make, k + 1)
         for batch in batches:
-            for s in range(0, batch.num_rows, 2048):
-                part = batch.slice(s, 2048)
+            for s in range(0, batch.num_rows, 1024):
+                part = batch.slice(s, 1024)
                 words = [letter_words(t) for t in part.column("text").to_pylist()]
                 rows = table.rows(words)
                 owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
@@ -257,6 +258,6 @@ def label_languages(docs: DataFrame, field: Field | None) -> DataFrame:
                     names,
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, lang_pred string, score double, n_words long, n_switches long"
     )

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .word_features import WordTable, ngram_slots
 
 #: Words of a window and from one window to the next: every word but those at the ends lies in two windows.
@@ -261,8 +262,8 @@ def _logits(net: Network, words: list[list[str]], table: WordTable | None = None
     rows = np.append(table.rows(words), 0)  # row 0 where a window has no word
     at, real, owner = windows([len(w) for w in words])
     out = np.empty(len(at), np.float32)
-    for s in range(0, len(at), 4096):
-        out[s : s + 4096] = net.run(table.table[rows[at[s : s + 4096]]], real[s : s + 4096])
+    for s in range(0, len(at), 2048):
+        out[s : s + 2048] = net.run(table.table[rows[at[s : s + 2048]]], real[s : s + 2048])
     return out, owner
 
 
@@ -292,8 +293,8 @@ def _scored(batches, net: Network | float):
     """Parts of the batches with score, number of windows and place of the highest window of each text."""
     table = WordTable(net.gates, 6 * HIDDEN) if not isinstance(net, float) else None
     for batch in batches:
-        for s in range(0, batch.num_rows, 256):
-            part = batch.slice(s, 256)
+        for s in range(0, batch.num_rows, 64):
+            part = batch.slice(s, 64)
             words = [split_words(t) for t in part.column("text").to_pylist()]
             _, _, owner = windows([len(w) for w in words])
             count = np.bincount(owner, minlength=len(words))
@@ -315,7 +316,7 @@ def reject_toxic(docs: DataFrame, model: Network | float) -> DataFrame:
         for part, score, _, _ in _scored(batches, shared.value):
             yield part.filter(pa.array(score < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def score_toxicity(docs: DataFrame, model: Network | float) -> DataFrame:
@@ -336,6 +337,6 @@ def score_toxicity(docs: DataFrame, model: Network | float) -> DataFrame:
                 names,
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, score double, predicted int, n_windows long, worst_word long"
     )

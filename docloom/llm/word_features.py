@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 
 #: Bytes of a word that features see: a longer word is its first HEAD and last TAIL bytes.
@@ -56,7 +58,7 @@ def affix_slots(words: list[str], sizes: tuple[int, ...], buckets: int) -> np.nd
 class WordTable:
     """Rows of a float table by word, made for new words in bulk; row 0 stands for none. Holds ``most`` words."""
 
-    def __init__(self, make, width: int, most: int = 200_000):
+    def __init__(self, make, width: int, most: int = 100_000):
         self.make, self.most = make, most
         self.table = np.zeros((1024, width), np.float32)
         self.place: dict[str, int] = {}
@@ -66,8 +68,8 @@ class WordTable:
         new = set()
         for t in texts:
             new.update(t)
-        if len(self.place) + len(new) > self.most:
-            self.place.clear()
+        if len(self.place) + len(new) > self.most:  # the words met first are the frequent ones
+            self.place = dict(islice(self.place.items(), self.most // 2))
         new = list(new.difference(self.place))
         need = len(self.place) + len(new) + 1
         if need > len(self.table):
