@@ -334,18 +334,18 @@ def jaccard_components(
     pairs = staged(_enough_common(found.where("kind <> 1"), entries, percent), "pairs")
     drop_staged(found)
     checked = staged(_links(pairs, _sets_of(docs, pairs, nodes, k, bits), percent), "links")
-    edges = checked.where("linked").select("a", "b")
-    labels = connected_components(edges)
+    labels = connected_components(checked.where("linked").select("a", "b"))
     known, asked = checked, None
-    while (turn := _askers(entries, labels, known, asked, small)) is not None:
+    while (turn := _askers(entries, labels, known, asked, 16 * small)) is not None:
         live, askers = turn
         pairs = _cross_pairs(live, askers, known, percent)
-        again = staged(_links(pairs, _sets_of(docs, pairs, nodes, k, bits), percent), "links")
-        known = known.unionByName(again)
-        edges = edges.unionByName(again.where("linked").select("a", "b"))
-        labels = connected_components(edges)
+        if pairs.limit(1).count():
+            again = staged(_links(pairs, _sets_of(docs, pairs, nodes, k, bits), percent), "links")
+            known = staged(known.unionByName(again), "links")
+            if again.where("linked").limit(1).count():
+                labels = connected_components(known.where("linked").select("a", "b"))
         now = askers.select("token", "key")
-        asked = now if asked is None else asked.unionByName(now)
+        asked = now if asked is None else staged(asked.unionByName(now), "asked")
     named = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")
     )
@@ -361,9 +361,9 @@ def jaccard_components(
 
 
 def _askers(
-    entries: DataFrame, labels: DataFrame, known: DataFrame, asked: DataFrame | None, small: int
+    entries: DataFrame, labels: DataFrame, known: DataFrame, asked: DataFrame | None, most: int
 ) -> tuple[DataFrame, DataFrame] | None:
-    """The entries of long lists that still span several components, and of each list up to ``small`` sets outside its
+    """The entries of long lists that still span several components, and of each list up to ``most`` sets outside its
     largest component that have not met the others; None when no list has any."""
     named = entries.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")
@@ -376,7 +376,7 @@ def _askers(
     if asked is not None:
         waiting = waiting.join(asked, ["token", "key"], "left_anti")
     turn = Window.partitionBy("token").orderBy("place", "key")
-    chosen = waiting.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= small).select("token", "key")
+    chosen = waiting.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= most).select("token", "key")
     chosen = staged(chosen, "asking")
     if not chosen.limit(1).count():
         return None
