@@ -7,6 +7,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_OBJECT = 9_999_999_999
 MAX_GENERATION = 65_534
@@ -43,7 +44,7 @@ def _per_byte(b: Column, table: list[str]) -> Column:
     code, lut = F.hex(b), F.array(*[F.lit(x) for x in table])
     at = F.sequence(F.lit(1), F.greatest(F.octet_length(b), F.lit(1)))
     text = F.array_join(F.transform(at, lambda i: F.get(lut, F.conv(F.substring(code, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))), "")
-    return F.when(F.octet_length(b) == 0, F.lit("")).otherwise(text)
+    return F.when(F.octet_length(b) == 0, F.lit("")).when(b.isNotNull(), text)
 
 
 def object_number(v: Column) -> Column:
@@ -93,7 +94,7 @@ def optional_text(s: Column, version: Column) -> Column:
     return F.when(version.isin("1.0", "1.1"), literal_string(ascii_text_string(s))).otherwise(hex_string(text_string(s)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _plain_decimal(v: pd.Series) -> pd.Series:
     """Shortest digits that read back as the same double, without an exponent. Python: Java's digits may be longer."""
     return v.map(lambda x: None if pd.isna(x) or x in (float("inf"), float("-inf")) else format(Decimal(repr(float(x))), "f"))
@@ -254,12 +255,12 @@ def slug_of(s: str | None) -> str:
     return re.sub(r"^-|-$", "", text)[:100] or "pdf"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def slug(s: pd.Series) -> pd.Series:
     return s.map(slug_of)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def safe_relative_path(s: pd.Series) -> pd.Series:
     """Path of slugs, without empty parts and parents."""
     return s.map(lambda p: "/".join(slug_of(x) for x in (p or "").replace("\\", "/").split("/") if x not in ("", "..")))
