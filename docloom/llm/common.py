@@ -32,9 +32,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``few``: the rows are few beside the input; an eighth as many files as there are shuffle partitions hold them.
+    """
     spark = df.sparkSession
+    if few:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
@@ -65,8 +70,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = staged(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),
         "edges",
+        few=True,
     )
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels", few=True)
     for _ in range(max_rounds):
         around = (
             both.join(labels.select(F.col("node").alias("b"), "component"), "b")
@@ -78,7 +84,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         jump = labels.select(F.col("node").alias("step"), F.col("component").alias("far"))
         after = staged(
-            hop.join(jump, "step", "left").select("node", "old", F.least("step", "far").alias("component")), "labels"
+            hop.join(jump, "step", "left").select("node", "old", F.least("step", "far").alias("component")), "labels", few=True
         )
         changed = after.where("old <> component").limit(1).count()
         labels = after.select("node", "component")

@@ -81,7 +81,7 @@ def _frequent(docs: DataFrame, k: int, most: int) -> list[tuple[int, int]]:
             yield flush()
 
     counts = small_batches(docs).select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return [(r["token"], r["n"]) for r in most_frequent(staged(counts.where("n > 8"), "hot"), most).collect()]
+    return [(r["token"], r["n"]) for r in most_frequent(staged(counts.where("n > 8"), "hot", few=True), most).collect()]
 
 
 def _prefixes(docs: DataFrame, k: int, hot: list[tuple[int, int]], percent: int) -> DataFrame:
@@ -246,7 +246,7 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, bits:
     """key and set of every set in ``pairs`` (a, b), read from one text each."""
     touched = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     wanted = touched.join(nodes, "key").select("key", F.coalesce("rep", F.lit(-(1 << 63))).alias("doc_id"))
-    wanted = staged(wanted, "wanted")
+    wanted = staged(wanted, "wanted", few=True)
     return staged(_read_sets(docs, wanted, k, bits).join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
 
 
@@ -318,7 +318,7 @@ def jaccard_components(
     rows = staged(prefixes.select("doc_id", "key", "n"), "rows")
     full = rows.where("key is not null")
     nodes = staged(
-        full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "nodes"
+        full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "nodes", few=True
     )
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -329,28 +329,28 @@ def jaccard_components(
     )
     drop_staged(prefixes)
     entries = staged(
-        found.where("kind = 1").select("token", F.col("a").alias("key"), F.col("b").alias("hub"), "place").distinct(), "entries"
+        found.where("kind = 1").select("token", F.col("a").alias("key"), F.col("b").alias("hub"), "place").distinct(), "entries", few=True
     )
-    pairs = staged(_enough_common(found.where("kind <> 1"), entries, percent), "pairs")
+    pairs = staged(_enough_common(found.where("kind <> 1"), entries, percent), "pairs", few=True)
     drop_staged(found)
-    checked = staged(_links(pairs, _sets_of(docs, pairs, nodes, k, bits), percent), "links")
+    checked = staged(_links(pairs, _sets_of(docs, pairs, nodes, k, bits), percent), "links", few=True)
     labels = connected_components(checked.where("linked").select("a", "b"))
     known, asked = checked, None
     while (turn := _askers(entries, labels, known, asked, 16 * small)) is not None:
         live, askers = turn
         pairs = _cross_pairs(live, askers, known, percent)
         if pairs.limit(1).count():
-            again = staged(_links(pairs, _sets_of(docs, pairs, nodes, k, bits), percent), "links")
-            known = staged(known.unionByName(again), "links")
+            again = staged(_links(pairs, _sets_of(docs, pairs, nodes, k, bits), percent), "links", few=True)
+            known = staged(known.unionByName(again), "links", few=True)
             if again.where("linked").limit(1).count():
                 labels = connected_components(known.where("linked").select("a", "b"))
         now = askers.select("token", "key")
-        asked = now if asked is None else staged(asked.unionByName(now), "asked")
+        asked = now if asked is None else staged(asked.unionByName(now), "asked", few=True)
     named = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")
     )
-    least = staged(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
-    of_key = staged(named.join(least, "component").select("key", "component_id"), "of_key")
+    least = staged(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least", few=True)
+    of_key = staged(named.join(least, "component").select("key", "component_id"), "of_key", few=True)
     out = full.select("doc_id", "n", "key").join(of_key, "key").select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("set_key")
     )
@@ -370,14 +370,14 @@ def _askers(
     )
     sizes = named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("components"))
-    open_lists = staged(largest.where("components > 1").select("token", F.col("top.component").alias("main")), "open")
+    open_lists = staged(largest.where("components > 1").select("token", F.col("top.component").alias("main")), "open", few=True)
     live = named.join(open_lists, "token")
     waiting = live.where("component <> main").select("token", "key", "place")
     if asked is not None:
         waiting = waiting.join(asked, ["token", "key"], "left_anti")
     turn = Window.partitionBy("token").orderBy("place", "key")
     chosen = waiting.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= most).select("token", "key")
-    chosen = staged(chosen, "asking")
+    chosen = staged(chosen, "asking", few=True)
     if not chosen.limit(1).count():
         return None
     overlap = known.select("a", "b", (1 - F.col("common") / (F.col("total") - F.col("common"))).alias("far"))
@@ -386,8 +386,8 @@ def _askers(
     live = live.join(away, ["key", "hub"], "left").withColumn(
         "far", F.when(F.col("key") == F.col("hub"), 0.0).otherwise(F.col("far"))
     )
-    live = staged(live.select("token", "key", "place", "component", "far"), "live")
-    return live, staged(live.join(chosen, ["token", "key"], "left_semi"), "askers")
+    live = staged(live.select("token", "key", "place", "component", "far"), "live", few=True)
+    return live, staged(live.join(chosen, ["token", "key"], "left_semi"), "askers", few=True)
 
 
 def _cross_pairs(live: DataFrame, askers: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -403,4 +403,4 @@ def _cross_pairs(live: DataFrame, askers: DataFrame, known: DataFrame, percent:
     )
     pairs = side(askers, "x").join(side(live, "y"), "token").where((F.col("cx") != F.col("cy")) & may)
     pairs = pairs.select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b")).distinct()
-    return staged(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    return staged(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs", few=True)
