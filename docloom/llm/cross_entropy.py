@@ -95,8 +95,8 @@ def fit_models(docs: DataFrame, target: DataFrame, most: int = VOCABULARY, cells
     shared = spark.sparkContext.broadcast(vocab)
     unknown, start = len(vocab), len(vocab) + 1
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("inside", F.lit(True)),
-        "doc_id",
+        target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("inside", F.lit(True)).hint("merge"),
+        "doc_id",  # the labels grow with the documents: sorted, whatever their size
         "left",
     )
 
