@@ -16,7 +16,7 @@ WINDOW, STRIDE = 16, 8
 HIDDEN, INPUT, ATTEND, BUCKETS = 8, 12, 8, 1 << 13
 NGRAMS = (3, 4, 5)
 #: Labelled rows of each class the network is trained on at most (those with the smallest hash of their id).
-MOST_TOXIC, MOST_CLEAN = 1200, 2400
+MOST_TOXIC, MOST_CLEAN = 1200, 2000
 
 
 def sigmoid(x):
@@ -27,19 +27,23 @@ def split_words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def _bare(word: str) -> str:
+    return word.strip(".,;:!?\"'()[]{}<>*#$%&-_") or word
+
+
 def windows(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the words of all overlapping windows in texts laid end to end, which are real, and whose they are.
 
     A text without words has one window without words.
     """
-    lengths = np.asarray(lengths, np.int64)
+    lengths = np.asarray(lengths, np.int32)
     count = np.maximum(1, -(-np.maximum(lengths - (WINDOW - STRIDE), 0) // STRIDE))
-    owner = np.repeat(np.arange(len(lengths)), count)
-    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    inside = nth[:, None] * STRIDE + np.arange(WINDOW)
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), count)
+    nth = np.arange(count.sum(), dtype=np.int32) - np.repeat(np.cumsum(count, dtype=np.int32) - count, count)
+    inside = nth[:, None] * np.int32(STRIDE) + np.arange(WINDOW, dtype=np.int32)
     real = inside < lengths[owner][:, None]
-    begin = np.cumsum(lengths) - lengths
-    return np.where(real, begin[owner][:, None] + inside, -1), real, owner
+    begin = np.cumsum(lengths, dtype=np.int32) - lengths
+    return np.where(real, begin[owner][:, None] + inside, np.int32(-1)), real, owner
 
 
 class Network:
@@ -64,7 +68,7 @@ class Network:
 
     @staticmethod
     def slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        bare = [w.strip(".,;:!?\"'()[]{}<>*#$%&-_") or w for w in words]
+        bare = [_bare(w) for w in words]
         chars = ngram_slots(bare, NGRAMS, BUCKETS)
         # a word's own bucket: a hash of the buckets of its n-grams
         mix = np.arange(1, chars.shape[1] + 1, dtype=np.int64) * 2654435761
@@ -188,7 +192,8 @@ def _evidence(texts: list[list[str]], labels: np.ndarray) -> list[np.ndarray]:
     """A first guess per word: the largest smoothed log odds of its n-gram buckets between the texts of both classes."""
     names = sorted({w for t in texts for w in t})
     place = {w: i for i, w in enumerate(names)}
-    chars, _ = Network.slots(names) if names else (np.zeros((0, 1), np.int32), None)
+    parts = [ngram_slots([_bare(w) for w in names[s : s + 4096]], NGRAMS, BUCKETS).astype(np.uint16) for s in range(0, len(names), 4096)]
+    chars = np.concatenate(parts) if parts else np.zeros((0, 1), np.uint16)
     counts = np.zeros((2, BUCKETS * 4))
     buckets = [np.unique(chars[[place[w] for w in set(t)]]) if t else np.empty(0, np.int32) for t in texts]
     for b, y in zip(buckets, labels, strict=True):
@@ -197,8 +202,9 @@ def _evidence(texts: list[list[str]], labels: np.ndarray) -> list[np.ndarray]:
     odds = np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 0.5) / (n[0] + 1))
     odds *= np.minimum(1, counts.sum(0) / 5)
     odds[0] = -9
-    best = odds[chars].max(1) if len(names) else np.empty(0)
-    return [best[[place[w] for w in t]] if t else np.empty(0) for t in texts]
+    odds = odds.astype(np.float32)
+    best = np.concatenate([odds[chars[s : s + 4096]].max(1) for s in range(0, len(chars), 4096)]) if len(names) else np.empty(0)
+    return [best[[place[w] for w in t]] if t else np.empty(0, np.float32) for t in texts]
 
 
 def train(texts: list[str], labels: list[int], seed: int = 3) -> Network | float:
@@ -212,7 +218,8 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Network | float
     y = np.asarray(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
-    words = [split_words(t) for t in texts]
+    pool: dict[str, str] = {}  # one object per distinct word
+    words = [[pool.setdefault(w, w) for w in split_words(t)] for t in texts]
     apart = np.arange(len(y)) % 5 == 4
     if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
         apart[:] = False
@@ -221,8 +228,9 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Network | float
     at, real, owner = windows([len(w) for w in words])
     flat = [w for t in words for w in t]
     rng = np.random.default_rng(seed)
-    evidence = np.concatenate([*_evidence(words, y), [-9.0]])
-    strength = np.where(real, evidence[at], -9).max(1)
+    evidence = np.concatenate([*_evidence(words, y), np.float32([-9])])  # the last stands for no word
+    strength = np.concatenate([evidence[at[s : s + 8192]].max(1) for s in range(0, len(at), 8192)])
+    del evidence
     net, state = Network(seed), {}
     for turn in range(3):
         order = np.lexsort((-strength, owner))
