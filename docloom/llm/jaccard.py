@@ -17,7 +17,8 @@ HOT = 100_000
 SMALL = 24
 #: Shingles counted together before a task hands on what it saw more than once.
 CHUNK = 4_000_000
-#: Bits of the filter that picks the texts to be read again; more keys than bits only let more texts through.
+#: Bits of the filter that picks the texts to be read again, at most (eight a text below that); a fuller filter only lets
+#: more texts through.
 FILTER_BITS = 1 << 24
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,9 +55,9 @@ def set_key(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _frequent(docs: DataFrame, k: int, most: int) -> list[tuple[int, int]]:
-    """Shingles that many distinct texts hold, with counts of what the tasks saw more than once: any such count
-    gives a right order of the sets, a good one keeps lists short."""
+def _frequent(docs: DataFrame, k: int, most: int) -> np.ndarray:
+    """Shingles that many distinct texts hold, rising by how often tasks saw them more than once: any such order of the
+    sets is right, a good one keeps lists short."""
 
     def count(batches):
         shingles, held, size, seen = Shingler(k), [], 0, set()
@@ -81,13 +82,14 @@ def _frequent(docs: DataFrame, k: int, most: int) -> list[tuple[int, int]]:
             yield flush()
 
     counts = small_batches(docs).select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return [(r["token"], r["n"]) for r in most_frequent(staged(counts.where("n > 8"), "hot", few=True), most).collect()]
+    table = most_frequent(staged(counts.where("n > 8"), "hot", few=True), most).toArrow()
+    token, n = (table[c].to_numpy() for c in ("token", "n"))
+    return token[np.lexsort((token, n))]
 
 
-def _prefixes(docs: DataFrame, k: int, hot: list[tuple[int, int]], percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, k: int, hot: np.ndarray, percent: int) -> DataFrame:
     """doc_id, key, n and the prefix of each text's set: rare shingles first by hash, then frequent ones by count."""
-    hot = sorted(hot, key=lambda x: (x[1], x[0]))
-    names = np.array([t for t, _ in hot], np.int64).view(np.uint64)
+    names = np.ascontiguousarray(hot, np.int64).view(np.uint64)
     order = np.argsort(names)
     shared = docs.sparkSession.sparkContext.broadcast((names[order], order))
 
@@ -220,6 +222,7 @@ def _bit(table: bytes, bits: int, key: Column) -> Column:
 
 def _read_sets(docs: DataFrame, wanted: DataFrame, k: int, bits: int) -> DataFrame:
     """key and set of the texts of ``wanted`` (doc_id), read again; a bounded bit table picks them from all rows."""
+    bits = min(bits, max(1 << 13, 1 << (8 * wanted.count()).bit_length()))
     slots = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("slot"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(32)).cast("int"))
     table = bytearray(bits // 8)
