@@ -60,6 +60,28 @@ def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
     return df
 
 
+def fit_in_task(rows: DataFrame, fit):
+    """What ``fit`` makes of all ``rows`` (a bounded sample), sorted: run by one task, so that the driver holds the result only.
+
+    None for no rows.
+    """
+    names = rows.columns
+
+    def run(batches):
+        import pickle
+
+        import pyarrow as pa
+
+        held = [r for b in batches for r in zip(*(b.column(n).to_pylist() for n in names), strict=True)]
+        if held:
+            yield pa.record_batch([pa.array([pickle.dumps(fit(sorted(held)))], pa.binary())], ["made"])
+
+    made = rows.repartition(1).mapInArrow(run, "made binary").collect()
+    import pickle
+
+    return pickle.loads(made[0]["made"]) if made else None
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node of ``edges`` (a long, b long).
 

@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import fit_in_task, small_batches
 from .word_features import WordTable, affix_slots, ngram_slots
 
 #: Buckets of the features; labelled rows and words of each (spread over the text) that are learned from at most.
@@ -205,9 +205,18 @@ def fit_languages(docs: DataFrame, most: int = MOST_ROWS, seed: int = 7) -> Fiel
         .limit(most)
     )
     chosen = spark.createDataFrame(lots.select("doc_id", "lang").collect(), "doc_id long, lang string").distinct()
-    got = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text")  # at most ``most`` rows
-    got = sorted((r["doc_id"], r["lang"], r["text"] or "") for r in got.limit(4 * most).collect())
-    return train([r[2] for r in got], [r[1] for r in got], seed)
+    got = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])  # at most ``most`` rows
+
+    def fit(rows):
+        made = train([r[2] for r in rows], [r[1] for r in rows], seed)
+        return made and made.__dict__
+
+    made = fit_in_task(got.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")), fit)
+    if not made:
+        return None
+    field = Field(made["langs"])
+    field.__dict__.update(made)
+    return field
 
 
 def label_languages(docs: DataFrame, field: Field | None) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import fit_in_task, small_batches
 from .word_features import WordTable, ngram_slots
 
 #: Words of a window and from one window to the next: every word but those at the ends lies in two windows.
@@ -293,8 +293,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXI
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(chosen), "doc_id"  # at most most_toxic + most_clean rows
     )
-    rows = sorted(texts.dropDuplicates(["doc_id"]).select("lot", "doc_id", "text", "toxic").collect())
-    return train([r["text"] or "" for r in rows], [int(r["toxic"] > 0) for r in rows], seed)
+    rows = texts.dropDuplicates(["doc_id"]).select("lot", "doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+
+    def fit(rows):
+        made = train([r[2] for r in rows], [int(r[3] > 0) for r in rows], seed)
+        return made if isinstance(made, float) else made.__dict__
+
+    made = fit_in_task(rows, fit)
+    if not isinstance(made, dict):
+        return made or 0.0
+    net = Network()
+    net.__dict__.update(made)
+    return net
 
 
 def _scored(batches, net: Network | float):
