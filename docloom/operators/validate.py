@@ -33,6 +33,18 @@ def _rows(df: DataFrame, code: str | Column, path: Column, message: str, phase:
     )
 
 
+def _apply(df: DataFrame, rules: list[tuple], phase: int, place: Column | None = None) -> DataFrame:
+    """Diagnostics of all ``rules`` (condition, code, path, message) in one pass over the rows."""
+    kind = "struct<code:string,path:string,message:string>"
+    one = lambda code, path, message: F.struct(F.lit(code).alias("code"), path.alias("path"), F.lit(message).alias("message"))
+    found = F.array(*[F.when(F.coalesce(when, F.lit(False)), one(code, path, message)).cast(kind) for when, code, path, message in rules])
+    place = F.lit("") if place is None else place
+    hits = df.select("doc_id", place.alias("place"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("d"))
+    return hits.select(
+        "doc_id", F.lit("error").alias("severity"), "d.code", "d.path", "d.message", F.lit(None).cast(RELATED).alias("related"), F.lit(phase).alias("phase"), "place"
+    )
+
+
 def document_rules(graph: Graph) -> DataFrame:
     """Version, root, info and ID."""
     d = graph.documents
@@ -47,8 +59,7 @@ def document_rules(graph: Graph) -> DataFrame:
         ((F.col("version") == "2.0") & (F.col("id_state") == "pair") & known & short, "invalid-document-id", "id", "In version 2.0 both parts have 16 bytes at least"),
         ((F.col("version") == "1.0") & (F.col("id_state") != "absent"), "unsupported-version-feature", "id", "Version 1.0 has no ID"),
     ]
-    for when, code, path, message in rules:
-        out = out.unionByName(_rows(d.where(when), code, F.lit(path), message, 3))
+    out = out.unionByName(_apply(d, [(w, c, F.lit(p), m) for w, c, p, m in rules], 3))
     parts = d.where("id_state = 'pair'").select("doc_id", F.posexplode("id").alias("i", "b")).where("b is null")
     return out.unionByName(_rows(parts, "invalid-byte-string", F.concat(F.lit("id["), "i", F.lit("].bytes")), "A string needs bytes", 3))
 
@@ -82,9 +93,10 @@ def value_rules(graph: Graph) -> DataFrame:
     side, key_kind = F.col("entry_side"), F.col("key_kind")
     key_ok = F.when(key_kind == "name", S.is_name("key_text")).when(key_kind == "byte-name", S.is_name_bytes("key_bytes")).otherwise(False)
     is_key = side.isNotNull()
-    out = _rows(n.where((kind == "number") & (~S.is_finite("num_val") | ((F.col("num_val") == F.rint("num_val")) & ~S.is_safe_integer("num_val")))), "invalid-number", path, "Not finite, or an integer that a double can't hold", 1, place)
+    wide = ~S.is_finite("num_val") | ((F.col("num_val") == F.rint("num_val")) & ~S.is_safe_integer("num_val"))
     key_path = F.when(side == "byteEntries", F.concat(entry, F.lit(".key"))).otherwise(path)
     rules = [
+        ((kind == "number") & wide, "invalid-number", path, "Not finite, or an integer that a double can't hold"),
         ((kind == "stream") & F.col("parent_node").isNotNull(), "stream-must-be-indirect", path, "A stream must be an object of its own"),
         (is_name_value & ~name_ok, "invalid-name", path, "A name needs characters, none of them NUL"),
         (is_name_value & name_ok & F.col("old") & escaped(value_name), "unsupported-version-feature", path, "Escaped names need version 1.2"),
@@ -95,8 +107,7 @@ def value_rules(graph: Graph) -> DataFrame:
         ((kind == "stream") & F.col("bytes_val").isNull(), "invalid-stream", F.concat(path, F.lit(".data")), "A stream needs bytes"),
         (kind == "unknown", "invalid-object", path, "Not a value"),
     ]
-    for when, code, where, message in rules:
-        out = out.unionByName(_rows(n.where(when), code, where, message, 1, place))
+    out = _apply(n, rules, 1, place)
     ids = ["doc_id", "obj_index"]
     keys = graph.nodes.where("entry_side is not null").withColumn("name", S.pdf_name(key_bytes())).where("name is not null")
     nth = F.row_number().over(Window.partitionBy(*ids, "parent_node", "name").orderBy(F.desc("entry_side"), "ord"))
@@ -112,12 +123,19 @@ def reference_rules(graph: Graph) -> DataFrame:
     """Ranges, owners, missing targets and generations of every use of a reference."""
     uses = reference_uses(graph).join(graph.documents.select("doc_id", "owner_id"), "doc_id")
     place = F.coalesce(F.lpad(F.col("obj_index").cast("string"), 10, "0"), F.lit("~"))
-    out = _rows(uses.where("not ref_ok"), "invalid-object-number", F.concat("path", F.lit(".objectNumber")), "Not an object number", 1, place)
-    out = out.unionByName(_rows(uses.where("not gen_ok"), "invalid-generation-number", F.concat("path", F.lit(".generation")), "Not a generation", 1, place))
-    out = out.unionByName(_rows(uses.where("owner_id is not null and not (ref_owner <=> owner_id)"), "foreign-reference", F.col("path"), "The reference is another builder's", 1, place))
+    path = F.col("path")
+    ranges = [
+        (~F.col("ref_ok"), "invalid-object-number", F.concat(path, F.lit(".objectNumber")), "Not an object number"),
+        (~F.col("gen_ok"), "invalid-generation-number", F.concat(path, F.lit(".generation")), "Not a generation"),
+        (F.col("owner_id").isNotNull() & ~F.col("ref_owner").eqNullSafe(F.col("owner_id")), "foreign-reference", path, "The reference is another builder's"),
+    ]
     found = resolve(uses, definitions(graph))
-    out = out.unionByName(_rows(found.where("found_index is null"), "invalid-reference", F.col("path"), "There is no such object", 4, place))
-    return out.unionByName(_rows(found.where("found_index is not null and not (found_gen <=> ref_gen)"), "reference-generation-mismatch", F.col("path"), "The object has another generation", 4, place))
+    lost = F.col("found_index").isNull()
+    targets = [
+        (lost, "invalid-reference", path, "There is no such object"),
+        (~lost & ~F.col("found_gen").eqNullSafe(F.col("ref_gen")), "reference-generation-mismatch", path, "The object has another generation"),
+    ]
+    return _apply(uses, ranges, 1, place).unionByName(_apply(found, targets, 4, place))
 
 
 def info_rules(graph: Graph) -> DataFrame:
