@@ -152,7 +152,7 @@ g_line AS (
          row_number() OVER (PARTITION BY p.r, p.num ORDER BY o.o_orderkey) AS k
   FROM g_page p JOIN orders o ON o.o_custkey = p.c
 ), g_op AS (
-  SELECT r, page, 0 AS frag, 'text' AS fk, 4 * k AS at, 'font' AS op, CAST(8 + o % 5 AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b, concat('f', o % 4) AS res, CAST(NULL AS STRING) AS t FROM g_line
+  SELECT r, page, 0 AS frag, 'text' AS fk, 4 * k AS seq, 'font' AS op, CAST(8 + o % 5 AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b, concat('f', o % 4) AS res, CAST(NULL AS STRING) AS t FROM g_line
   UNION ALL SELECT r, page, 0, 'text', 4 * k + 1, 'moveText', 0, -14, NULL, NULL FROM g_line
   UNION ALL SELECT r, page, 0, 'text', 4 * k + 2, 'show', NULL, NULL, NULL, concat('(', priority, ')') FROM g_line
   UNION ALL SELECT r, page, 1, 'graphics', 2 * k, 'moveTo', k, 10, NULL, NULL FROM g_line WHERE o % 3 = 0
@@ -163,17 +163,19 @@ g_line AS (
 
 def derived_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     views(spark, sf_dir)
-    return spark.sql(
-        f"WITH {GRAPH}, {OPERATIONS} SELECT concat('r', r) AS doc_id, page AS page_id, frag AS frag_idx, fk AS frag_kind, CAST(at AS INT) AS op_idx, op,"
+    ops = spark.sql(
+        f"WITH {GRAPH}, {OPERATIONS} SELECT concat('r', r) AS doc_id, page AS page_id, frag AS frag_idx, fk AS frag_kind, CAST(seq AS INT) AS op_idx, op,"
         " filter(array(a, b), x -> x IS NOT NULL) AS args, res AS res_id, t AS text, CAST(NULL AS BINARY) AS bytes FROM g_op"
     )
+    return staged(ops, "operations")
 
 
 def derived_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logical page trees of the same documents: root, nations, customers."""
     views(spark, sf_dir)
-    return spark.sql(
+    tree = spark.sql(
         f"WITH {GRAPH} SELECT concat('r', r) AS doc_id, CAST(2 AS BIGINT) AS node_id, CAST(NULL AS BIGINT) AS parent_id, 0 AS child_idx, 'root' AS kind, CAST(NULL AS array<double>) AS mediabox, 0 AS rotation, CAST(NULL AS STRING) AS owner_id FROM g_size"
         " UNION ALL SELECT concat('r', r), num, 2, CAST(num - 3 AS INT), 'pages', NULL, 0, NULL FROM g_nation"
         " UNION ALL SELECT concat('r', r), num, up, CAST(kid AS INT), 'page', array(0D, 0D, 612D, 792D), 0, NULL FROM g_page"
     )
+    return staged(tree, "tree")

@@ -271,7 +271,7 @@ g_seen AS (
 )
 """
 _USED = """
-g_first AS (SELECT r, page, res, min(at) AS first FROM g_op WHERE op = 'font' GROUP BY r, page, res),
+g_first AS (SELECT r, page, res, min(seq) AS first FROM g_op WHERE op = 'font' GROUP BY r, page, res),
 g_name AS (SELECT r, page, res, first, 'F' || CAST(row_number() OVER (PARTITION BY r, page ORDER BY first) - 1 AS STRING) AS name FROM g_first)
 """
 
@@ -313,21 +313,21 @@ ORACLES = {
     "SELECT p.*, p.base + (SELECT count(*) FROM g_fresh f WHERE f.r = p.r AND f.place = p.place) AS cost FROM g_pos p), g_num AS ("
     "SELECT *, 3 + coalesce(sum(cost) OVER (PARTITION BY r ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS number FROM g_cost) "
     f"SELECT {_DOC}, CAST(node AS STRING) AS what, CAST(number AS BIGINT) AS object_number FROM g_num UNION ALL SELECT concat('r', f.r), f.res, CAST(n.number + 1 + f.k AS BIGINT) FROM g_fresh f JOIN g_num n ON n.r = f.r AND n.place = f.place",
-    "content_stream": f"{_HEAD}, {OPERATIONS}, {_USED}, g_out AS (SELECT o.r, o.page, o.frag, o.at, CASE o.op WHEN 'font' THEN '/' || n.name || ' ' || CAST(CAST(o.a AS INT) AS STRING) || ' Tf' WHEN 'moveText' THEN '0 -14 Td'"
+    "content_stream": f"{_HEAD}, {OPERATIONS}, {_USED}, g_out AS (SELECT o.r, o.page, o.frag, o.seq, CASE o.op WHEN 'font' THEN '/' || n.name || ' ' || CAST(CAST(o.a AS INT) AS STRING) || ' Tf' WHEN 'moveText' THEN '0 -14 Td'"
     " WHEN 'show' THEN '(\\(' || substr(o.t, 2, length(o.t) - 2) || '\\)) Tj' WHEN 'moveTo' THEN CAST(CAST(o.a AS INT) AS STRING) || ' 10 m' ELSE CAST(CAST(o.a AS INT) AS STRING) || ' ' || CAST(CAST(o.b AS INT) AS STRING) || ' l' END || chr(10) AS line"
     " FROM g_op o LEFT JOIN g_name n ON o.op = 'font' AND n.r = o.r AND n.page = o.page AND n.res = o.res), g_frag AS ("
-    "SELECT r, page, frag, CASE WHEN frag = 0 THEN 'BT' ELSE 'q' END || chr(10) || string_agg(line, '' ORDER BY at) || CASE WHEN frag = 0 THEN 'ET' ELSE 'Q' END || chr(10) AS t FROM g_out GROUP BY r, page, frag)"
+    "SELECT r, page, frag, CASE WHEN frag = 0 THEN 'BT' ELSE 'q' END || chr(10) || string_agg(line, '' ORDER BY seq) || CASE WHEN frag = 0 THEN 'ET' ELSE 'Q' END || chr(10) AS t FROM g_out GROUP BY r, page, frag)"
     f" SELECT {_DOC}, page AS page_id, string_agg(t, '' ORDER BY frag) AS content FROM g_frag GROUP BY r, page",
-    "operation_errors": f"{_HEAD}, {OPERATIONS} SELECT {_DOC}, 'text needs a font first' AS error, count(*) AS operations FROM g_op WHERE op = 'show' AND at = 6 AND page % 5 = 0 GROUP BY r",
+    "operation_errors": f"{_HEAD}, {OPERATIONS} SELECT {_DOC}, 'text needs a font first' AS error, count(*) AS operations FROM g_op WHERE op = 'show' AND seq = 6 AND page % 5 = 0 GROUP BY r",
     "artifact_changes": "SELECT concat('page-', c_custkey) AS path, CASE WHEN c_custkey % 11 = 0 THEN 'added' WHEN c_custkey % 13 = 0 THEN 'removed' ELSE 'changed' END AS kind FROM customer"
     " WHERE (c_custkey % 11 = 0) <> (c_custkey % 13 = 0) OR (c_custkey % 17 = 0 AND c_custkey % 11 <> 0 AND c_custkey % 13 <> 0)",
     "raster_manifest": "WITH p AS (SELECT c_nationkey AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k, count(*) OVER (PARTITION BY c_nationkey) AS total, ceil((300 + c_custkey % 400) * 96.0 / 72) AS w, ceil((400 + c_custkey % 500) * 96.0 / 72) AS h, c_custkey % 2 = 1 AS turned FROM customer), "
-    "t AS (SELECT n, string_agg(chr(9) || chr(9) || '{' || chr(10) || chr(9) || chr(9) || chr(9) || '\"file\": \"page-' || lpad(CAST(k AS STRING), greatest(3, length(CAST(total AS STRING))), '0') || '.png\",' || chr(10) || chr(9) || chr(9) || chr(9) || '\"width\": ' || CAST(CAST(CASE WHEN turned THEN h ELSE w END AS INT) AS STRING) || ',' || chr(10)"
+    "t AS (SELECT n, string_agg(chr(9) || chr(9) || '{' || chr(10) || chr(9) || chr(9) || chr(9) || '\"file\": \"page-' || lpad(CAST(k AS STRING), CAST(greatest(3, length(CAST(total AS STRING))) AS INT), '0') || '.png\",' || chr(10) || chr(9) || chr(9) || chr(9) || '\"width\": ' || CAST(CAST(CASE WHEN turned THEN h ELSE w END AS INT) AS STRING) || ',' || chr(10)"
     " || chr(9) || chr(9) || chr(9) || '\"height\": ' || CAST(CAST(CASE WHEN turned THEN w ELSE h END AS INT) AS STRING) || chr(10) || chr(9) || chr(9) || '}', ',' || chr(10) ORDER BY k) AS s FROM p GROUP BY n)"
     " SELECT concat('n', n) AS doc_id, '{' || chr(10) || chr(9) || '\"resolution\": 96,' || chr(10) || chr(9) || '\"background\": \"#ffffff\",' || chr(10) || chr(9) || '\"pages\": [' || chr(10) || s || chr(10) || chr(9) || ']' || chr(10) || '}' || chr(10) AS manifest FROM t",
     "html_escape": "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages",
-    "backgrounds": "SELECT CAST(p_partkey AS BIGINT) AS id, CASE WHEN p_partkey % 3 = 0 THEN 4278190080 + (p_partkey % 16) * 17 * 65536 + (p_partkey // 16 % 16) * 17 * 256 + (p_partkey // 256 % 16) * 17"
-    " WHEN p_partkey % 3 = 1 THEN 4278190080 + (p_partkey * 7919 % 256) * 65536 + (p_partkey * 7919 // 256 % 256) * 256 + (p_partkey * 7919 // 65536 % 256) END AS colour FROM part",
+    "backgrounds": "SELECT CAST(p_partkey AS BIGINT) AS id, CAST(CASE WHEN p_partkey % 3 = 0 THEN 4278190080 + (p_partkey % 16) * 17 * 65536 + (p_partkey // 16 % 16) * 17 * 256 + (p_partkey // 256 % 16) * 17"
+    " WHEN p_partkey % 3 = 1 THEN 4278190080 + (p_partkey * 7919 % 256) * 65536 + (p_partkey * 7919 // 256 % 256) * 256 + (p_partkey * 7919 // 65536 % 256) END AS BIGINT) AS colour FROM part",
     "newest_versions": "SELECT p_brand AS brand, arg_max(concat('v', p_size, '.', p_partkey % 7, '.', p_partkey % 11), p_size * 1000 + (p_partkey % 7) * 20 + p_partkey % 11) AS tag FROM part WHERE p_partkey % 5 <> 0 GROUP BY p_brand",
     "info_rules": "SELECT conv_id, turn, turn % 5 <> 4 AS valid FROM conversations",
     "diagnostics_summary": f"{_HEAD} SELECT 'error' AS severity, 'duplicate-object-number' AS code, CAST(1 AS BIGINT) AS findings"
