@@ -174,7 +174,7 @@ def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     views(spark, sf_dir)
     rows = spark.sql("SELECT CAST(p_partkey AS BIGINT) AS id, CASE WHEN p_partkey % 3 = 0 THEN concat('#', lpad(hex(p_partkey % 4096), 3, '0')) WHEN p_partkey % 3 = 1 THEN concat('#', lpad(hex(p_partkey * 7919 % 16777216), 6, '0')) ELSE 'white' END AS s FROM part")
-    return rows.select("id", S.background("s").alias("colour"))
+    return rows.select("id", F.coalesce(S.background("s"), F.lit(-1)).alias("colour"))
 
 
 def newest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,7 +327,7 @@ ORACLES = {
     " SELECT concat('n', n) AS doc_id, '{' || chr(10) || chr(9) || '\"resolution\": 96,' || chr(10) || chr(9) || '\"background\": \"#ffffff\",' || chr(10) || chr(9) || '\"pages\": [' || chr(10) || s || chr(10) || chr(9) || ']' || chr(10) || '}' || chr(10) AS manifest FROM t",
     "html_escape": "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages",
     "backgrounds": "SELECT CAST(p_partkey AS BIGINT) AS id, CAST(CASE WHEN p_partkey % 3 = 0 THEN 4278190080 + (p_partkey % 16) * 17 * 65536 + (p_partkey // 16 % 16) * 17 * 256 + (p_partkey // 256 % 16) * 17"
-    " WHEN p_partkey % 3 = 1 THEN 4278190080 + (p_partkey * 7919 % 256) * 65536 + (p_partkey * 7919 // 256 % 256) * 256 + (p_partkey * 7919 // 65536 % 256) END AS BIGINT) AS colour FROM part",
+    " WHEN p_partkey % 3 = 1 THEN 4278190080 + (p_partkey * 7919 % 256) * 65536 + (p_partkey * 7919 // 256 % 256) * 256 + (p_partkey * 7919 // 65536 % 256) ELSE -1 END AS BIGINT) AS colour FROM part",
     "newest_versions": "SELECT p_brand AS brand, arg_max(concat('v', p_size, '.', p_partkey % 7, '.', p_partkey % 11), p_size * 1000 + (p_partkey % 7) * 20 + p_partkey % 11) AS tag FROM part WHERE p_partkey % 5 <> 0 GROUP BY p_brand",
     "info_rules": "SELECT conv_id, turn, turn % 5 <> 4 AS valid FROM conversations",
     "diagnostics_summary": f"{_HEAD} SELECT 'error' AS severity, 'duplicate-object-number' AS code, CAST(1 AS BIGINT) AS findings"
