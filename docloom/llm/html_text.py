@@ -189,12 +189,12 @@ def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> li
     grouped, who, order = grouped[by], who[by], order[by]
     new = np.r_[True, (grouped[1:] != grouped[:-1]) | (who[1:] != who[:-1])]
     distinct = np.bincount(grouped, weights=new, minlength=len(tokens) + 1)
-    starts = order[distinct[grouped] >= pages]
+    ends = np.cumsum([len(s) + 1 for s in ids])
+    starts = order[(distinct[grouped] >= pages) & (order + run < ends[owner[order]])]  # without a separator
     mark = np.zeros(len(tokens) + run + 1, np.int64)
     np.add.at(mark, starts, 1)
     np.add.at(mark, starts + run, -1)
     covered = np.cumsum(mark)[: len(tokens)] > 0
-    ends = np.cumsum([len(s) + 1 for s in ids])
     return [covered[e - len(s) - 1 : e - 1] for s, e in zip(ids, ends, strict=True)]
 
 
