@@ -47,7 +47,15 @@ def _lookup(table: tuple[Column, int], key: Column) -> Column:
 
 
 def fold_merges(word: Column, ranks: tuple[Column, int]) -> Column:
-    """Ids of a word (binary) by folding ranked merges: the lowest-ranked adjacent pair first, the leftmost of equals."""
+    """Ids of a word (binary) by folding ranked merges: the lowest-ranked adjacent pair first, the leftmost of equals.
+
+    The literal is bound to a variable first: each place that named it would hold a copy of its own.
+    """
+    table, n = ranks
+    return F.get(F.transform(F.array(table), lambda t: _fold(word, (t, n))), 0)
+
+
+def _fold(word: Column, ranks: tuple[Column, int]) -> Column:
     code = F.hex(word)
     rank = lambda piece: F.coalesce(_lookup(ranks, piece), F.lit(NO_RANK))
     n = F.octet_length(word)
