@@ -135,6 +135,21 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p]
 
 
+class Memo(dict):
+    """Ids by word: a table, and the words merged since, at most MEMO of them."""
+
+    def __init__(self, table: dict[str, tuple], ranks: dict[bytes, int]):
+        super().__init__(table)
+        self.table, self.ranks = table, ranks
+
+    def __missing__(self, word: str) -> tuple:
+        if len(self) > MEMO + len(self.table):
+            self.clear()
+            self.update(self.table)
+        ids = self[word] = tuple(merge_word(word.encode(), self.ranks))
+        return ids
+
+
 def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
     """How often each match of ``pattern`` occurs in all texts: word, n. Counted in the tasks before the shuffle."""
 
@@ -170,23 +185,18 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = T
     folded = most_frequent(counts, most).select(
         "word", fold_merges(F.col("word").cast("binary"), literal_ranks(ranks)).alias("ids")
     )
-    known = spark.sparkContext.broadcast((folded.toArrow(), ranks))  # Arrow: rows of Python objects would fill the driver
+    # Arrow: rows of Python objects would fill the driver; a worker keeps what it makes of them here, from task to task
+    known = spark.sparkContext.broadcast({"rows": folded.toArrow(), "ranks": ranks, "memo": None})
 
     def assemble(batches):
         import regex
 
-        rows, rank = known.value
-        table = {w: tuple(ids) for b in rows.to_batches() for w, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
-
-        class Memo(dict):
-            def __missing__(self, word):
-                if len(self) > MEMO + len(table):
-                    self.clear()
-                    self.update(table)
-                ids = self[word] = tuple(merge_word(word.encode(), rank))
-                return ids
-
-        find, get = regex.compile(pattern).findall, Memo(table).__getitem__
+        held = known.value
+        if held["memo"] is None:
+            pairs = ((b.column(0).to_pylist(), b.column(1)) for b in held["rows"].to_batches())
+            table = {w: tuple(ids) for words, lists in pairs for w, ids in zip(words, lists.to_pylist(), strict=True)}
+            held["memo"] = Memo(table, held["ranks"])
+        find, get = regex.compile(pattern).findall, held["memo"].__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
