@@ -6,8 +6,8 @@ import base64
 import heapq
 import json
 import zlib
+from array import array
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -136,17 +136,17 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Memo(dict):
-    """Ids by word: a table, and the words merged since, at most MEMO of them."""
+    """Ids by word, as the bytes of 32-bit numbers: a table, and the words merged since, at most MEMO of them."""
 
-    def __init__(self, table: dict[str, tuple], ranks: dict[bytes, int]):
+    def __init__(self, table: dict[str, bytes], ranks: dict[bytes, int]):
         super().__init__(table)
         self.table, self.ranks = table, ranks
 
-    def __missing__(self, word: str) -> tuple:
+    def __missing__(self, word: str) -> bytes:
         if len(self) > MEMO + len(self.table):
             self.clear()
             self.update(self.table)
-        ids = self[word] = tuple(merge_word(word.encode(), self.ranks))
+        ids = self[word] = array("i", merge_word(word.encode(), self.ranks)).tobytes()
         return ids
 
 
@@ -194,17 +194,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = T
         held = known.value
         if held["memo"] is None:
             pairs = ((b.column(0).to_pylist(), b.column(1)) for b in held["rows"].to_batches())
-            table = {w: tuple(ids) for words, lists in pairs for w, ids in zip(words, lists.to_pylist(), strict=True)}
+            table = {w: array("i", ids).tobytes() for words, lists in pairs for w, ids in zip(words, lists.to_pylist(), strict=True)}
             held["memo"] = Memo(table, held["ranks"])
         find, get = regex.compile(pattern).findall, held["memo"].__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [
-                    np.fromiter(chain.from_iterable(map(get, find(t.as_py() or ""))), np.int32) for t in part.column("text")
-                ]
-                ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-                flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
+                rows = [b"".join(map(get, find(t or ""))) for t in part.column("text").to_pylist()]
+                ends = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
+                flat = np.frombuffer(b"".join(rows), np.int32)
                 yield pa.record_batch(
                     [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"]
                 )
