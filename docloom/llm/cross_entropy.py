@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import most_frequent, small_batches, staged
 
-#: Words of the vocabulary at most (the others are one unknown word), cells that bigrams share, weight of the unigrams.
-VOCABULARY = 30_000
-CELLS = 1 << 19
+#: Weight of the unigrams.
 PRIOR = 50.0
+#: Words a task counts, or scores, together.
+CHUNK = 1 << 21
 #: Distinct words a task counts before it hands them on.
 MEMO = 300_000
 
@@ -33,7 +38,43 @@ def cells_of(ids: np.ndarray, first: np.ndarray, start: int, cells: int) -> np.n
     return (h % np.uint64(cells)).astype(np.int64)
 
 
-def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
+class WordHashes:
+    """64-bit names of words, even; what stands before a text's first word is named like the empty word."""
+
+    def __init__(self, memo: int = MEMO):
+        self.memo, self.name_of = memo, {}
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Names of the words of texts end to end, and the number of words of each text."""
+        if len(self.name_of) > self.memo:
+            self.name_of.clear()
+        lists, known = [words_of(t) for t in texts], self.name_of
+        for w in {w for row in lists for w in row}.difference(known):
+            known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") & ~1
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter((known[w] for row in lists for w in row), np.uint64, int(sizes.sum())), sizes
+
+
+START = np.uint64(int.from_bytes(hashlib.blake2b(b"", digest_size=8).digest(), "little") & ~1)
+
+
+def pair_names(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit names of bigrams, odd."""
+    with np.errstate(over="ignore"):
+        h = before * np.uint64(0x9E3779B97F4A7C15)
+        h = ((h ^ (h >> np.uint64(29))) + word) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(29)) | np.uint64(1)
+
+
+def before_each(ids: np.ndarray, sizes: np.ndarray, start) -> np.ndarray:
+    """The word before each word of texts laid end to end; ``start`` before the first of a text."""
+    out = np.concatenate([ids[:0], [start], ids[:-1]]).astype(ids.dtype)[: len(ids)]
+    out[(np.cumsum(sizes) - sizes)[sizes > 0]] = start
+    return out
+
+
+def vocabulary(docs: DataFrame, most: int) -> dict[str, int]:
     """The most frequent words of all texts, numbered by falling count; counted in the tasks before the shuffle."""
 
     def count(batches):
@@ -83,23 +124,27 @@ def _numbers(vocab: dict[str, int], texts: list[str | None]) -> tuple[np.ndarray
     return ids, owner, first
 
 
-def fit_models(docs: DataFrame, target: DataFrame, most: int = VOCABULARY, cells: int = CELLS):
-    """Vocabulary, target model and background model from all rows of ``docs`` (doc_id, text).
+NAMES = ["doc_id", "n_tokens", "ce_target", "ce_background", "ce_diff"]
+SCHEMA = "doc_id long, n_tokens long, ce_target double, ce_background double, ce_diff double"
 
-    Texts whose doc_id is in ``target`` (doc_id) make the target model, all
-    others the background model, scaled to the target's number of words. Null
-    ids are background.
-    """
-    spark = docs.sparkSession
-    vocab = vocabulary(docs, most)
-    shared = spark.sparkContext.broadcast(vocab)
-    unknown, start = len(vocab), len(vocab) + 1
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+
+def _marked(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with ``inside``: whether the id is in ``target``; else null."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("inside", F.lit(True)).hint("merge"),
         "doc_id",  # the labels grow with the documents: sorted, whatever their size
         "left",
     )
 
+
+def _fit_folded(docs: DataFrame, target: DataFrame, most: int, cells: int):
+    """Models of the ``most`` frequent words, whose bigrams share ``cells`` cells; held whole by every task."""
+    spark = docs.sparkSession
+    vocab = vocabulary(docs, most)
+    shared = spark.sparkContext.broadcast(vocab)
+    unknown, start = len(vocab), len(vocab) + 1
+    marked = _marked(docs, target)
+
     def count(batches):
         known = shared.value
         uni, bi = np.zeros((2, start + 1), np.int64), np.zeros((2, cells), np.int64)
@@ -127,17 +172,8 @@ def fit_models(docs: DataFrame, target: DataFrame, most: int = VOCABULARY, cells
     return vocab, Model(goal[: start + 1], goal[start + 1 :], 1.0), Model(back[: start + 1], back[start + 1 :], scale)
 
 
-def score_difference(docs: DataFrame, models, cells: int = CELLS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, ce_target, ce_background, ce_diff.
-
-    Mean loss per word of the whole text under each model, and target minus
-    background: the lower, the more the text is like the target. Null and empty
-    texts have 0 words and 0 everywhere. Repeated rows score alike; other
-    columns are ignored; no rows give no rows.
-    """
+def _score_folded(docs: DataFrame, models, cells: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    names = ["doc_id", "n_tokens", "ce_target", "ce_background", "ce_diff"]
-
     def run(batches):
         vocab, goal, back = shared.value
         start = len(vocab) + 1
@@ -151,8 +187,185 @@ def score_difference(docs: DataFrame, models, cells: int = CELLS) -> DataFrame:
                 a, b = (
                     np.bincount(owner, m.losses(ids, m.uni[before], cell), part.num_rows) / np.maximum(1, n) for m in (goal, back)
                 )
-                yield pa.record_batch([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b), pa.array(a - b)], names)
+                yield pa.record_batch([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b), pa.array(a - b)], NAMES)
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ce_target double, ce_background double, ce_diff double"
+        run, SCHEMA
+    )
+
+
+class Counts(NamedTuple):
+    """Table of name, back, goal (how often each word and bigram stands on both sides), and its totals."""
+
+    table: DataFrame
+    n_back: int
+    n_goal: int
+    n_words: int
+
+
+def fit_models(docs: DataFrame, target: DataFrame, most: int | None = None, cells: int | None = None):
+    """Counts of every word and every bigram in all rows of ``docs`` (doc_id, text).
+
+    Texts whose doc_id is in ``target`` (doc_id) make the target model, all
+    others the background model, scaled to the target's number of words. Null
+    ids are background. Words and bigrams are named by 64-bit hashes; their
+    counts stay in a table. With ``most`` and ``cells`` only so many words are
+    known and their bigrams share so many cells.
+    """
+    if most is not None and cells is not None:
+        return _fit_folded(docs, target, most, cells)
+
+    def count(batches):
+        names_of, held, size = WordHashes(), [], 0
+
+        def flush():
+            names, side = (np.concatenate(x) for x in zip(*held, strict=True))
+            names, at = np.unique(names, return_inverse=True)
+            goal = np.bincount(at, side, len(names)).astype(np.int64)
+            back = np.bincount(at, minlength=len(names)) - goal
+            for s in range(0, len(names), 1 << 16):
+                e = s + (1 << 16)
+                yield pa.record_batch([pa.array(names[s:e].view(np.int64)), pa.array(back[s:e]), pa.array(goal[s:e])], ["name", "back", "goal"])
+
+        for batch in batches:
+            inside = np.array([bool(x) for x in batch.column("inside").to_pylist()], bool)
+            for s in range(0, batch.num_rows, 64):
+                words, sizes = names_of(batch.column("text").slice(s, 64).to_pylist())
+                side = inside[s : s + 64]
+                own = np.repeat(side, sizes)
+                starts = side[sizes > 0]
+                held.append((np.concatenate([words, pair_names(before_each(words, sizes, START), words), np.full(len(starts), START)]), np.concatenate([own, own, starts])))
+                size += len(words)
+                if size > CHUNK:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    sums = small_batches(_marked(docs, target)).select("text", "inside").mapInArrow(count, "name long, back long, goal long")
+    table = staged(sums.groupBy("name").agg(F.sum("back").alias("back"), F.sum("goal").alias("goal")), "counts")
+    is_word = (F.col("name").bitwiseAND(F.lit(1)) == 0) & (F.col("name") != F.lit(int(START.view(np.int64))))
+    total = table.where(is_word).agg(F.sum("back").alias("back"), F.sum("goal").alias("goal"), F.count(F.lit(1)).alias("n")).first()
+    return Counts(table, total["back"] or 0, total["goal"] or 0, total["n"])
+
+
+def _chunks(batches):
+    """Rows of texts (chunk, doc_id, its words numbered within the chunk, number of the chunk's words) and rows of the
+    distinct words and bigrams of each chunk (chunk, at, name): words by name first, then bigrams by word numbers."""
+    names_of, ids, held, size, turn = WordHashes(), [], [], 0, 0
+    part = TaskContext.get().partitionId() << 32
+
+    def flush():
+        sizes = np.concatenate([n for _, n in held])
+        words = np.concatenate([w for w, _ in held])
+        own, at = np.unique(np.concatenate([[START], words]).astype(np.uint64), return_inverse=True)
+        at, start = at[1:].astype(np.int64), at[0]
+        pairs = np.unique(before_each(at, sizes, start) * len(own) + at)
+        names = np.concatenate([own, pair_names(own[pairs // len(own)], own[pairs % len(own)])]).view(np.int64)
+        for s in range(0, len(names), 1 << 16):
+            n = len(names[s : s + (1 << 16)])
+            none = pa.nulls(n, pa.int64())
+            yield pa.record_batch(
+                [pa.array(np.full(n, part + turn)), pa.array(np.arange(s, s + n)), pa.array(names[s : s + n]), none, none, pa.nulls(n, pa.list_(pa.int32()))], columns
+            )
+        end = np.cumsum(sizes)
+        for s in range(0, len(ids), 1024):
+            n = len(ids[s : s + 1024])
+            low = int(end[s - 1]) if s else 0
+            offsets = np.concatenate([[0], end[s : s + n] - low]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(at[low : end[s + n - 1]].astype(np.int32)))
+            none = pa.nulls(n, pa.int64())
+            yield pa.record_batch([pa.array(np.full(n, part + turn)), none, none, pa.array(ids[s : s + n], pa.int64()), pa.array(np.full(n, int(start))), lists], columns)
+
+    columns = ["chunk", "at", "name", "doc_id", "start", "words"]
+    for batch in batches:
+        for s in range(0, batch.num_rows, 64):
+            ids += batch.column("doc_id").slice(s, 64).to_pylist()
+            held.append(names_of(batch.column("text").slice(s, 64).to_pylist()))
+            size += len(held[-1][0]) + len(held[-1][1])
+            if size > CHUNK:
+                yield from flush()
+                ids, held, size, turn = [], [], 0, turn + 1
+    if held:
+        yield from flush()
+
+
+def _losses(counts: Counts, prior: float = PRIOR):
+    n_back, n_goal, n_words = counts.n_back, counts.n_goal, counts.n_words
+    scale = n_goal / n_back if n_back and n_goal else 1.0
+
+    def score(found, texts):
+        at, back, goal = found
+        sizes = np.concatenate([t[2] for t in texts])
+        ids, words, start = [i for t in texts for i in t[0]], np.concatenate([t[1] for t in texts]), texts[0][3]
+        top = max(int(words.max(initial=0)), start) + 1  # words of the chunk: all stand in its texts, but the start
+        pairs, which = np.unique(before_each(words, sizes, start) * top + words, return_inverse=True)
+        owner, n = np.repeat(np.arange(len(sizes)), sizes), np.maximum(1, sizes)
+        means = []
+        for got, usual, total, k in ((goal, 0, n_goal, 1.0), (back, 1, n_back, scale)):
+            c = np.full(top + len(pairs), float(usual))  # the commonest counts were not sent
+            c[at] = got
+            c *= k
+            base = (c[pairs % top] + 1.0) / (total * k + n_words + 1)  # every word is possible, and one never met
+            loss = -np.log((c[top:] + prior * base) / (c[pairs // top] + prior))
+            means.append(np.bincount(owner, loss[which], len(sizes)) / n)
+        a, b = means
+        for s in range(0, len(ids), 1024):
+            e = s + 1024
+            yield pa.record_batch([pa.array(ids[s:e], pa.int64()), pa.array(sizes[s:e]), pa.array(a[s:e]), pa.array(b[s:e]), pa.array((a - b)[s:e])], NAMES)
+
+    def run(batches):
+        chunk, found, texts = None, [], []
+
+        def done():
+            if texts:
+                yield from score([np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 3, texts)
+
+        for batch in batches:
+            chunks = batch.column("chunk").to_numpy()
+            cuts = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(chunks)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if s == e:
+                    continue
+                if chunks[s] != chunk:
+                    yield from done()
+                    chunk, found, texts = chunks[s], [], []
+                part = batch.slice(s, e - s)
+                is_text = part.column("words").is_valid()
+                counted = part.filter(pc.invert(is_text))
+                if counted.num_rows:
+                    found.append([counted.column(c).to_numpy() for c in ("at", "back", "goal")])
+                text = part.filter(is_text)
+                if text.num_rows:
+                    lists = text.column("words")
+                    texts.append((text.column("doc_id").to_pylist(), lists.flatten().to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy().astype(np.int64), text.column("start")[0].as_py()))
+        yield from done()
+
+    return run
+
+
+def score_difference(docs: DataFrame, models, cells: int | None = None) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, ce_target, ce_background, ce_diff.
+
+    Mean loss per word of the whole text under each model, and target minus
+    background: the lower, the more the text is like the target. Null and empty
+    texts have 0 words and 0 everywhere. Repeated rows score alike; other
+    columns are ignored; no rows give no rows.
+
+    Tasks join the distinct words and bigrams of many texts at once to the
+    counts; only counts other than the commonest (1 of the background, none of
+    the target) are sent back to the texts.
+    """
+    if cells is not None:
+        return _score_folded(docs, models, cells)
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = staged(texts.mapInArrow(_chunks, "chunk long, at long, name long, doc_id long, start long, words array<int>"), "chunks")
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    found = held.where("name is not null").select("chunk", "at", "name").join(models.table, "name", "left")
+    found = found.select("chunk", "at", count("back"), count("goal")).where("not (back = 1 and goal = 0)")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    rows = found.select("chunk", "at", "back", "goal", none("doc_id", "long"), none("start", "long"), none("words", "array<int>")).unionByName(
+        held.where("words is not null").select("chunk", none("at", "long"), none("back", "long"), none("goal", "long"), "doc_id", "start", "words")
     )
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_losses(models), SCHEMA)

@@ -433,3 +433,32 @@ def test_cross_entropy(spark):
     assert sorted((g["doc_id"] if g["doc_id"] is not None else -1, g["n_tokens"], round(g["ce_target"], 8), round(g["ce_background"], 8)) for g in got) == want
     assert all(g["ce_diff"] == pytest.approx(g["ce_target"] - g["ce_background"]) for g in got)
     assert cross_entropy.score_difference(docs.limit(0), cross_entropy.fit_models(docs.limit(0), target)).count() == 0
+
+
+def test_cross_entropy_of_all_words(spark):
+    """No word and no bigram is left out or shares a count, however many there are."""
+    r = random.Random(12)
+    many = [" ".join(f"q{i * 50 + j}" for j in range(50)) for i in range(700)]  # 35,000 words of one count each
+    rows = [(i, t, "en", "a") for i, t in enumerate(many)] + [(1000 + i, " ".join(r.choice(VOCAB) for _ in range(80)), "en", "a") for i in range(40)] + [(None, None, None, None), (2000, "", "en", "a"), (0, "q1 Q2 new", "en", "a")]
+    inside = set(range(0, 700, 3)) | set(range(1000, 1010))
+    docs, target = documents(spark, rows), spark.createDataFrame([(i,) for i in inside], "doc_id long")
+    got = cross_entropy.score_difference(docs, cross_entropy.fit_models(docs, target)).collect()
+    uni, bi = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for i, t, *_ in rows:
+        w, side = (t or "").lower().split(), int(i in inside)
+        uni[side].update(w)
+        uni[side][""] += bool(w)
+        bi[side].update(zip(["", *w], w, strict=False))
+    n = [sum(c for w, c in u.items() if w) for u in uni]
+    v, scale = len((set(uni[0]) | set(uni[1])) - {""}), [n[1] / n[0], 1.0]
+
+    def loss(side, w):
+        k, out = scale[side], 0.0
+        for a, b in zip(["", *w], w, strict=False):
+            base = (uni[side][b] * k + 1) / (n[side] * k + v + 1)
+            out -= np.log((bi[side][a, b] * k + 50 * base) / (uni[side][a] * k + 50))
+        return out / max(1, len(w))
+
+    key = lambda i, *x: (-1 if i is None else i, *(round(y, 8) for y in x))
+    want = sorted(key(i, len(w), loss(1, w), loss(0, w)) for i, t, *_ in rows for w in [(t or "").lower().split()])
+    assert sorted(key(g["doc_id"], g["n_tokens"], g["ce_target"], g["ce_background"]) for g in got) == want
