@@ -462,3 +462,9 @@ def test_cross_entropy_of_all_words(spark):
     key = lambda i, *x: (-1 if i is None else i, *(round(y, 8) for y in x))
     want = sorted(key(i, len(w), loss(1, w), loss(0, w)) for i, t, *_ in rows for w in [(t or "").lower().split()])
     assert sorted(key(g["doc_id"], g["n_tokens"], g["ce_target"], g["ce_background"]) for g in got) == want
+
+
+def test_bigrams_share_no_counts():
+    words = cross_entropy.WordHashes()([" ".join(f"w{i}" for i in range(1200))])[0]
+    names = cross_entropy.pair_names(np.repeat(words, 1200), np.tile(words, 1200))  # 1,440,000 bigrams
+    assert len(np.unique(np.r_[names, words])) == 1200 * 1200 + 1200
