@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fit_in_task, small_batches
-from .word_features import WordTable, affix_slots, ngram_slots
+from .word_features import WordTable, affix_slots, ngram_slots, split_long
 
 #: Buckets of the features; labelled rows and words of each (spread over the text) that are learned from at most.
 BUCKETS = 1 << 15
@@ -110,8 +110,9 @@ def marginals(emit: np.ndarray, sizes: np.ndarray, trans: np.ndarray, start: np.
     return (out, moves, out[begin].sum(0, dtype=np.float64)) if pairs else out
 
 
-def letter_words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+def letter_words(text: str | None) -> tuple[list[str], np.ndarray | None]:
+    """Words, long ones as pieces, and the word each is from."""
+    return split_long((text or "").lower().split())
 
 
 def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 6, batch: int = 64) -> Field | None:
@@ -128,7 +129,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 6, ba
     rng = np.random.default_rng(seed)
     rows, labels = [], []
     for text, lang in zip(texts, langs, strict=True):
-        words = [w for w in letter_words(text) if LETTER.search(w)]
+        words = [w for w in letter_words(text)[0] if LETTER.search(w)]
         if not words or lang not in number:
             continue
         if len(words) > MOST_WORDS:  # pieces spread over the whole text
@@ -223,7 +224,8 @@ def label_languages(docs: DataFrame, field: Field | None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, lang_pred, score, n_words, n_switches.
 
     Every word with a letter gets label probabilities by forward-backward over
-    the whole text. The text's language has the highest mean probability, which
+    the whole text; a word above 24 bytes is a chain of overlapping pieces, and
+    one word in n_words. The text's language has the highest mean probability, which
     is the score; n_switches counts neighbours with different best labels. Null
     texts, texts without a letter, and all texts without a field are ``und``
     with score 0. Repeated rows are labelled alike; other columns are ignored;
@@ -244,11 +246,17 @@ def label_languages(docs: DataFrame, field: Field | None) -> DataFrame:
         for batch in batches:
             for s in range(0, batch.num_rows, 1024):
                 part = batch.slice(s, 1024)
-                words = [letter_words(t) for t in part.column("text").to_pylist()]
+                words, source = zip(*(letter_words(t) for t in part.column("text").to_pylist()), strict=True)
                 rows = table.rows(words)
                 owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
                 values = table.table[rows]
                 real = values[:, k] > 0
+                end = np.cumsum([len(w) for w in words])
+                more = np.zeros(len(words), np.int64)  # pieces beyond the first of a word
+                for i, w in enumerate(source):
+                    if w is not None:
+                        with_letter = w[real[end[i] - len(w) : end[i]]]
+                        more[i] = len(with_letter) - len(np.unique(with_letter))
                 owner, emit = owner[real], values[real, :k]
                 sizes = np.bincount(owner, minlength=len(words))
                 if field is None:
@@ -263,7 +271,7 @@ def label_languages(docs: DataFrame, field: Field | None) -> DataFrame:
                     switches = np.bincount(owner[1:][change], minlength=len(words))
                 lang = [field.langs[b] if n else "und" for b, n in zip(best, sizes, strict=True)] if field else ["und"] * len(words)
                 yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(lang, pa.string()), pa.array(np.where(sizes > 0, score, 0.0)), pa.array(sizes.astype(np.int64)), pa.array(switches.astype(np.int64))],
+                    [part.column("doc_id"), pa.array(lang, pa.string()), pa.array(np.where(sizes > 0, score, 0.0)), pa.array((sizes - more if field else sizes).astype(np.int64)), pa.array(switches.astype(np.int64))],
                     names,
                 )
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fit_in_task, small_batches
-from .word_features import WordTable, ngram_slots
+from .word_features import WordTable, ngram_slots, split_long
 
 #: Words of a window and from one window to the next: every word but those at the ends lies in two windows.
 WINDOW, STRIDE = 16, 8
@@ -23,8 +23,9 @@ def sigmoid(x):
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def split_words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+def split_words(text: str | None) -> tuple[list[str], np.ndarray | None]:
+    """Words, long ones as pieces, and the word each is from."""
+    return split_long((text or "").lower().split())
 
 
 def _bare(word: str) -> str:
@@ -219,7 +220,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Network | float
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
     pool: dict[str, str] = {}  # one object per distinct word
-    words = [[pool.setdefault(w, w) for w in split_words(t)] for t in texts]
+    words = [[pool.setdefault(w, w) for w in split_words(t)[0]] for t in texts]
     apart = np.arange(len(y)) % 5 == 4
     if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
         apart[:] = False
@@ -313,7 +314,7 @@ def _scored(batches, net: Network | float):
     for batch in batches:
         for s in range(0, batch.num_rows, 64):
             part = batch.slice(s, 64)
-            words = [split_words(t) for t in part.column("text").to_pylist()]
+            words, source = zip(*(split_words(t) for t in part.column("text").to_pylist()), strict=True)
             _, _, owner = windows([len(w) for w in words])
             count = np.bincount(owner, minlength=len(words))
             if table is None:
@@ -323,7 +324,8 @@ def _scored(batches, net: Network | float):
             best = np.lexsort((np.arange(len(logit)), -logit, owner))
             best = best[np.r_[True, owner[best][1:] != owner[best][:-1]]]
             score = sigmoid(net.scale[0] * logit[best].astype(np.float64) + net.scale[1])
-            yield part, score, count, (best - (np.cumsum(count) - count)) * STRIDE
+            begin = (best - (np.cumsum(count) - count)) * STRIDE
+            yield part, score, count, np.array([b if w is None else w[b] for b, w in zip(begin, source, strict=True)], np.int64)
 
 
 def reject_toxic(docs: DataFrame, model: Network | float) -> DataFrame:
@@ -342,7 +344,8 @@ def score_toxicity(docs: DataFrame, model: Network | float) -> DataFrame:
     window begins, counted in words).
 
     All overlapping windows of the whole text are scored; the highest logit,
-    scaled, gives the score. Null and empty texts have one empty window.
+    scaled, gives the score. Words above 24 bytes are overlapping pieces, each
+    one place of a window. Null and empty texts have one empty window.
     Repeated rows score alike; other columns are ignored; no rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

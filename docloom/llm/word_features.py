@@ -6,19 +6,52 @@ from itertools import islice
 
 import numpy as np
 
-#: Bytes of a word that features see: a longer word is its first HEAD and last TAIL bytes.
-HEAD, TAIL = 16, 8
+#: Bytes of a word at most; a longer one becomes pieces of about so many that begin so many bytes apart.
+LONGEST, APART = 24, 12
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def pieces(word: str) -> list[str]:
+    """Overlapping pieces of at most LONGEST bytes, cut between characters; no n-gram of up to 5 bytes is lost."""
+    raw = word.encode("utf-8", "replace")
+    out, s, e = [], 0, 0
+    whole = lambda i: i if i >= len(raw) or raw[i] & 0xC0 != 0x80 else whole(i - 1)
+    for at in range(0, len(raw), APART):
+        s = whole(at)
+        e = min(len(raw), whole(s + LONGEST))
+        out.append(raw[s:e].decode("utf-8"))
+        if e == len(raw):
+            break
+    return out
+
+
+def split_long(words: list[str]) -> tuple[list[str], np.ndarray | None]:
+    """The words, long ones as their pieces, and the word each is from (None where no word is long)."""
+    long = [
+        i for i, w in enumerate(words) if len(w) > LONGEST // 4 and (len(w) > LONGEST or not w.isascii()) and len(w.encode("utf-8", "replace")) > LONGEST
+    ]
+    if not long:
+        return words, None
+    out, source, at = [], [], 0
+    for i in [*long, len(words)]:
+        out += words[at:i]
+        source.append(np.arange(at, i))
+        if i < len(words):
+            out += (made := pieces(words[i]))
+            source.append(np.full(len(made), i))
+        at = i + 1
+    return out, np.concatenate(source)
+
+
 def as_bytes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes between boundary marks, padded with zeros, and the lengths with the marks."""
+    """Bytes between boundary marks, padded with zeros, and the lengths with the marks; of words that ``split_long`` gives."""
     raw = [w.encode("utf-8", "replace").replace(b"\0", b" ") for w in words]
-    raw = [b if len(b) <= HEAD + TAIL else b[:HEAD] + b[-TAIL:] for b in raw]
+    if max(map(len, raw), default=0) > LONGEST:
+        raise ValueError(f"a word above {LONGEST} bytes")
     raw = [b"\x02" + b + b"\x03" for b in raw]
-    flat = np.array(raw, dtype=f"S{HEAD + TAIL + 2}") if raw else np.empty(0, f"S{HEAD + TAIL + 2}")
+    flat = np.array(raw, dtype=f"S{LONGEST + 2}") if raw else np.empty(0, f"S{LONGEST + 2}")
     size = np.fromiter(map(len, raw), np.int64, len(raw))
-    return flat.view(np.uint8).reshape(len(raw), HEAD + TAIL + 2).astype(np.uint64), size
+    return flat.view(np.uint8).reshape(len(raw), LONGEST + 2).astype(np.uint64), size
 
 
 def ngram_slots(words: list[str], sizes: tuple[int, ...], buckets: int) -> np.ndarray:

@@ -468,3 +468,38 @@ def test_bigrams_share_no_counts():
     words = cross_entropy.WordHashes()([" ".join(f"w{i}" for i in range(1200))])[0]
     names = cross_entropy.pair_names(np.repeat(words, 1200), np.tile(words, 1200))  # 1,440,000 bigrams
     assert len(np.unique(np.r_[names, words])) == 1200 * 1200 + 1200
+
+
+def test_long_words_are_read_whole():
+    from docloom.llm.word_features import LONGEST, as_bytes, ngram_slots, split_long
+
+    r = random.Random(5)
+    for letters in ("abcdefgh-", "aé漢字😀"):
+        for n in (1, 6, 7, 24, 25, 40, 3000):
+            word = "".join(r.choice(letters) for _ in range(n))
+            got, source = split_long(["one", word, "two"])
+            raw = word.encode()
+            assert all(len(p.encode()) <= LONGEST for p in got) and got[0] == "one" and got[-1] == "two"
+            assert got == ["one", word, "two"] if len(raw) <= LONGEST else source.tolist() == [0, *[1] * (len(got) - 2), 2]
+            for g in (2, 3, 4, 5):
+                seen = {p.encode()[i : i + g] for p in got[1:-1] for i in range(len(p.encode()) - g + 1)}
+                assert {raw[i : i + g] for i in range(len(raw) - g + 1)} == seen
+    middle = "字" * 300 + "vilewort" + "字" * 300
+    assert set(ngram_slots(["vilewort"], (3,), 1 << 20).ravel()[1:7]) <= set(ngram_slots(split_long([middle])[0], (3,), 1 << 20).ravel())
+    with pytest.raises(ValueError):
+        as_bytes([middle])
+
+
+def test_words_within_long_runs_are_judged(spark):
+    rows = corpus(300, ["vilewort", "grimslur"], 1)
+    runs = [(2000, "one two " + "-".join(["w1"] * 500)), (2001, "one two " + "-".join(["w1"] * 500 + ["vilewort"] + ["w1"] * 500))]
+    docs = documents(spark, [(i, t, "en", "a") for i, t, _ in rows] + [(i, t, "en", "a") for i, t in runs])
+    labels = spark.createDataFrame([(i, y, 1) for i, _, y in rows], "doc_id long, toxic int, quality int")
+    model = toxicity.fit_toxicity(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs.where("doc_id >= 2000"), model).collect()}
+    assert got[2001]["score"] > got[2000]["score"] + 0.3 and got[2001]["worst_word"] == 2 and got[2001]["n_windows"] > 20
+    made = lambda c, n: "_".join(c for _ in range(n))
+    texts = [(i, made("ung" if i % 2 else "tion", 3), "de" if i % 2 else "en", "s") for i in range(200)] + [(900, "tion_" + made("ung", 400) + "_tion", None, "s")]
+    docs = documents(spark, texts)
+    found = {x["doc_id"]: x for x in lang_crf.label_languages(docs, lang_crf.fit_languages(docs)).collect()}
+    assert found[900]["lang_pred"] == "de" and found[900]["n_words"] == 1 and found[900]["n_switches"] <= 4
