@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -14,9 +16,9 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .url_filter import url_host
 
-#: Tokens of a repeated run at least, distinct pages it must stand on, part of a block's tokens such runs must cover.
-RUN, PAGES, COVER = 6, 3, 0.5
-#: Pages of a host that are put into one suffix array; larger hosts are dealt into several.
+#: Tokens of a repeated run at least, distinct pages it must stand on.
+RUN, PAGES = 6, 3
+#: Pages of a host that are put into one suffix array; larger hosts are dealt into several, whose counts are added.
 SHARD = 512
 
 BLOCK = set(
@@ -160,17 +162,18 @@ def suffix_order(tokens: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]
     return np.argsort(rank, kind="stable"), rank
 
 
-def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
-    """Per token of each page's stream whether a run of ``run`` tokens around it stands on so many distinct pages.
+def run_classes(streams: list[list[str]], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where runs of ``run`` tokens begin in the streams laid end to end with a separator after each, the class of equal
+    runs of each, on how many streams the class stands, and where the streams end.
 
-    The streams are laid end to end with separators that nothing equals; runs
-    with the same first tokens are neighbours in the suffix array.
+    The separators equal nothing; runs with the same first tokens are
+    neighbours in the suffix array.
     """
     vocab: dict[str, int] = {}
     ids = [np.array([vocab.setdefault(w, len(vocab)) for w in s], np.int64) for s in streams]
     apart = len(vocab) + np.arange(len(streams))
     if not ids:
-        return []
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     tokens = np.concatenate([np.r_[s, a] for s, a in zip(ids, apart, strict=True)])
     owner = np.repeat(np.arange(len(streams)), [len(s) + 1 for s in ids])
     order, rank = suffix_order(tokens, run)
@@ -190,30 +193,68 @@ def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> li
     new = np.r_[True, (grouped[1:] != grouped[:-1]) | (who[1:] != who[:-1])]
     distinct = np.bincount(grouped, weights=new, minlength=len(tokens) + 1)
     ends = np.cumsum([len(s) + 1 for s in ids])
-    starts = order[(distinct[grouped] >= pages) & (order + run < ends[owner[order]])]  # without a separator
-    mark = np.zeros(len(tokens) + run + 1, np.int64)
+    inside = order + run < ends[owner[order]]  # without a separator
+    return order[inside], grouped[inside], distinct[grouped][inside].astype(np.int64), ends
+
+
+def covered(starts: np.ndarray, ends: np.ndarray, run: int) -> list[np.ndarray]:
+    """Per token of each stream whether a run that begins at one of ``starts`` holds it."""
+    total = int(ends[-1]) if len(ends) else 0
+    mark = np.zeros(total + run + 1, np.int64)
     np.add.at(mark, starts, 1)
     np.add.at(mark, starts + run, -1)
-    covered = np.cumsum(mark)[: len(tokens)] > 0
-    return [covered[e - len(s) - 1 : e - 1] for s, e in zip(ids, ends, strict=True)]
+    held = np.cumsum(mark)[:total] > 0
+    return [held[a : b - 1] for a, b in zip(np.r_[0, ends[:-1]].astype(np.int64), ends, strict=True)]
+
+
+def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
+    """Per token of each page's stream whether a run of ``run`` tokens around it stands on so many distinct pages."""
+    starts, _, count, ends = run_classes(streams, run)
+    return covered(starts[count >= pages], ends, run)
 
 
-def unique_blocks(pages: list[list[str]], run: int = RUN, least: int = PAGES, cover: float = COVER) -> list[list[str]]:
-    """The blocks of the pages of one host that repeated runs do not cover; shorter blocks than a run go if whole blocks repeat."""
+def block_runs(pages: list[list[str]], run: int):
+    """The tokens of pages end to end and, as ``run_classes`` gives them, the runs that lie in one block: what stands around
+    a repeated block is no part of it."""
     streams = [[w for b in p for w in [*b.split(" "), "\0"]] for p in pages]
-    marks = repeated(streams, run, least)
-    seen: dict[str, set[int]] = {}
-    for i, p in enumerate(pages):
-        for b in p:
-            seen.setdefault(b, set()).add(i)
+    starts, kind, count, ends = run_classes(streams, run)
+    flat = [w for s in streams for w in [*s, "\0"]]
+    cuts = np.cumsum([0, *(w == "\0" for w in flat)])
+    inside = cuts[starts + run] == cuts[starts]
+    return flat, starts[inside], kind[inside], count[inside], ends
+
+
+def _name(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _run_name(tokens: list[str]) -> int:
+    return _name("\1" + "\n".join(tokens))
+
+
+def counted_runs(pages: list[list[str]], run: int = RUN) -> dict[int, int]:
+    """64-bit names of the runs, and of the blocks shorter than a run, of distinct pages: on how many of them each stands."""
+    flat, starts, kind, count, _ = block_runs(pages, run)
+    _, first = np.unique(kind, return_index=True)
+    out = {_run_name(flat[s : s + run]): n for s, n in zip(starts[first].tolist(), count[first].tolist(), strict=True)}
+    short = Counter(b for p in pages for b in set(p) if b.count(" ") + 1 < run)
+    return out | {_name(b): n for b, n in short.items()}
+
+
+def unique_text(pages: list[list[str]], known: set[int], run: int = RUN) -> list[list[str]]:
+    """Of each page the tokens that no run named in ``known`` holds, by block, without the short blocks named there."""
+    flat, starts, kind, _, ends = block_runs(pages, run)
+    _, first, which = np.unique(kind, return_index=True, return_inverse=True)
+    use = np.array([_run_name(flat[s : s + run]) in known for s in starts[first].tolist()], bool)
     out = []
-    for p, mark in zip(pages, marks, strict=True):
+    for p, mark in zip(pages, covered(starts[use[which]], ends, run), strict=True):
         at, kept = 0, []
         for b in p:
-            n = b.count(" ") + 1
-            if mark[at : at + n].mean() < cover and (n >= run or len(seen[b]) < least):
-                kept.append(b)
-            at += n + 1
+            words = b.split(" ")
+            left = [w for w, m in zip(words, mark[at : at + len(words)], strict=True) if not m]
+            if left and (len(words) >= run or _name(b) not in known):
+                kept.append(" ".join(left))
+            at += len(words) + 1
         out.append(kept)
     return out
 
@@ -225,9 +266,11 @@ def extract_text(pages: DataFrame, run: int = RUN, least: int = PAGES, shard: in
     navigation, headers, footers, asides, forms, scripts and elements named as
     menus, adverts, notices, comments and the like are not. On pages without an
     article the remaining blocks are compared with those of the other such
-    pages of the host: a suffix array over their token streams finds runs that
-    stand on at least ``least`` pages, and blocks covered by them are removed.
-    A host with many pages is dealt into arrays of about ``shard`` pages.
+    pages of the host: runs that stand on at least ``least`` pages with
+    different blocks are removed, and so are blocks shorter than a run that
+    stand on as many; the rest of a block stays. Suffix arrays over about
+    ``shard`` pages each find the runs and count their pages; the counts of all
+    arrays of a host are added before a run is judged.
 
     Null and empty html give an empty text, null urls count as one host;
     repeated rows give repeated rows; pages are read whole, however long; other
@@ -251,19 +294,32 @@ def extract_text(pages: DataFrame, run: int = RUN, least: int = PAGES, shard: in
             found = [blocks(h) for h in batch.column("html").to_pylist()]
             use = [i for i, f in enumerate(found) if f and f[0][1] == UNDECIDED]
             yield pa.record_batch(
-                [batch.column("page_id").take(pa.array(use, pa.int64())), batch.column("url").take(pa.array(use, pa.int64())), pa.array([[b for b, _ in found[i]] for i in use], pa.list_(pa.string()))],
-                ["page_id", "url", "blocks"],
+                [
+                    *(batch.column(c).take(pa.array(use, pa.int64())) for c in ("page_id", "url")),
+                    pa.array([hashlib.sha256("\n".join(b for b, _ in found[i]).encode("utf-8", "surrogatepass")).digest() for i in use], pa.binary()),
+                    pa.array([[b for b, _ in found[i]] for i in use], pa.list_(pa.string())),
+                ],
+                ["page_id", "url", "content", "blocks"],
             )
 
-    def unique(group: pd.DataFrame) -> pd.DataFrame:
-        kept = unique_blocks([list(b) for b in group["blocks"]], run, least)
-        return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": ["\n\n".join(b) for b in kept]})
+    def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        found = counted_runs([list(b) for b in group["blocks"]], run)
+        names = np.fromiter(found.keys(), np.int64, len(found))
+        return pd.DataFrame({"host": key[0], "shard": key[1], "name": names, "pages": np.fromiter(found.values(), np.int64, len(found))})
+
+    def unique(group: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        kept = unique_text([list(b) for b in group["blocks"]], set(known["name"].tolist()), run)
+        return pd.DataFrame({"host": group["host"], "content": group["content"], "text": ["\n\n".join(b) for b in kept]})
 
     done = rows.mapInArrow(decided, f"{head}, text string")
-    host = url_host(F.col("url"))
-    open_pages = rows.mapInArrow(undecided, f"{head}, blocks array<string>").withColumn("host", host)
-    # the number of such pages of each host, known without their text
-    sizes = open_pages.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard)).alias("shards"))
-    dealt = open_pages.join(sizes, "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), "shards"))
-    rest = dealt.groupBy("host", "shard").applyInPandas(unique, f"{head}, text string")
+    open_pages = rows.mapInArrow(undecided, f"{head}, content binary, blocks array<string>").withColumn("host", url_host(F.col("url")))
+    # pages with equal blocks are one; the number of such pages of each host is known without their text
+    single = open_pages.groupBy("host", "content").agg(F.first("blocks").alias("blocks"))
+    sizes = open_pages.groupBy("host").agg(F.ceil(F.count_distinct("content") / F.lit(shard)).alias("shards"))
+    dealt = single.join(sizes, "host").withColumn("shard", F.pmod(F.xxhash64("content"), "shards"))
+    counts = dealt.groupBy("host", "shard").applyInPandas(count, "host string, shard long, name long, pages long")
+    many = counts.groupBy("host", "name").agg(F.sum("pages").alias("all")).where(F.col("all") >= least).select("host", "name")
+    known = counts.select("host", "shard", "name").join(many, ["host", "name"], "left_semi")
+    texts = dealt.groupBy("host", "shard").cogroup(known.groupBy("host", "shard")).applyInPandas(unique, "host string, content binary, text string")
+    rest = open_pages.drop("blocks").join(texts, ["host", "content"]).select("page_id", "url", "text")
     return done.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))

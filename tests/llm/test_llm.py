@@ -503,3 +503,17 @@ def test_words_within_long_runs_are_judged(spark):
     docs = documents(spark, texts)
     found = {x["doc_id"]: x for x in lang_crf.label_languages(docs, lang_crf.fit_languages(docs)).collect()}
     assert found[900]["lang_pred"] == "de" and found[900]["n_words"] == 1 and found[900]["n_switches"] <= 4
+
+
+def open_page(i, *blocks):
+    return (i, f"http://h.com/{i}", "".join(f"<div>{b}</div>" for b in blocks))
+
+
+def test_html_runs_count_over_the_whole_host(spark):
+    """A run or short block on three pages goes wherever its pages are dealt."""
+    foot, own = "All rights reserved by the owner of this page", lambda i: f"Story {i} " + " ".join(f"u{i}x{j}" for j in range(12))
+    rows = [open_page(i, own(i), *([foot, "more"] if i % 13 == 0 else [])) for i in range(39)] + [open_page(100, own(100), "two such"), open_page(101, own(101), "two such")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = [{r["page_id"]: r["text"] for r in html_text.extract_text(table, shard=n).collect()} for n in (2, 5, 512)]
+    assert texts[0] == texts[1] == texts[2]
+    assert texts[0] == {i: own(i) + ("\n\ntwo such" if i >= 100 else "") for i in [*range(39), 100, 101]}
