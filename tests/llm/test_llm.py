@@ -517,3 +517,15 @@ def test_html_runs_count_over_the_whole_host(spark):
     texts = [{r["page_id"]: r["text"] for r in html_text.extract_text(table, shard=n).collect()} for n in (2, 5, 512)]
     assert texts[0] == texts[1] == texts[2]
     assert texts[0] == {i: own(i) + ("\n\ntwo such" if i >= 100 else "") for i in [*range(39), 100, 101]}
+
+
+def test_html_copies_are_one_page_and_blocks_keep_their_rest(spark):
+    copy = " ".join(f"c{j}" for j in range(30))
+    foot = "All rights reserved by the owner of this page"
+    rows = [open_page(i, copy, "short") for i in range(5)] + [open_page(0, copy, "short")]
+    rows += [open_page(10 + i, f"{foot} but a{i} b{i} c{i}", f"own{i} " * 9) for i in range(3)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [(r["page_id"], r["text"]) for r in html_text.extract_text(table, shard=2).collect()]
+    assert sorted(got) == sorted(
+        [(i, f"{copy}\n\nshort") for i in [*range(5), 0]] + [(10 + i, f"a{i} b{i} c{i}\n\n" + " ".join([f"own{i}"] * 9)) for i in range(3)]
+    )
