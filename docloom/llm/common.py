@@ -82,37 +82,41 @@ def fit_in_task(rows: DataFrame, fit):
     return pickle.loads(made[0]["made"]) if made else None
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of ``edges`` (a long, b long).
 
-    Rounds of neighbour minimum and pointer jumping over staged tables; nothing
-    but a count of changed rows reaches the driver. Repeated edges and loops do
-    no harm; an empty table gives an empty result (node long, component long).
+    Rounds over staged tables until nothing changes: each node takes the
+    smallest label that it, its label or a neighbour's label has, and hands it
+    to the node that was its label, so that whole trees move at once and the
+    rounds grow with the logarithm of a chain. Nothing but a count of changed
+    rows reaches the driver. Repeated edges and loops do no harm; an empty table
+    gives an empty result (node long, component long).
     """
     both = staged(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),
         "edges",
         few=True,
     )
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels", few=True)
-    for _ in range(max_rounds):
+    first = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels", few=True)
+
+    def with_far(labels):  # the label of each node's label
+        return labels.join(labels.select(F.col("node").alias("component"), F.col("component").alias("far")), "component")
+
+    labels = staged(with_far(first).select("node", "component", "far"), "labels", few=True)
+    while True:
         around = (
-            both.join(labels.select(F.col("node").alias("b"), "component"), "b")
+            both.join(labels.select(F.col("node").alias("b"), "far"), "b")
             .groupBy(F.col("a").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        hop = labels.join(around, "node").select(
-            "node", F.col("component").alias("old"), F.least("component", "near").alias("step")
-        )
-        jump = labels.select(F.col("node").alias("step"), F.col("component").alias("far"))
-        after = staged(
-            hop.join(jump, "step", "left").select("node", "old", F.least("step", "far").alias("component")), "labels", few=True
+            .agg(F.min("far").alias("near"))
         )
-        changed = after.where("old <> component").limit(1).count()
-        labels = after.select("node", "component")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        seen = labels.join(around, "node")
+        own = seen.select("node", F.least("near", "far").alias("to"), F.col("component").alias("old"))
+        hooked = seen.select(F.col("component").alias("node"), F.col("near").alias("to"), F.lit(None).cast("long").alias("old"))
+        step = own.union(hooked).groupBy("node").agg(F.least(F.min("to"), F.max("old")).alias("component"), F.max("old").alias("old"))
+        step = staged(step, "labels", few=True)
+        if not step.where("old <> component").limit(1).count():
+            return step.select("node", "component")
+        labels = staged(with_far(step.select("node", "component")).select("node", "component", "far"), "labels", few=True)
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:

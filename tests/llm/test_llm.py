@@ -529,3 +529,12 @@ def test_html_copies_are_one_page_and_blocks_keep_their_rest(spark):
     assert sorted(got) == sorted(
         [(i, f"{copy}\n\nshort") for i in [*range(5), 0]] + [(10 + i, f"a{i} b{i} c{i}\n\n" + " ".join([f"own{i}"] * 9)) for i in range(3)]
     )
+
+
+def test_components_of_long_chains(spark):
+    r = random.Random(3)
+    names = [r.getrandbits(63) - 2**62 for _ in range(1500)]
+    edges = [*zip(names[:1000], names[1:1000], strict=False), *zip(names[1000:], names[1001:], strict=False)]
+    r.shuffle(edges)
+    got = {x["node"]: x["component"] for x in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(names[:1000], min(names[:1000])), **dict.fromkeys(names[1000:], min(names[1000:]))}
