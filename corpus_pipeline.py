@@ -33,24 +33,37 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows.where("__nth = 1").select(*docs.columns)
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with a hash of each row's whole content: rows that share it are alike in every column."""
+    return docs.withColumn("__row", F.unhex(F.sha2(F.to_json(F.struct(*docs.columns)), 256)))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by word shingles, directly or through others, the one with the smallest doc_id."""
-    found = jaccard_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")), "left_semi").select(*docs.columns)
+    """Of documents linked by word shingles, directly or through others, the one row with the smallest doc_id (null last);
+    all rows whose texts have no words."""
+    found = jaccard_components(with_row(docs), row="__row").select("__row", "component_key", "doc_id")
+    first = Window.partitionBy("component_key").orderBy(F.asc_nulls_last("doc_id"), "__row")
+    linked = found.where("component_key is not null").withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
+    keep = linked.select("__row", F.lit(True).alias("__one")).unionByName(
+        found.where("component_key is null").select("__row", F.lit(False).alias("__one")).distinct()
+    )
+    rows = with_row(docs).join(keep, "__row")
+    same = Window.partitionBy("__row").orderBy("__row")
+    return rows.withColumn("__nth", F.row_number().over(same)).where("not __one or __nth = 1").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: a row for each time a document is taken whole, and one with the words of a part."""
-    plan = mix_sources(docs).where("taken > 0").select(
-        F.col("doc_id").alias("plan_id"), F.col("size").alias("__size"), "whole", "part_from", "part_to"
+    plan = mix_sources(with_row(docs), row="__row").where("taken > 0").select(
+        "__row", F.col("size").alias("__size"), "whole", "part_from", "part_to"
     )
-    plan = plan.dropDuplicates(["plan_id"])
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     ahead = F.slice(words, (F.col("part_from") + 1).cast("int"), (F.least("part_to", "__size") - F.col("part_from")).cast("int"))
     again = F.slice(words, F.lit(1), F.greatest(F.col("part_to") - F.col("__size"), F.lit(0)).cast("int"))
     part = F.when(F.col("part_to") > F.col("part_from"), F.array(F.array_join(F.concat(ahead, again), " ")))
     taken = F.concat(F.array_repeat("text", F.col("whole").cast("int")), F.coalesce(part, F.array().cast("array<string>")))
-    rows = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("plan_id"))).withColumn("__taken", F.explode(taken))
+    # rows alike in every column are one here; each has its own plan
+    rows = with_row(docs).dropDuplicates(["__row"]).join(plan, "__row").withColumn("__taken", F.explode(taken))
     columns = {"text": F.col("__taken"), "n_chars": F.length("__taken").cast("long")}
     return rows.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
 

@@ -87,7 +87,7 @@ def _frequent(docs: DataFrame, k: int, most: int) -> np.ndarray:
     return token[np.lexsort((token, n))]
 
 
-def _prefixes(docs: DataFrame, k: int, hot: np.ndarray, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, k: int, hot: np.ndarray, percent: int, row: str | None = None) -> DataFrame:
     """doc_id, key, n and the prefix of each text's set: rare shingles first by hash, then frequent ones by count."""
     names = np.ascontiguousarray(hot, np.int64).view(np.uint64)
     order = np.argsort(names)
@@ -112,12 +112,13 @@ def _prefixes(docs: DataFrame, k: int, hot: np.ndarray, percent: int) -> DataFra
                             s = np.concatenate([s[~common], s[common][np.argsort(rank[i[common]], kind="stable")]])
                     blobs.append(s[: n - (percent * n + 99) // 100 + 1].tobytes() if n else b"")
                 yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())],
-                    ["doc_id", "key", "n", "prefix"],
+                    [part.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary()), *map(part.column, named)],
+                    ["doc_id", "key", "n", "prefix", *named],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, key long, n long, prefix binary"
+    named = [row] if row else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *named).mapInArrow(
+        run, "doc_id long, key long, n long, prefix binary" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in named)
     )
 
 
@@ -298,9 +299,10 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, k: int = 5, percent: int = 75, hot: int = HOT, small: int = SMALL, bits: int = FILTER_BITS
+    docs: DataFrame, k: int = 5, percent: int = 75, hot: int = HOT, small: int = SMALL, bits: int = FILTER_BITS, row: str | None = None
 ) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, set_key.
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, set_key; and, where ``row`` (a column
+    that names the rows) is given, that and component_key, null for texts without words, equal in one component only.
 
     Words are runs without ASCII white space, A-Z lower-cased; a set holds the
     distinct k-word shingles, of fewer words the whole sequence. Sets link when
@@ -317,8 +319,9 @@ def jaccard_components(
     compared with the other components, some at a time, except where the
     distances to the hub exclude a pair.
     """
-    prefixes = staged(_prefixes(docs, k, _frequent(docs, k, hot), percent), "prefixes")
-    rows = staged(prefixes.select("doc_id", "key", "n"), "rows")
+    prefixes = staged(_prefixes(docs, k, _frequent(docs, k, hot), percent, row), "prefixes")
+    named_rows = [row] if row else []
+    rows = staged(prefixes.select("doc_id", "key", "n", *named_rows), "rows")
     full = rows.where("key is not null")
     nodes = staged(
         full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "nodes", few=True
@@ -353,12 +356,12 @@ def jaccard_components(
         "component", F.coalesce("component", "key")
     )
     least = staged(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least", few=True)
-    of_key = staged(named.join(least, "component").select("key", "component_id"), "of_key", few=True)
-    out = full.select("doc_id", "n", "key").join(of_key, "key").select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("set_key")
+    of_key = staged(named.join(least, "component").select("key", "component_id", "component"), "of_key", few=True)
+    out = full.select("doc_id", "n", "key", *named_rows).join(of_key, "key").select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("set_key"), *named_rows, *([F.col("component").alias("component_key")] if row else [])
     )
     empty = rows.where("key is null").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("key").alias("set_key")
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("key").alias("set_key"), *named_rows, *([F.col("key").alias("component_key")] if row else [])
     )
     return out.unionByName(empty)
 

@@ -81,10 +81,11 @@ def mix_sources(
     block: int = BLOCK,
     shard: int = SHARD,
     seed: int = 17,
+    row: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken, source,
     whole (times the whole text is taken), part_from and part_to (words taken once more; equal: none; beyond
-    the size they go on at the front).
+    the size they go on at the front); and ``row``, a column that names the rows, where given.
 
     Size is the number of words; sources in code point order, null last, weigh
     ``weights`` in turn. Targets are filled into blocks of equal tokens: the
@@ -99,12 +100,14 @@ def mix_sources(
     their order in a shard follows their content. Other columns are ignored;
     no rows give no rows. Equal input gives equal output, however partitioned.
     """
+    named = [row] if row else []
     sized = staged(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("src"),
             F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
             F.xxhash64(F.lit(seed), "doc_id").alias("lot"),
+            *named,
         ),
         "sized",
     )
@@ -128,7 +131,7 @@ def mix_sources(
     dealt = (
         sized.alias("a")
         .join(F.broadcast(plan.alias("b")), same)
-        .select("doc_id", "a.src", "size", "lot", "source_size", "target", "seats", F.pmod(F.shiftright("lot", 20), "shards").alias("shard"))
+        .select("doc_id", "a.src", "size", "lot", "source_size", "target", "seats", F.pmod(F.shiftright("lot", 20), "shards").alias("shard"), *named)
     )
     shards = (
         dealt.groupBy("src", "shard")
@@ -138,7 +141,7 @@ def mix_sources(
     quotas = shards.groupBy("src").applyInPandas(
         _shard_quotas, "src string, shard long, blocks long, tokens long, quota long, seats long"
     )
-    line = Window.partitionBy("src", "shard").orderBy("lot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("src", "shard").orderBy("lot", "doc_id", "size", *named).rowsBetween(Window.unboundedPreceding, 0)
     laid = dealt.withColumn("end", F.sum("size").over(line)).withColumn("begin", F.col("end") - F.col("size"))
     quota = staged(quotas.select(F.col("src").alias("q_src"), F.col("shard").alias("q_shard"), "blocks", "tokens", "quota"), "quotas")
     both = laid.join(quota, F.col("src").eqNullSafe(F.col("q_src")) & (F.col("shard") == F.col("q_shard")))
@@ -165,4 +168,5 @@ def mix_sources(
         (F.col("whole") + full.cast("int")).alias("whole"),
         F.when(full, F.lit(0)).otherwise(part_from).cast("long").alias("part_from"),
         F.when(full, F.lit(0)).otherwise(part_from + extra).cast("long").alias("part_to"),
+        *named,
     )

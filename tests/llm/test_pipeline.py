@@ -91,3 +91,30 @@ def test_tokenizing_stage_and_run(spark, tmp_path):
 
 def test_stages_are_in_order():
     assert [n for n, _ in P.STAGES][0] == "toxicity" and len(P.STAGES) == 5 and toxicity.WINDOW == 16
+
+
+def test_rows_that_share_an_id_are_mixed_on_their_own(spark):
+    r = random.Random(7)
+    make = lambda n: " ".join(f"v{r.randrange(10**12)}" for _ in range(n))
+    rows = [(i, make(r.randrange(20, 200)), f"s{i % 3}") for i in range(30)]
+    rows += [(None, make(n), f"s{n % 3}") for n in (3, 500, 40, 77)] + [(5, make(400), "s0"), (5, make(6), "s1"), (6, rows[6][1], "s0"), (6, rows[6][1], "s0")]
+    docs = table(spark, rows)
+    words = lambda t: t.split(" ")
+    got = [(x["doc_id"], words(x["text"])) for x in STAGE["mixing sources to target weights"](spark, docs, None).collect()]
+    plan = collections.Counter()
+    for x in P.mix_sources(docs).collect():
+        plan[x["doc_id"], x["size"], x["source"]] += x["taken"]
+    owner = {w: (i, len(words(t)), s) for i, t, s in rows for w in words(t)}  # every word is of one text
+    owner |= {w: (6, len(words(rows[6][1])), "s0") for w in words(rows[6][1])}
+    taken = collections.Counter()
+    for i, w in got:
+        assert w and all(owner[x][0] == i for x in w)
+        taken[owner[w[0]]] += len(w)
+    assert taken == {k: n for k, n in plan.items() if n}
+
+
+def test_near_copies_among_null_ids(spark):
+    base = [" ".join(f"t{i}x{j}" for j in range(60)) for i in range(4)]
+    rows = [(None, base[0], "a"), (None, base[0] + " more", "a"), (1, base[1], "a"), (None, base[1] + " more", "a"), (2, base[2], "a"), (2, base[2] + " more", "a"), (2, base[3], "a"), (None, None, "a"), (None, "", "a")]
+    got = sorted((r["doc_id"] or 0, (r["text"] or "")[:4]) for r in STAGE["n-gram Jaccard join"](spark, table(spark, rows), None).collect())
+    assert got == [(0, ""), (0, ""), (0, "t0x0"), (1, "t1x0"), (2, "t2x0"), (2, "t3x0")]
