@@ -33,7 +33,7 @@ def _bare(word: str) -> str:
 
 
 def windows(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the words of all overlapping windows in texts laid end to end, which are real, and whose they are.
+    """Places of the words of the windows, STRIDE words apart, in texts laid end to end, which are real, and whose they are.
 
     A text without words has one window without words.
     """
@@ -343,8 +343,9 @@ def score_toxicity(docs: DataFrame, model: Network | float) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, score, predicted, n_windows, worst_word (where the highest
     window begins, counted in words).
 
-    All overlapping windows of the whole text are scored; the highest logit,
-    scaled, gives the score. Words above 24 bytes are overlapping pieces, each
+    Windows of WINDOW words that begin every STRIDE words cover the whole text;
+    so a phrase of more than STRIDE + 1 words may lie whole in none. The highest
+    logit, scaled, gives the score. Words above 24 bytes are overlapping pieces, each
     one place of a window. Null and empty texts have one empty window.
     Repeated rows score alike; other columns are ignored; no rows give no rows.
     """
