@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of characters outside ASCII white space.
@@ -46,6 +48,11 @@ def staged(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` whose tasks read the same rows in the same order each time: as it is if it only scans, else staged."""
+    return staged(df, "settled") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def drop_staged(df: DataFrame) -> None:
     """Remove the files behind a staged table that no later step reads."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
@@ -60,6 +67,26 @@ def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
     return df
 
 
+def _bit(table: bytes, bits: int, key: Column) -> Column:
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    byte = F.conv(F.hex(F.substring(F.unhex(F.lit(table.hex())), (F.floor(slot / 8) + 1).cast("int"), F.lit(1))), 16, 10)
+    return F.getbit(byte.cast("int"), F.pmod(slot, F.lit(8)).cast("int")) == 1
+
+
+def bit_filter(keys: DataFrame, most: int) -> Callable[[Column], Column]:
+    """Tells of a key whether ``keys`` (one long column) may hold it, by a table of eight bits a key, ``most`` bits at most:
+    what is broadcast is bounded, and a fuller table only lets more keys through."""
+    (name,) = keys.columns
+    bits = min(most, max(1 << 13, 1 << (8 * keys.count()).bit_length()))
+    slots = keys.select(F.pmod(F.xxhash64(name), F.lit(bits)).alias("slot"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(32)).cast("int"))
+    table = bytearray(bits // 8)
+    packed = slots.groupBy(F.floor(F.col("slot") / 32).alias("w")).agg(F.bit_or(one).alias("b")).toArrow()
+    words = np.frombuffer(table, "<u4")
+    words[packed["w"].to_numpy()] = packed["b"].to_numpy().astype("<u4")
+    return lambda key: _bit(bytes(table), bits, key)
+
+
 def fit_in_task(rows: DataFrame, fit):
     """What ``fit`` makes of all ``rows`` (a bounded sample), sorted: run by one task, so that the driver holds the result only.
 

@@ -3,41 +3,33 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import most_frequent, small_batches, staged
+from .common import bit_filter, settled, small_batches, staged
 
 #: Weight of the unigrams.
 PRIOR = 50.0
-#: Words a task counts, or scores, together.
+#: Words of a chunk: what a task counts, or scores, together.
 CHUNK = 1 << 21
-#: Distinct words a task counts before it hands them on.
+#: Words a task remembers the names of.
 MEMO = 300_000
+#: Bits of the filter that picks the target's texts before they are joined; a fuller filter lets more texts through.
+FILTER_BITS = 1 << 24
+#: Buckets of names for each shuffle partition; a task counts one at a time.
+BUCKETS = 4
 
 
 def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def cells_of(ids: np.ndarray, first: np.ndarray, start: int, cells: int) -> np.ndarray:
-    """The cell of each bigram (word before, word); ``first`` marks the first words of texts, which follow ``start``."""
-    before = np.r_[start, ids[:-1]] if len(ids) else ids
-    before = np.where(first, start, before).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        h = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        h ^= h >> np.uint64(29)
-        h = h * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    return (h % np.uint64(cells)).astype(np.int64)
-
-
 class WordHashes:
     """64-bit names of words, even; what stands before a text's first word is named like the empty word."""
 
@@ -74,238 +66,204 @@ def before_each(ids: np.ndarray, sizes: np.ndarray, start) -> np.ndarray:
     return out
 
 
-def vocabulary(docs: DataFrame, most: int) -> dict[str, int]:
-    """The most frequent words of all texts, numbered by falling count; counted in the tasks before the shuffle."""
+def pack(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers as bytes of equal weight together, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    used = int(planes.any(1).nonzero()[0].max(initial=-1)) + 1
+    head = len(numbers).to_bytes(8, "little") + bytes([used])
+    return head + (pa.compress(planes[:used].tobytes(), codec="zstd", asbytes=True) if used else b"")
 
-    def count(batches):
-        from collections import Counter
 
-        seen = Counter()
-        flush = lambda: pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words_of(text))
-                if len(seen) > MEMO:
-                    yield flush()
-                    seen.clear()
-        yield flush()
-
-    counts = staged(small_batches(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    table = most_frequent(counts, most).toArrow()
-    pairs = sorted(zip(table["n"].to_pylist(), table["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
-    return {w: i for i, (_, w) in enumerate(pairs)}
-
-
-class Model:
-    """Counts of one side, scaled to the other side's size: unigrams, and bigrams folded into shared cells."""
-
-    def __init__(self, unigrams: np.ndarray, bigrams: np.ndarray, scale: float, prior: float = PRIOR):
-        self.uni = unigrams * scale
-        self.bi = bigrams * scale
-        self.prior = prior
-        words = self.uni[:-1]  # the last entry counts text starts
-        self.base = (words + 1.0) / (words.sum() + len(words))  # every word of the vocabulary is possible
-
-    def losses(self, ids: np.ndarray, before_count: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        """Negative log probability of each word after the word before: the bigram's share, drawn to the unigram's."""
-        pair = np.minimum(np.minimum(self.bi[cells], before_count), self.uni[ids])  # no more than either word, should cells be shared
-        return -np.log((pair + self.prior * self.base[ids]) / (before_count + self.prior))
-
-
-def _numbers(vocab: dict[str, int], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers of texts end to end, the text of each, and which are first words."""
-    unknown = len(vocab)
-    lists = [words_of(t) for t in texts]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    get = vocab.get
-    ids = np.fromiter((get(w, unknown) for row in lists for w in row), np.int64, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(lists)), sizes)
-    first = np.r_[True, owner[1:] != owner[:-1]] if len(owner) else np.empty(0, bool)
-    return ids, owner, first
+def unpack(blob: bytes) -> np.ndarray:
+    n, used = int.from_bytes(blob[:8], "little"), blob[8]
+    planes = np.zeros((8, n), np.uint8)
+    if used:
+        planes[:used] = np.frombuffer(pa.decompress(blob[9:], decompressed_size=n * used, codec="zstd", asbytes=True), np.uint8).reshape(used, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-NAMES = ["doc_id", "n_tokens", "ce_target", "ce_background", "ce_diff"]
-SCHEMA = "doc_id long, n_tokens long, ce_target double, ce_background double, ce_diff double"
-
+def pack_rising(names: np.ndarray) -> bytes:
+    return pack(np.diff(names, prepend=np.uint64(0)))
 
-def _marked(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with ``inside``: whether the id is in ``target``; else null."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("inside", F.lit(True)).hint("merge"),
-        "doc_id",  # the labels grow with the documents: sorted, whatever their size
-        "left",
-    )
 
+def unpack_rising(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob), dtype=np.uint64)
 
-def _fit_folded(docs: DataFrame, target: DataFrame, most: int, cells: int):
-    """Models of the ``most`` frequent words, whose bigrams share ``cells`` cells; held whole by every task."""
-    spark = docs.sparkSession
-    vocab = vocabulary(docs, most)
-    shared = spark.sparkContext.broadcast(vocab)
-    unknown, start = len(vocab), len(vocab) + 1
-    marked = _marked(docs, target)
-
-    def count(batches):
-        known = shared.value
-        uni, bi = np.zeros((2, start + 1), np.int64), np.zeros((2, cells), np.int64)
-        for batch in batches:
-            inside = np.array([bool(x) for x in batch.column("inside").to_pylist()], bool)
-            for s in range(0, batch.num_rows, 1024):
-                ids, owner, first = _numbers(known, batch.column("text").slice(s, 1024).to_pylist())
-                side = inside[s : s + 1024][owner].astype(bool)
-                cell = cells_of(ids, first, start, cells)
-                for k, m in ((0, ~side), (1, side)):
-                    uni[k] += np.bincount(ids[m], minlength=start + 1)
-                    uni[k, start] += int(first[m].sum())
-                    bi[k] += np.bincount(cell[m], minlength=cells)
-        both = np.concatenate([uni, bi], axis=1)
-        at = np.flatnonzero(both.any(0))
-        yield pa.record_batch([pa.array(at), pa.array(both[0, at]), pa.array(both[1, at])], ["at", "back", "goal"])
-
-    sums = marked.select("text", "inside").mapInArrow(count, "at long, back long, goal long")
-    table = sums.groupBy("at").agg(F.sum("back").alias("back"), F.sum("goal").alias("goal")).toArrow()  # at most cells + vocabulary rows
-    back, goal = np.zeros(start + 1 + cells), np.zeros(start + 1 + cells)
-    at = table["at"].to_numpy().astype(np.int64)
-    back[at], goal[at] = table["back"].to_numpy(), table["goal"].to_numpy()
-    n_back, n_goal = back[: unknown + 1].sum(), goal[: unknown + 1].sum()
-    scale = n_goal / n_back if n_back and n_goal else 1.0
-    return vocab, Model(goal[: start + 1], goal[start + 1 :], 1.0), Model(back[: start + 1], back[start + 1 :], scale)
 
+class Corpus(NamedTuple):
+    """What the models are made of: all counted texts, and the ids of those that make the target model."""
 
-def _score_folded(docs: DataFrame, models, cells: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    def run(batches):
-        vocab, goal, back = shared.value
-        start = len(vocab) + 1
-        for batch in batches:
-            for s in range(0, batch.num_rows, 1024):
-                part = batch.slice(s, 1024)
-                ids, owner, first = _numbers(vocab, part.column("text").to_pylist())
-                cell = cells_of(ids, first, start, cells)
-                before = np.where(first, start, np.r_[start, ids[:-1]] if len(ids) else ids)
-                n = np.bincount(owner, minlength=part.num_rows)
-                a, b = (
-                    np.bincount(owner, m.losses(ids, m.uni[before], cell), part.num_rows) / np.maximum(1, n) for m in (goal, back)
-                )
-                yield pa.record_batch([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b), pa.array(a - b)], NAMES)
-
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, SCHEMA
-    )
+    docs: DataFrame
+    target: DataFrame
 
 
-class Counts(NamedTuple):
-    """Table of name, back, goal (how often each word and bigram stands on both sides), and its totals."""
-
-    table: DataFrame
-    n_back: int
-    n_goal: int
-    n_words: int
-
-
-def fit_models(docs: DataFrame, target: DataFrame, most: int | None = None, cells: int | None = None):
-    """Counts of every word and every bigram in all rows of ``docs`` (doc_id, text).
+def fit_models(docs: DataFrame, target: DataFrame) -> Corpus:
+    """Models of every word and every bigram in all rows of ``docs`` (doc_id, text).
 
     Texts whose doc_id is in ``target`` (doc_id) make the target model, all
     others the background model, scaled to the target's number of words. Null
-    ids are background. Words and bigrams are named by 64-bit hashes; their
-    counts stay in a table. With ``most`` and ``cells`` only so many words are
-    known and their bigrams share so many cells.
+    ids are background. Nothing is counted before texts are scored: counts are
+    shuffled once, and answered to the chunks of texts that ask for them.
     """
-    if most is not None and cells is not None:
-        return _fit_folded(docs, target, most, cells)
+    return Corpus(docs, target)
 
-    def count(batches):
-        names_of, held, size = WordHashes(), [], 0
 
-        def flush():
-            names, side = (np.concatenate(x) for x in zip(*held, strict=True))
-            names, at = np.unique(names, return_inverse=True)
-            goal = np.bincount(at, side, len(names)).astype(np.int64)
-            back = np.bincount(at, minlength=len(names)) - goal
-            for s in range(0, len(names), 1 << 16):
-                e = s + (1 << 16)
-                yield pa.record_batch([pa.array(names[s:e].view(np.int64)), pa.array(back[s:e]), pa.array(goal[s:e])], ["name", "back", "goal"])
+def _chunks(batches) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """doc_ids, names of the words and sizes of the texts of each chunk; the same for the same rows."""
+    names_of, ids, held, size = WordHashes(), [], [], 0
 
-        for batch in batches:
-            inside = np.array([bool(x) for x in batch.column("inside").to_pylist()], bool)
-            for s in range(0, batch.num_rows, 64):
-                words, sizes = names_of(batch.column("text").slice(s, 64).to_pylist())
-                side = inside[s : s + 64]
-                own = np.repeat(side, sizes)
-                starts = side[sizes > 0]
-                held.append((np.concatenate([words, pair_names(before_each(words, sizes, START), words), np.full(len(starts), START)]), np.concatenate([own, own, starts])))
-                size += len(words)
-                if size > CHUNK:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
-
-    sums = small_batches(_marked(docs, target)).select("text", "inside").mapInArrow(count, "name long, back long, goal long")
-    table = staged(sums.groupBy("name").agg(F.sum("back").alias("back"), F.sum("goal").alias("goal")), "counts")
-    is_word = (F.col("name").bitwiseAND(F.lit(1)) == 0) & (F.col("name") != F.lit(int(START.view(np.int64))))
-    total = table.where(is_word).agg(F.sum("back").alias("back"), F.sum("goal").alias("goal"), F.count(F.lit(1)).alias("n")).first()
-    return Counts(table, total["back"] or 0, total["goal"] or 0, total["n"])
-
-
-def _chunks(batches):
-    """Rows of texts (chunk, doc_id, its words numbered within the chunk, number of the chunk's words) and rows of the
-    distinct words and bigrams of each chunk (chunk, at, name): words by name first, then bigrams by word numbers."""
-    names_of, ids, held, size, turn = WordHashes(), [], [], 0, 0
-    part = TaskContext.get().partitionId() << 32
+    def made():
+        return ids, np.concatenate([w for w, _ in held]), np.concatenate([n for _, n in held])
 
-    def flush():
-        sizes = np.concatenate([n for _, n in held])
-        words = np.concatenate([w for w, _ in held])
-        own, at = np.unique(np.concatenate([[START], words]).astype(np.uint64), return_inverse=True)
-        at, start = at[1:].astype(np.int64), at[0]
-        pairs = np.unique(before_each(at, sizes, start) * len(own) + at)
-        names = np.concatenate([own, pair_names(own[pairs // len(own)], own[pairs % len(own)])]).view(np.int64)
-        for s in range(0, len(names), 1 << 16):
-            n = len(names[s : s + (1 << 16)])
-            none = pa.nulls(n, pa.int64())
-            yield pa.record_batch(
-                [pa.array(np.full(n, part + turn)), pa.array(np.arange(s, s + n)), pa.array(names[s : s + n]), none, none, pa.nulls(n, pa.list_(pa.int32()))], columns
-            )
-        end = np.cumsum(sizes)
-        for s in range(0, len(ids), 1024):
-            n = len(ids[s : s + 1024])
-            low = int(end[s - 1]) if s else 0
-            offsets = np.concatenate([[0], end[s : s + n] - low]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(at[low : end[s + n - 1]].astype(np.int32)))
-            none = pa.nulls(n, pa.int64())
-            yield pa.record_batch([pa.array(np.full(n, part + turn)), none, none, pa.array(ids[s : s + n], pa.int64()), pa.array(np.full(n, int(start))), lists], columns)
-
-    columns = ["chunk", "at", "name", "doc_id", "start", "words"]
     for batch in batches:
         for s in range(0, batch.num_rows, 64):
-            ids += batch.column("doc_id").slice(s, 64).to_pylist()
+            ids = ids + batch.column("doc_id").slice(s, 64).to_pylist()
             held.append(names_of(batch.column("text").slice(s, 64).to_pylist()))
             size += len(held[-1][0]) + len(held[-1][1])
             if size > CHUNK:
-                yield from flush()
-                ids, held, size, turn = [], [], 0, turn + 1
+                yield made()
+                ids, held, size = [], [], 0
+    if held:
+        yield made()
+
+
+def _numbered(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rising names of a chunk's words and of the start, the number of each word among them, and the start's."""
+    own, at = np.unique(np.concatenate([[START], words]).astype(np.uint64), return_inverse=True)
+    return own, at[1:].astype(np.int64), int(at[0])
+
+
+def _requests(buckets: int, counted: bool, asked: bool):
+    """Rows (chunk, bucket, names, counts) of the distinct words and bigrams of each chunk, rising by name.
+
+    ``counted``: how often each stands there; ``asked``: the chunk waits for an answer.
+    """
+
+    def run(batches):
+        part = TaskContext.get().partitionId() << 32
+        for turn, (_, words, sizes) in enumerate(_chunks(batches)):
+            own, at, start = _numbered(words, sizes)
+            pairs, pair_n = np.unique(before_each(at, sizes, start) * len(own) + at, return_counts=True)
+            word_n = np.bincount(at, minlength=len(own))
+            word_n[start] += int((sizes > 0).sum())
+            names = np.concatenate([own, pair_names(own[pairs // len(own)], own[pairs % len(own)])])
+            counts = np.concatenate([word_n, pair_n]) if counted else np.zeros(len(names), np.int64)
+            order = np.argsort(names)
+            names, counts = names[order], counts[order]
+            yield from _dealt(part + turn if asked else None, names, counts, buckets)
+
+    return run
+
+
+def _edges(names: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the names of each bucket, a range of names, begin; and the end."""
+    firsts = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(names, firsts), [len(names)]])
+
+
+def _dealt(chunk: int | None, names: np.ndarray, counts: np.ndarray, buckets: int):
+    edges = _edges(names, buckets)
+    for low in range(0, buckets, 256):
+        rows = [b for b in range(low, min(buckets, low + 256)) if edges[b] < edges[b + 1]]
+        cut = [slice(edges[b], edges[b + 1]) for b in rows]
+        yield pa.record_batch(
+            [
+                pa.array([chunk] * len(rows), pa.int64()),
+                pa.array(rows, pa.int64()),
+                pa.array([pack_rising(names[c]) for c in cut], pa.binary()),
+                pa.array([pack(counts[c]) for c in cut], pa.binary()),
+            ],
+            ["chunk", "bucket", "names", "counts"],
+        )
+
+
+ANSWER = "chunk long, bucket long, back binary, goal binary, n_back long, n_goal long, n_words long"
+
+
+def _answers(batches):
+    """For each request (chunk, bucket) the counts of its names on both sides, in its order; the first row of a bucket
+    also has the sums over its words. Rows come sorted by bucket."""
+
+    def done(bucket, rows):
+        lists = [unpack_rising(r[1]) for r in rows]
+        names, at = np.unique(np.concatenate(lists), return_inverse=True)
+        ends = np.cumsum([0, *map(len, lists)])
+        total, goal = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        for (_, _, counts, is_goal), s, e in zip(rows, ends[:-1], ends[1:], strict=True):
+            (goal if is_goal else total)[at[s:e]] += unpack(counts).astype(np.int64)
+        back = total - goal
+        word = ((names & np.uint64(1)) == 0) & (names != START)
+        sums = [int(back[word].sum()), int(goal[word].sum()), int((word & (total > 0)).sum())]
+        wait = [(r[0], at[s:e]) for r, s, e in zip(rows, ends[:-1], ends[1:], strict=True) if r[0] is not None]
+        for i in range(0, max(1, len(wait)), 256):
+            part = wait[i : i + 256] or [(None, np.empty(0, np.int64))]
+            yield pa.record_batch(
+                [
+                    pa.array([c for c, _ in part], pa.int64()),
+                    pa.array([bucket] * len(part), pa.int64()),
+                    pa.array([pack(back[x]) for _, x in part], pa.binary()),
+                    pa.array([pack(goal[x]) for _, x in part], pa.binary()),
+                    *(pa.array([n if i + j == 0 else 0 for j in range(len(part))], pa.int64()) for n in sums),
+                ],
+                ["chunk", "bucket", "back", "goal", "n_back", "n_goal", "n_words"],
+            )
+
+    held, now = [], None
+    for batch in batches:
+        for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "names", "counts", "goal")), strict=True):
+            if bucket != now:
+                if held:
+                    yield from done(now, held)
+                held, now = [], bucket
+            held.append(row)
     if held:
-        yield from flush()
+        yield from done(now, held)
+
+
+TEXTS = "chunk long, bucket long, back binary, goal binary, doc_ids array<long>, sizes array<long>, words binary"
 
 
-def _losses(counts: Counts, prior: float = PRIOR):
-    n_back, n_goal, n_words = counts.n_back, counts.n_goal, counts.n_words
+def _texts(batches):
+    """The texts of each chunk: a row of its names (words: rising names), then rows of texts whose words are numbers."""
+    part = TaskContext.get().partitionId() << 32
+    columns = ["chunk", "bucket", "back", "goal", "doc_ids", "sizes", "words"]
+
+    def row(chunk, ids, sizes, blob):
+        none = pa.nulls(1, pa.binary())
+        longs = pa.list_(pa.int64())
+        return pa.record_batch(
+            [pa.array([chunk]), pa.nulls(1, pa.int64()), none, none, pa.array([ids], longs), pa.array([sizes], longs), pa.array([blob], pa.binary())], columns
+        )
+
+    for turn, (ids, words, sizes) in enumerate(_chunks(batches)):
+        own, at, _ = _numbered(words, sizes)
+        yield row(part + turn, None, None, pack_rising(own))
+        ends = np.cumsum(sizes)
+        for s in range(0, len(ids), 64):
+            low, high = int(ends[s - 1]) if s else 0, int(ends[min(s + 64, len(ids)) - 1])
+            yield row(part + turn, ids[s : s + 64], sizes[s : s + 64].tolist(), pack(at[low:high]))
+
+
+NAMES = ["doc_id", "n_tokens", "ce_target", "ce_background", "ce_diff"]
+SCHEMA = "doc_id long, n_tokens long, ce_target double, ce_background double, ce_diff double"
+
+
+def _losses(n_back: int, n_goal: int, n_words: int, prior: float):
+    """Scores of the texts of each chunk, from its rows of texts and its answers; rows come sorted by chunk and bucket."""
     scale = n_goal / n_back if n_back and n_goal else 1.0
 
-    def score(found, texts):
-        at, back, goal = found
-        sizes = np.concatenate([t[2] for t in texts])
-        ids, words, start = [i for t in texts for i in t[0]], np.concatenate([t[1] for t in texts]), texts[0][3]
-        top = max(int(words.max(initial=0)), start) + 1  # words of the chunk: all stand in its texts, but the start
-        pairs, which = np.unique(before_each(words, sizes, start) * top + words, return_inverse=True)
+    def score(answers, own, texts):
+        ids = [i for t in texts for i in t[0]]
+        sizes = np.array([n for t in texts for n in t[1]], np.int64)
+        at = np.concatenate([unpack(t[2]) for t in texts]).astype(np.int64)
+        start, top = int(np.searchsorted(own, START)), len(own)
+        pairs, which = np.unique(before_each(at, sizes, start) * top + at, return_inverse=True)
+        order = np.argsort(np.concatenate([own, pair_names(own[pairs // top], own[pairs % top])]))
         owner, n = np.repeat(np.arange(len(sizes)), sizes), np.maximum(1, sizes)
         means = []
-        for got, usual, total, k in ((goal, 0, n_goal, 1.0), (back, 1, n_back, scale)):
-            c = np.full(top + len(pairs), float(usual))  # the commonest counts were not sent
-            c[at] = got
-            c *= k
+        for side, total, k in ((1, n_goal, 1.0), (0, n_back, scale)):
+            c = np.empty(len(order))
+            c[order] = np.concatenate([unpack(a[side]) for a in answers]) * k
             base = (c[pairs % top] + 1.0) / (total * k + n_words + 1)  # every word is possible, and one never met
             loss = -np.log((c[top:] + prior * base) / (c[pairs // top] + prior))
             means.append(np.bincount(owner, loss[which], len(sizes)) / n)
@@ -315,57 +273,66 @@ def _losses(counts: Counts, prior: float = PRIOR):
             yield pa.record_batch([pa.array(ids[s:e], pa.int64()), pa.array(sizes[s:e]), pa.array(a[s:e]), pa.array(b[s:e]), pa.array((a - b)[s:e])], NAMES)
 
     def run(batches):
-        chunk, found, texts = None, [], []
-
-        def done():
-            if texts:
-                yield from score([np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 3, texts)
-
+        now, answers, own, texts = None, [], None, []
         for batch in batches:
-            chunks = batch.column("chunk").to_numpy()
-            cuts = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(chunks)]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if s == e:
-                    continue
-                if chunks[s] != chunk:
-                    yield from done()
-                    chunk, found, texts = chunks[s], [], []
-                part = batch.slice(s, e - s)
-                is_text = part.column("words").is_valid()
-                counted = part.filter(pc.invert(is_text))
-                if counted.num_rows:
-                    found.append([counted.column(c).to_numpy() for c in ("at", "back", "goal")])
-                text = part.filter(is_text)
-                if text.num_rows:
-                    lists = text.column("words")
-                    texts.append((text.column("doc_id").to_pylist(), lists.flatten().to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy().astype(np.int64), text.column("start")[0].as_py()))
-        yield from done()
+            for chunk, back, goal, ids, sizes, words in zip(*(batch.column(c).to_pylist() for c in ("chunk", "back", "goal", "doc_ids", "sizes", "words")), strict=True):
+                if chunk != now:
+                    if now is not None:
+                        yield from score(answers, own, texts)
+                    now, answers, own, texts = chunk, [], None, []
+                if back is not None:
+                    answers.append((back, goal))
+                elif ids is None:
+                    own = unpack_rising(words)
+                else:
+                    texts.append((ids, sizes, words))
+        if now is not None:
+            yield from score(answers, own, texts)
 
     return run
 
 
-def score_difference(docs: DataFrame, models, cells: int | None = None) -> DataFrame:
+def score_difference(docs: DataFrame, models: Corpus, prior: float = PRIOR) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, ce_target, ce_background, ce_diff.
 
     Mean loss per word of the whole text under each model, and target minus
-    background: the lower, the more the text is like the target. Null and empty
-    texts have 0 words and 0 everywhere. Repeated rows score alike; other
-    columns are ignored; no rows give no rows.
-
-    Tasks join the distinct words and bigrams of many texts at once to the
-    counts; only counts other than the commonest (1 of the background, none of
-    the target) are sent back to the texts.
+    background: the lower, the more the text is like the target. A bigram's
+    share is drawn to its word's share, which has the weight ``prior``. A text
+    that was counted is in the counts it is scored by (it is not left out), so
+    texts of the target look a little nearer to it than unseen ones would. Null
+    and empty texts have 0 words and 0 everywhere. Repeated rows score alike;
+    other columns are ignored; no rows give no rows.
+
+    Tasks lay texts into chunks and send the distinct names of a chunk's words
+    and bigrams (64-bit hashes), with their counts, to buckets by name. A
+    bucket adds up what all chunks sent and answers each chunk in the order of
+    its names. The texts of a chunk, read again, meet its answers. The target's
+    texts are counted a second time to tell the two sides apart.
     """
-    if cells is not None:
-        return _score_folded(docs, models, cells)
-    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = staged(texts.mapInArrow(_chunks, "chunk long, at long, name long, doc_id long, start long, words array<int>"), "chunks")
-    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    found = held.where("name is not null").select("chunk", "at", "name").join(models.table, "name", "left")
-    found = found.select("chunk", "at", count("back"), count("goal")).where("not (back = 1 and goal = 0)")
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * parts
+    plain = lambda d: small_batches(d).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "chunk long, bucket long, names binary, counts binary"
+    ask = lambda d, counted, asked: d.mapInArrow(_requests(buckets, counted, asked), schema)
+    everything, whole = plain(models.docs), settled(plain(docs))
+    wanted = models.target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    wanted = staged(wanted, "target", few=True)
+    goal = everything.where(bit_filter(wanted, FILTER_BITS)(F.col("doc_id")))
+    goal = goal.join(wanted.hint("merge"), "doc_id", "left_semi")  # the target grows with the documents: sorted, whatever its size
+    # the branch that asks comes first: its tasks are numbered as where its texts are read again
+    same = models.docs is docs
+    sent = [(ask(whole, same, True), False), (ask(goal, True, False), True)]
+    if not same:
+        sent.append((ask(everything, True, False), False))
+    requests = [d.withColumn("goal", F.lit(is_goal)) for d, is_goal in sent]
+    for more in requests[1:]:
+        requests[0] = requests[0].unionByName(more)
+    dealt = requests[0].repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk")
+    answers = staged(dealt.mapInArrow(_answers, ANSWER), "answers")
+    total = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_back", "n_goal", "n_words"))).first()
     none = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    rows = found.select("chunk", "at", "back", "goal", none("doc_id", "long"), none("start", "long"), none("words", "array<int>")).unionByName(
-        held.where("words is not null").select("chunk", none("at", "long"), none("back", "long"), none("goal", "long"), "doc_id", "start", "words")
+    rows = whole.mapInArrow(_texts, TEXTS).unionByName(
+        answers.where("chunk is not null").select("chunk", "bucket", "back", "goal", none("doc_ids", "array<long>"), none("sizes", "array<long>"), none("words", "binary"))
     )
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_losses(models), SCHEMA)
+    return rows.repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_losses(*total, prior), SCHEMA)

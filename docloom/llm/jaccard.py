@@ -6,10 +6,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_staged, most_frequent, small_batches, staged
+from .common import bit_filter, connected_components, drop_staged, most_frequent, small_batches, staged
 
 #: Shingles kept as frequent, at most; they come last in every set's order, so unlike sets that share them stay apart.
 HOT = 100_000
@@ -215,20 +215,9 @@ def _list_pairs(percent: int, small: int):
     return run
 
 
-def _bit(table: bytes, bits: int, key: Column) -> Column:
-    slot = F.pmod(F.xxhash64(key), F.lit(bits))
-    byte = F.conv(F.hex(F.substring(F.unhex(F.lit(table.hex())), (F.floor(slot / 8) + 1).cast("int"), F.lit(1))), 16, 10)
-    return F.getbit(byte.cast("int"), F.pmod(slot, F.lit(8)).cast("int")) == 1
-
-
 def _read_sets(docs: DataFrame, wanted: DataFrame, k: int, bits: int) -> DataFrame:
     """key and set of the texts of ``wanted`` (doc_id), read again; a bounded bit table picks them from all rows."""
-    bits = min(bits, max(1 << 13, 1 << (8 * wanted.count()).bit_length()))
-    slots = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("slot"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(32)).cast("int"))
-    table = bytearray(bits // 8)
-    for w, b in slots.groupBy(F.floor(F.col("slot") / 32).alias("w")).agg(F.bit_or(one).alias("b")).collect():
-        table[4 * w : 4 * w + 4] = int(b).to_bytes(4, "little")
+    may_want = bit_filter(wanted.select("doc_id"), bits)
 
     def run(batches):
         shingles = Shingler(k)
@@ -242,7 +231,7 @@ def _read_sets(docs: DataFrame, wanted: DataFrame, k: int, bits: int) -> DataFra
                     ["key", "members"],
                 )
 
-    picked = docs.where(_bit(bytes(table), bits, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))))
+    picked = docs.where(may_want(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))))
     return picked.select("text").mapInArrow(run, "key long, members binary")
 
 

@@ -397,52 +397,8 @@ def test_forward_backward():
     assert first == pytest.approx(want[[0, 3, 4]].sum(0), abs=1e-5)
 
 
-def test_cross_entropy(spark):
-    rows = [(i, " ".join(RNG.choice(VOCAB[: 60 if i % 2 else 300]) for _ in range(RNG.randrange(0, 50))), "en", "a") for i in range(60)] + [(90, None, "en", "a"), (91, "", "en", "a"), (None, "w1 w2", "en", "a"), (3, "w1 W2", "en", "a")]
-    docs = documents(spark, rows)
-    target = spark.createDataFrame([(i, 0) for i in range(1, 40, 2)] + [(1, 0), (None, 0)], "doc_id long, text long")
-    cells, most = 4096, 50
-    got = cross_entropy.score_difference(docs, cross_entropy.fit_models(docs, target, most, cells), cells).collect()
-    inside = set(range(1, 40, 2))
-    count = collections.Counter(w for _, t, *_ in rows for w in (t or "").lower().split())
-    sizes = collections.Counter(count.values())
-    least = min((n for n in sizes if sum(c for m, c in sizes.items() if m >= n) <= most), default=10**9)
-    vocab = {w: i for i, w in enumerate(sorted((w for w in count if count[w] >= least), key=lambda w: (-count[w], w)))}
-    v = len(vocab)
-    ids = [[vocab.get(w, v) for w in (t or "").lower().split()] for _, t, *_ in rows]
-    cell = lambda a, b: int(cross_entropy.cells_of(np.array([a, b]), np.array([True, False]), v + 1, cells)[1])
-    uni, bi = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
-    for (i, *_), row in zip(rows, ids, strict=True):
-        side = int(i in inside)
-        uni[side].update(row)
-        uni[side][v + 1] += bool(row)
-        bi[side].update(cell(a, b) for a, b in zip([v + 1, *row], row, strict=False))
-    n = [sum(c for w, c in u.items() if w <= v) for u in uni]
-    scale = [n[1] / n[0], 1.0]
-
-    def loss(side, row):
-        out = 0.0
-        for a, b in zip([v + 1, *row], row, strict=False):
-            base = (uni[side][b] * scale[side] + 1) / (n[side] * scale[side] + v + 1)
-            before = uni[side][a] * scale[side]
-            pair = min(bi[side][cell(a, b)] * scale[side], before, uni[side][b] * scale[side])
-            out -= np.log((pair + 50 * base) / (before + 50))
-        return out / max(1, len(row))
-
-    want = sorted((i if i is not None else -1, len(row), round(loss(1, row), 8), round(loss(0, row), 8)) for (i, *_), row in zip(rows, ids, strict=True))
-    assert sorted((g["doc_id"] if g["doc_id"] is not None else -1, g["n_tokens"], round(g["ce_target"], 8), round(g["ce_background"], 8)) for g in got) == want
-    assert all(g["ce_diff"] == pytest.approx(g["ce_target"] - g["ce_background"]) for g in got)
-    assert cross_entropy.score_difference(docs.limit(0), cross_entropy.fit_models(docs.limit(0), target)).count() == 0
-
-
-def test_cross_entropy_of_all_words(spark):
-    """No word and no bigram is left out or shares a count, however many there are."""
-    r = random.Random(12)
-    many = [" ".join(f"q{i * 50 + j}" for j in range(50)) for i in range(700)]  # 35,000 words of one count each
-    rows = [(i, t, "en", "a") for i, t in enumerate(many)] + [(1000 + i, " ".join(r.choice(VOCAB) for _ in range(80)), "en", "a") for i in range(40)] + [(None, None, None, None), (2000, "", "en", "a"), (0, "q1 Q2 new", "en", "a")]
-    inside = set(range(0, 700, 3)) | set(range(1000, 1010))
-    docs, target = documents(spark, rows), spark.createDataFrame([(i,) for i in inside], "doc_id long")
-    got = cross_entropy.score_difference(docs, cross_entropy.fit_models(docs, target)).collect()
+def brute_entropy(rows, inside, scored=None):
+    """n_tokens and both losses of every row of ``scored`` (default: the rows), counted over ``rows``."""
     uni, bi = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
     for i, t, *_ in rows:
         w, side = (t or "").lower().split(), int(i in inside)
@@ -450,7 +406,7 @@ def test_cross_entropy_of_all_words(spark):
         uni[side][""] += bool(w)
         bi[side].update(zip(["", *w], w, strict=False))
     n = [sum(c for w, c in u.items() if w) for u in uni]
-    v, scale = len((set(uni[0]) | set(uni[1])) - {""}), [n[1] / n[0], 1.0]
+    v, scale = len({w for u in uni for w, c in u.items() if w and c}), [n[1] / n[0], 1.0]
 
     def loss(side, w):
         k, out = scale[side], 0.0
@@ -459,9 +415,50 @@ def test_cross_entropy_of_all_words(spark):
             out -= np.log((bi[side][a, b] * k + 50 * base) / (uni[side][a] * k + 50))
         return out / max(1, len(w))
 
-    key = lambda i, *x: (-1 if i is None else i, *(round(y, 8) for y in x))
-    want = sorted(key(i, len(w), loss(1, w), loss(0, w)) for i, t, *_ in rows for w in [(t or "").lower().split()])
-    assert sorted(key(g["doc_id"], g["n_tokens"], g["ce_target"], g["ce_background"]) for g in got) == want
+    return sorted(entropy_key(i, len(w), loss(1, w), loss(0, w)) for i, t, *_ in scored or rows for w in [(t or "").lower().split()])
+
+
+def entropy_key(i, *x):
+    return (-1 if i is None else i, *(round(y, 8) for y in x))
+
+
+def entropy_rows(df):
+    return sorted(entropy_key(g["doc_id"], g["n_tokens"], g["ce_target"], g["ce_background"]) for g in df.collect())
+
+
+@pytest.mark.parametrize("chunk", [1 << 21, 100])
+def test_cross_entropy(spark, monkeypatch, chunk):
+    monkeypatch.setattr(cross_entropy, "CHUNK", chunk)  # read in the driver's closures too
+    rows = [(i, " ".join(RNG.choice(VOCAB[: 60 if i % 2 else 300]) for _ in range(RNG.randrange(0, 50))), "en", "a") for i in range(60)] + [(90, None, "en", "a"), (91, "", "en", "a"), (None, "w1 w2", "en", "a"), (3, "w1 W2", "en", "a"), (3, "w1 W2", "en", "a")]
+    docs = documents(spark, rows)
+    target = spark.createDataFrame([(i, 0) for i in range(1, 40, 2)] + [(1, 0), (None, 0)], "doc_id long, text long")
+    got = cross_entropy.score_difference(docs, cross_entropy.fit_models(docs, target))
+    assert entropy_rows(got) == brute_entropy(rows, set(range(1, 40, 2)))
+    assert all(g["ce_diff"] == pytest.approx(g["ce_target"] - g["ce_background"]) for g in got.collect())
+    others = [(i, " ".join(RNG.choice(["w1", "w2", "unseen", "w9"]) for _ in range(i)), "en", "a") for i in range(30)] + [(4, "w1 " * 30000, "en", "a")]
+    got = cross_entropy.score_difference(documents(spark, others), cross_entropy.fit_models(docs, target))
+    assert entropy_rows(got) == brute_entropy(rows, set(range(1, 40, 2)), others)
+    assert cross_entropy.score_difference(docs.limit(0), cross_entropy.fit_models(docs.limit(0), target)).count() == 0
+
+
+def test_cross_entropy_of_all_words(spark):
+    """No word and no bigram is left out or shares a count, however many there are."""
+    r = random.Random(12)
+    many = [" ".join(f"q{i * 50 + j}" for j in range(50)) for i in range(700)]  # 35,000 words of one count each
+    rows = [(i, t, "en", "a") for i, t in enumerate(many)] + [(1000 + i, " ".join(r.choice(VOCAB) for _ in range(80)), "en", "a") for i in range(40)] + [(None, None, None, None), (2000, "", "en", "a"), (0, "q1 Q2 new", "en", "a")]
+    inside = set(range(0, 700, 3)) | set(range(1000, 1010))
+    docs, target = documents(spark, rows), spark.createDataFrame([(i,) for i in inside], "doc_id long")
+    got = cross_entropy.score_difference(docs, cross_entropy.fit_models(docs, target))
+    assert entropy_rows(got) == brute_entropy(rows, inside)
+
+
+def test_packed_numbers():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 5, 1000):
+        for high in (1, 2, 1 << 20, 1 << 63):
+            x = r.integers(0, high, n, np.uint64)
+            assert (cross_entropy.unpack(cross_entropy.pack(x)) == x).all()
+            assert (cross_entropy.unpack_rising(cross_entropy.pack_rising(np.sort(x))) == np.sort(x)).all()
 
 
 def test_bigrams_share_no_counts():
