@@ -13,11 +13,9 @@ from pyspark.sql import functions as F
 from .common import fit_in_task, small_batches
 from .word_features import WordTable, affix_slots, ngram_slots, split_long
 
-#: Buckets of the features; labelled rows and words of each (spread over the text) that are learned from at most.
+#: Buckets of the features; labelled rows that are learned from at most, each with its whole text.
 BUCKETS = 1 << 15
-MOST_ROWS, MOST_WORDS = 2000, 400
-#: Languages at most; others than the most frequent ones are not learned.
-MOST_LANGS = 64
+MOST_ROWS = 1500
 LETTER = regex.compile(r"\p{L}")
 LEVELS = 4
 
@@ -28,7 +26,7 @@ class Field:
     def __init__(self, langs: list[str]):
         n = len(langs)
         self.langs = langs
-        self.weights = np.zeros((BUCKETS, n), np.float32)
+        self.weights = np.zeros((BUCKETS + LEVELS * n, n), np.float32)  # behind the buckets, the lexicon's levels of each language
         self.trans = np.where(np.eye(n, dtype=bool), 2.0, 0.0).astype(np.float32)
         self.start = np.zeros(n, np.float32)
         self.lexicon: dict[str, int] = {}
@@ -36,10 +34,9 @@ class Field:
     def slots(self, words: list[str]) -> np.ndarray:
         """Features of each word: n-grams, affixes, and its entry in the lexicon."""
         bare = [w.strip(".,;:!?\"'()[]{}<>*#$%&-_|") or w for w in words]
-        body = BUCKETS - 1 - LEVELS * MOST_LANGS
         own = np.fromiter((self.lexicon.get(w, -1) for w in bare), np.int32, len(bare))
-        own = np.where(own < 0, 0, body + 1 + own)[:, None].astype(np.int32)
-        return np.concatenate([ngram_slots(bare, (2, 3), body), affix_slots(bare, (1, 2, 3, 4), body), own], axis=1)
+        own = np.where(own < 0, 0, BUCKETS + own)[:, None].astype(np.int32)
+        return np.concatenate([ngram_slots(bare, (2, 3), BUCKETS), affix_slots(bare, (1, 2, 3, 4), BUCKETS), own], axis=1)
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Score of each language for each word; words without a letter get none and are left out of the chains."""
@@ -121,20 +118,16 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 6, ba
     A text's words carry its language. Chains of pieces from several texts,
     with the language changing between them, teach the transitions.
     """
-    names = [x for x, _ in sorted(Counter(langs).items(), key=lambda x: (-x[1], x[0]))][:MOST_LANGS]
-    if not names:
+    if not langs:
         return None
-    field = Field(sorted(names))
+    field = Field(sorted(set(langs)))
     number = {x: i for i, x in enumerate(field.langs)}
     rng = np.random.default_rng(seed)
     rows, labels = [], []
     for text, lang in zip(texts, langs, strict=True):
         words = [w for w in letter_words(text)[0] if LETTER.search(w)]
-        if not words or lang not in number:
+        if not words:
             continue
-        if len(words) > MOST_WORDS:  # pieces spread over the whole text
-            cuts = rng.permutation(len(words) // 20)[: MOST_WORDS // 20]
-            words = [w for c in np.sort(cuts) for w in words[20 * c : 20 * c + 20]]
         rows.append(words)
         labels.append(np.full(len(words), number[lang]))
     if not rows:
@@ -175,7 +168,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 6, ba
             i, j = np.nonzero(slots[words])
             flat = slots[words][i, j]
             grad = {
-                "weights": np.stack([np.bincount(flat, per[i, c], BUCKETS) for c in range(k)], 1) / len(y) + 1e-7 * field.weights,
+                "weights": np.stack([np.bincount(flat, per[i, c], len(field.weights)) for c in range(k)], 1) / len(y) + 1e-7 * field.weights,
                 "trans": moves / len(y),
                 "start": first / len(use),
             }
@@ -188,11 +181,12 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 6, ba
 
 def fit_languages(docs: DataFrame, most: int = MOST_ROWS, seed: int = 7) -> Field | None:
     """Learn from text and lang of rows with a non-null lang whose crc32(doc_id as text) mod 4 is not 2: of each
-    language about as many, ``most`` in all, those with the smallest hash of their id."""
+    language about as many, ``most`` in all (and so no more languages), those with the smallest hash of their id. Of rows
+    that share doc_id and lang the smallest text is taken, whatever their order; texts are learned from whole."""
     keep = F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(keep)
     spark = docs.sparkSession
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
     if not counts:
         return None
     share = spark.createDataFrame([(r["lang"], r["count"]) for r in counts], "lang string, n long")
@@ -200,19 +194,20 @@ def fit_languages(docs: DataFrame, most: int = MOST_ROWS, seed: int = 7) -> Fiel
     even = F.shiftright(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") / (1 << 52)
     lots = (
         rows.drop("text")
-        .join(F.broadcast(share), "lang")  # at most MOST_LANGS rows
+        .join(F.broadcast(share), "lang")  # at most ``most`` rows
         .select("doc_id", "lang", ((even + 1) / 2 * F.col("n")).alias("lot"))
         .orderBy("lot", "doc_id")
         .limit(most)
     )
     chosen = spark.createDataFrame(lots.select("doc_id", "lang").collect(), "doc_id long, lang string").distinct()
-    got = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])  # at most ``most`` rows
+    got = rows.join(F.broadcast(chosen), ["doc_id", "lang"])  # at most ``most`` rows are broadcast
+    got = got.groupBy("doc_id", "lang").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def fit(rows):
         made = train([r[2] for r in rows], [r[1] for r in rows], seed)
         return made and made.__dict__
 
-    made = fit_in_task(got.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")), fit)
+    made = fit_in_task(got.select("doc_id", "lang", "text"), fit)
     if not made:
         return None
     field = Field(made["langs"])
