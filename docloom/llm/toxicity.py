@@ -280,7 +280,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXI
     """Train on labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most so many of each class.
 
     ``labels`` (doc_id, toxic); null labels and ids are left out, of several
-    labels of an id the highest holds.
+    labels of an id the highest holds, of several texts of an id the smallest,
+    whatever their order.
     """
     marked = (
         labels.where("doc_id is not null and toxic is not null")
@@ -294,7 +295,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXI
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(chosen), "doc_id"  # at most most_toxic + most_clean rows
     )
-    rows = texts.dropDuplicates(["doc_id"]).select("lot", "doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    rows = texts.groupBy("lot", "doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("lot", "doc_id", "text", "toxic")
 
     def fit(rows):
         made = train([r[2] for r in rows], [int(r[3] > 0) for r in rows], seed)
