@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from .common import WORD, staged
 
-#: Tokens of a block at most; tokens of a shard, until a source has MAX_SHARDS (one task apportions a source's
-#: shards); sources at most (their totals are held on the driver).
+#: Tokens of a block at most; tokens of a shard, until a source has MAX_SHARDS (one task apportions a source's shards, a row
+#: each; beyond, shards grow); sources at most (their totals are held on the driver).
 BLOCK = 64
 SHARD = 1 << 18
-MAX_SHARDS = 1 << 16
+MAX_SHARDS = 1 << 20
 MAX_SOURCES = 1 << 20
 
 
@@ -95,6 +95,10 @@ def mix_sources(
     end in seeded order; the quota takes all blocks whole rounds, then a run
     of blocks from a seeded start, which cuts at most two documents.
 
+    A block has ``block`` tokens, or a thousandth of the smallest target above
+    0 if that is less (a word at least), so that each target is met to about
+    that share. More than MAX_SOURCES sources raise an error.
+
     Null and empty texts have size 0 and are never taken; a source whose sizes
     are all 0 has target 0. Rows that repeat a doc_id are taken on their own;
     their order in a shard follows their content. Other columns are ignored;
@@ -106,7 +110,7 @@ def mix_sources(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("src"),
             F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), "doc_id").alias("lot"),
+            F.xxhash64(F.lit(seed), "doc_id", "text").alias("lot"),  # rows that share an id spread over the shards too
             *named,
         ),
         "sized",
