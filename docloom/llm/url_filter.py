@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 HASHES = 4
+#: Largest filter that is put into a plan; lists beyond it are joined.
+MAX_FILTER_BYTES = 1 << 24
 
 
 def url_host(url: Column) -> Column:
@@ -45,12 +47,14 @@ class Cascade:
 
     def _in(self, key: Column, i: int) -> Column:
         bits, table = self.levels[i]
-        words = F.unhex(F.lit(table.hex()))
-        found = F.lit(True)
-        for slot in _slots(key, i, bits):
+
+        def bit(words: Column, slot: Column) -> Column:
             byte = F.conv(F.hex(F.substring(words, (F.floor(slot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-            found = found & (F.getbit(byte, F.pmod(slot, F.lit(8)).cast("int")) == 1)
-        return found
+            return F.getbit(byte, F.pmod(slot, F.lit(8)).cast("int")) == 1
+
+        # the table is bound once: each place that named it would hold a copy of its own
+        probe = lambda words: F.forall(F.array(*_slots(key, i, bits)), lambda slot: bit(words, slot))
+        return F.get(F.transform(F.array(F.unhex(F.lit(table.hex()))), probe), 0)
 
     def contains(self, key: Column) -> Column:
         """Exact for every key of the universe the cascade was built over."""
@@ -60,13 +64,14 @@ class Cascade:
         return answer
 
 
-def build_cascade(universe: DataFrame, bits_per_key: int = 10, max_filter_bytes: int = 1 << 24) -> Cascade:
+def build_cascade(universe: DataFrame, bits_per_key: int = 10, max_filter_bytes: int = MAX_FILTER_BYTES) -> Cascade | None:
     """A cascade over ``universe`` (key string, listed boolean; one row per key).
 
     Each level is a Bloom filter of the keys the level before let through
     wrongly, until none is left. Only bit arrays reach the driver; their size
-    is checked against ``max_filter_bytes`` before anything is collected. An
-    empty list gives a cascade without levels, which contains nothing.
+    is checked against ``max_filter_bytes`` before anything is collected: None
+    if a level is above it. An empty list gives a cascade without levels, which
+    contains nothing.
     """
     levels: list[tuple[int, bytes]] = []
     left = staged(universe.where(F.col("key").isNotNull()), "keys")
@@ -77,14 +82,15 @@ def build_cascade(universe: DataFrame, bits_per_key: int = 10, max_filter_bytes:
             return Cascade(levels)
         bits = max(64, 8 * math.ceil(n * bits_per_key / 8))
         if bits // 8 > max_filter_bytes:
-            raise ValueError(f"a filter of {bits // 8} bytes is above max_filter_bytes; raise it or split the list by host")
+            return None
         slots = left.where(want).select(F.explode(F.array(*_slots(F.col("key"), level, bits))).alias("slot"))
         table = bytearray(bits // 8)
         packed = slots.groupBy(F.floor(F.col("slot") / 32).alias("w")).agg(
             F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(32)).cast("int"))).alias("b")
         )
-        for w, b in packed.collect():
-            table[4 * w : 4 * w + 4] = int(b).to_bytes(4, "little")[: len(table) - 4 * w]
+        found = packed.toArrow()
+        for w, b in zip(found["w"], found["b"], strict=True):
+            table[4 * w.as_py() : 4 * w.as_py() + 4] = b.as_py().to_bytes(4, "little")[: len(table) - 4 * w.as_py()]
         levels.append((bits, bytes(table)))
         passed = Cascade([(0, b"")] * level + [levels[-1]])._in(F.col("key"), level)
         # the next level encodes what this one let through wrongly, against this level's own keys
@@ -92,14 +98,16 @@ def build_cascade(universe: DataFrame, bits_per_key: int = 10, max_filter_bytes:
     raise RuntimeError("the cascade did not settle in 64 levels")
 
 
-def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """One row per row of ``pages`` (page_id, url): page_id, host, path, rule, verdict.
 
     ``rules`` are (verdict, host, path); a rule fits its host and subdomains if
     the path starts with the rule's; of those that fit, the longest wins.
     Without a rule a page is blocked if its host or a parent of it is among
     ``listed`` (key string), by a Bloom filter cascade over all host suffixes
-    of the corpus. Null urls and urls without ``://`` have an empty host and
+    of the corpus; where a filter would be above ``max_filter_bytes`` (about 13
+    million listed keys that the corpus has), by a join of the distinct hosts
+    instead, with the same verdicts. Null urls and urls without ``://`` have an empty host and
     path and are allowed. Repeated rows are judged alike; other columns are
     ignored; no rows give no rows.
     """
@@ -109,13 +117,19 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Da
         listed.select("key").withColumn("seen", F.lit(False)).withColumn("listed", F.lit(True))
     )
     universe = tagged.groupBy("key").agg(F.max("seen").alias("seen"), F.max("listed").alias("listed")).where("seen")
-    cascade = build_cascade(universe.select("key", "listed"))
+    cascade = build_cascade(universe.select("key", "listed"), max_filter_bytes=max_filter_bytes)
     rule, by_rule = F.lit(None).cast("string"), F.lit(None).cast("string")
     for verdict, host, path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2])):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         rule = F.when(fits, F.lit(host + path)).otherwise(rule)
         by_rule = F.when(fits, F.lit(verdict)).otherwise(by_rule)
-    blocked = F.exists(suffixes(F.col("host")), cascade.contains)
+    if cascade is not None:
+        blocked = F.exists(suffixes(F.col("host")), cascade.contains)
+    else:
+        bad = rows.select("host").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("key"))
+        bad = bad.join(listed.select("key"), "key", "left_semi").select("host", F.lit(True).alias("bad")).distinct()
+        rows = rows.join(bad, "host", "left")
+        blocked = F.coalesce("bad", F.lit(False))
     return rows.select(
         "page_id",
         "host",
