@@ -14,7 +14,7 @@ from .common import connected_components, staged
 #: Projections, recall aimed at per pair, rows of a block.
 PROJECTIONS = 48
 RECALL = 0.999
-BLOCK = 1024
+BLOCK = 2048
 
 
 def calibrate(cosine: float, projections: int = PROJECTIONS, recall: float = RECALL) -> tuple[float, int]:
@@ -41,7 +41,7 @@ def directions(dim: int, projections: int, seed: int = 5) -> np.ndarray:
 
 
 def _compare(cosine: float, projections: int, recall: float):
-    """Linked pairs of one pair of blocks. Blocks hold rows of one label in the order of the first projection."""
+    """Candidate pairs of two blocks of one label, in any order."""
     width, least = calibrate(cosine, projections, recall)
     spare = projections - least
 
@@ -95,10 +95,14 @@ def vector_components(
     component if equal. Other columns are ignored; no rows give no rows.
 
     Candidates are pairs whose projections fall into each other's windows
-    often enough (``calibrate``); each is verified. The rows of a label are cut
-    into blocks by the first projection, so that a large label is many tasks;
-    blocks meet in pairs, and only links, with the sizes of the nodes, leave
-    a task.
+    often enough (``calibrate``); each is verified. The distinct vectors of a
+    label are dealt evenly into blocks of about ``block``, so that a large
+    label is many tasks; blocks meet in pairs, in a task each, which sorts the
+    projections and reads them in windows. A window holds about half of all
+    vectors of a label, so cutting blocks by ranges of a projection would spare
+    less than it costs to repeat for the projections that a pair may miss: work
+    and shuffle grow with the square of a label's distinct vectors. Only links,
+    with the sizes of the nodes, leave a task.
     """
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("e")
@@ -121,31 +125,28 @@ def vector_components(
         ),
         "nodes",
     )
-    sizes = {(r["label"], r["dim"]): r["count"] for r in nodes.groupBy("label", "dim").count().limit(1_000_000).collect()}
-    spark = vectors.sparkSession
     run = _compare(cosine, projections, recall)
 
     def scale(batches):
         for d in batches:
             d = d.reset_index(drop=True)
-            units, bins = [], []
+            units = []
             for e in d["e"]:
                 v = np.asarray(e, np.float64)
                 v = v / np.abs(v).max()  # keeps very large and very small components in range
                 units.append(v / np.sqrt(v @ v))
-            n = [max(1, -(-sizes.get(g, 1) // block)) for g in zip(d["label"], d["dim"], strict=True)]
-            # any even dealing is right: blocks of a label meet each other in full
-            bins = [int(k % b) for k, b in zip(d["node"], n, strict=True)]
-            yield pd.DataFrame({"node": d["node"], "copies": d["copies"], "label": d["label"], "dim": d["dim"], "unit": units, "bin": bins, "bins": n})
+            yield pd.DataFrame({"node": d["node"], "copies": d["copies"], "label": d["label"], "dim": d["dim"], "bins": d["bins"], "unit": units})
 
+    sizes = nodes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("bins"))
     units = staged(
-        nodes.select("node", "copies", "label", "dim", "e").mapInPandas(
-            scale, f"node long, copies long, label {nodes.schema['label'].dataType.simpleString()}, dim int, unit array<double>, bin int, bins int"
+        nodes.join(sizes, ["label", "dim"]).select("node", "copies", "label", "dim", "bins", "e").mapInPandas(
+            scale, f"node long, copies long, label {nodes.schema['label'].dataType.simpleString()}, dim int, bins int, unit array<double>"
         ),
         "units",
     )
     other = F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("other")
-    dealt = units.select("*", other).select(
+    bin_ = F.pmod("node", F.col("bins")).cast("int").alias("bin")  # any even dealing is right: blocks of a label meet in full
+    dealt = units.select("*", bin_, other).select(
         "node", "copies", "unit", "label", "dim", F.least("bin", "other").alias("a"), F.greatest("bin", "other").alias("b"), "bin"
     )
 

@@ -220,8 +220,7 @@ def test_cascade_is_exact(spark):
     cascade = url_filter.build_cascade(universe, bits_per_key=4)
     assert len(cascade.levels) > 2
     assert universe.where(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
-    with pytest.raises(ValueError):
-        url_filter.build_cascade(universe, max_filter_bytes=8)
+    assert url_filter.build_cascade(universe, max_filter_bytes=8) is None  # the caller joins then
 
 
 def test_vectors(spark):
@@ -542,3 +541,53 @@ def test_components_of_long_chains(spark):
     r.shuffle(edges)
     got = {x["node"]: x["component"] for x in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(names[:1000], min(names[:1000])), **dict.fromkeys(names[1000:], min(names[1000:]))}
+
+
+def test_many_languages_and_long_texts_are_learned(spark):
+    """More languages than fit any fixed number, told by one word each that stands at the end of a long text."""
+    r = random.Random(5)
+    name = lambda i: "".join(chr(97 + (i * 7 + k * 5) % 26) for k in range(3)) + f"{chr(97 + i % 26)}{chr(97 + i // 26)}"
+    rows = [(i, " ".join(["same"] * 450 + [name(i % 70)] * 3), f"l{i % 70:02d}", "s") for i in range(700)]
+    docs = documents(spark, [*rows, *rows[:50]])
+    field = lang_crf.fit_languages(docs)
+    assert len(field.langs) == 70 and all(name(i) in field.lexicon for i in range(70))
+    asked = [(i, " ".join(r.choices([name(i)], k=6)), None, None) for i in range(70)]
+    got = {g["doc_id"]: g["lang_pred"] for g in lang_crf.label_languages(documents(spark, asked), field).collect()}
+    assert sum(got[i] == f"l{i:02d}" for i in range(70)) >= 63
+    again = lang_crf.fit_languages(docs.repartition(7))
+    assert again.langs == field.langs and np.array_equal(again.weights, field.weights)
+
+
+def test_models_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(i % 40, f"w{i} good words here" if i % 40 < 30 else f"w{i} nasty vile words", "en", "s") for i in range(160)]
+    labels = spark.createDataFrame([(i, int(i >= 30)) for i in range(40)], "doc_id long, toxic int")
+    a, b = (toxicity.fit_toxicity(documents(spark, x), labels) for x in (rows, rows[::-1]))
+    assert all(np.array_equal(a.p[k], b.p[k]) for k in a.p)
+
+
+def test_lists_above_the_filter_size_are_joined(spark):
+    pages = spark.createDataFrame([(i, f"https://a{i % 50}.b{i % 7}.org/en/{i}", 0) for i in range(300)] + [(500, None, 1), (501, "x://", 2)], "page_id long, url string, bad int")
+    listed = spark.createDataFrame([("b3.org",), ("a7.b1.org",), ("a1.b1.org",)], "key string")
+    rows = [sorted(map(str, url_filter.url_verdicts(pages, [("allow", "a3.b3.org", "/en/3")], listed, n).collect())) for n in (1 << 24, 2)]
+    assert rows[0] == rows[1] and sum("block" in r for r in rows[0]) > 20
+
+
+def test_recall_at_the_shipped_settings(spark):
+    """Pairs at the threshold, in dimensions small and large, against brute force."""
+    rng, rows = np.random.default_rng(8), []
+    for dim, label in ((8, 1), (64, 2), (384, 3)):
+        for i in range(400):
+            u, v = rng.standard_normal((2, dim))
+            u /= np.linalg.norm(u)
+            v -= (u @ v) * u
+            v /= np.linalg.norm(v)
+            c = 0.9301 + 0.02 * rng.random()
+            rows += [(len(rows), (3 * u).tolist(), label), (len(rows) + 1, (c * u + np.sqrt(1 - c * c) * v).tolist(), label)]
+    links = 0
+    for label in (1, 2, 3):
+        x = np.array([r[1] for r in rows if r[2] == label])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        links += int(((x @ x.T) >= 0.93).sum()) - len(x)
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    found = vector_dedup.vector_components(docs, block=300).agg(F.sum("n_links")).first()[0]
+    assert 0.999 * links <= found <= links
