@@ -21,12 +21,7 @@ STANDARD_FONTS = [
 ]
 PAGE_SIZES = {"letter": (0.0, 0.0, 612.0, 792.0), "legal": (0.0, 0.0, 612.0, 1008.0), "a4": (0.0, 0.0, 595.0, 842.0)}
 # Windows-1252 beyond Latin-1: code points of the bytes 80 to 9F, without the five that stand for nothing.
-WINDOWS_1252 = {
-    0x20AC: 0x80, 0x201A: 0x82, 0x0192: 0x83, 0x201E: 0x84, 0x2026: 0x85, 0x2020: 0x86, 0x2021: 0x87,
-    0x02C6: 0x88, 0x2030: 0x89, 0x0160: 0x8A, 0x2039: 0x8B, 0x0152: 0x8C, 0x017D: 0x8E, 0x2018: 0x91,
-    0x2019: 0x92, 0x201C: 0x93, 0x201D: 0x94, 0x2022: 0x95, 0x2013: 0x96, 0x2014: 0x97, 0x02DC: 0x98,
-    0x2122: 0x99, 0x0161: 0x9A, 0x203A: 0x9B, 0x0153: 0x9C, 0x017E: 0x9E, 0x0178: 0x9F,
-}
+WINDOWS_1252 = {ord(c): i for i in range(0x80, 0xA0) if (c := bytes([i]).decode("cp1252", "ignore"))}
 # Well-formed UTF-16BE after its mark, as hex.
 UTF16_HEX = r"^FEFF(?:[0-9A-CE-F][0-9A-F]{3}|D[0-7][0-9A-F]{2}|D[89AB][0-9A-F]{2}D[C-F][0-9A-F]{2})*+\z"
 DATE_TEXT = (
@@ -40,11 +35,15 @@ def _named(c: Column | str) -> Column:
 
 
 def _per_byte(b: Column, table: list[str]) -> Column:
-    """Text of each byte of a binary by a table of 256, joined; empty for no bytes."""
-    code, lut = F.hex(b), F.array(*[F.lit(x) for x in table])
-    at = F.sequence(F.lit(1), F.greatest(F.octet_length(b), F.lit(1)))
-    text = F.array_join(F.transform(at, lambda i: F.get(lut, F.conv(F.substring(code, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))), "")
-    return F.when(F.octet_length(b) == 0, F.lit("")).when(b.isNotNull(), text)
+    """Text of each byte of a binary by a table of 256, joined; empty for no bytes.
+
+    Bytes that stand for themselves are taken in runs, so the work is linear in
+    the bytes and small where few are written otherwise.
+    """
+    plain = "".join(f"\\x{i:02X}" for i, x in enumerate(table) if x == chr(i))
+    other = F.array(*[F.lit(None).cast("string") if x == chr(i) else F.lit(x) for i, x in enumerate(table)])
+    runs = F.regexp_extract_all(F.decode(b, "ISO-8859-1"), F.lit(f"(?s)[{plain}]++|."), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.coalesce(F.get(other, F.ascii(r)), r)), "")
 
 
 def object_number(v: Column) -> Column:
@@ -289,6 +288,22 @@ def semver(s: Column) -> Column:
     return F.when(s.rlike(pattern), version)
 
 
+def short_commit(s: Column) -> Column:
+    """The first eight digits of a commit of forty hex digits; other text as it is."""
+    s = _named(s)
+    return F.when(s.rlike(r"^(?i:[0-9a-f]{40})\z"), F.substring(s, 1, 8)).otherwise(s)
+
+
+def with_version_prefix(s: Column) -> Column:
+    """The version with a ``v`` in front."""
+    s = _named(s)
+    return F.when(s.startswith("v"), s).otherwise(F.concat(F.lit("v"), s))
+
+
+def is_standard_font(s: Column) -> Column:
+    return F.coalesce(_named(s).isin(STANDARD_FONTS), F.lit(False))
+
+
 def register(spark) -> None:
     """Make the functions that need Python known to SQL."""
     spark.udf.register("pdf_plain_decimal", _plain_decimal)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
+import posixpath
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..stages import staged
+from . import png
 
 PAGES = "doc_id string, page_number int, width int, height int, pixels binary"
 DIFFERENCES = "doc_id string, page_number int, kind string, differing bigint, error string, diff binary"
@@ -20,12 +21,12 @@ MARK, FADED = (255, 0, 80, 255), 96
 
 
 def changes(expected: DataFrame, actual: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
-    """Added, removed and changed files of two tables (keys, bytes): keys, kind. Equal files give no row."""
+    """Added, removed and changed files of two tables (keys, bytes) by their keys: keys, kind. Equal files give no row."""
     e = expected.select(*keys, F.col("bytes").alias("before"), F.lit(True).alias("was"))
     a = actual.select(*keys, F.col("bytes").alias("after"), F.lit(True).alias("is"))
     both = e.join(a, list(keys), "full_outer")
     kind = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(~F.col("before").eqNullSafe(F.col("after")), "changed")
-    return both.select(*keys, kind.alias("kind")).where("kind is not null")
+    return both.select(*keys, kind.alias("kind")).where("kind is not null").orderBy(*keys)
 
 
 def _compare(row) -> tuple[str | None, int | None, str | None, bytes | None]:
@@ -91,65 +92,132 @@ def report_html(found: DataFrame, title: Column | str = "Differences") -> DataFr
     return rows.select("doc_id", F.concat(F.lit("<!DOCTYPE html><title>"), S.escape_html(head), F.lit("</title><table>\n"), "t", F.lit("\n</table>\n")).alias("html"))
 
 
+def _store(spark: SparkSession, folder: str):
+    """The folder as a path of its file system, and that file system."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    path = hadoop.Path(folder)
+    path = path.getFileSystem(conf).makeQualified(path)
+    fs = hadoop.FileSystem.newInstance(path.toUri(), conf)
+    fs.setWriteChecksum(False)  # no files beside the folder's own
+    return path, fs
+
+
 def replace_folder(files: DataFrame, folder: str) -> None:
     """Put ``files`` (path, bytes) in place of a folder as a whole: written beside it, then swapped; on failure the old one stays.
 
-    For golden folders of one document; the rows are read one partition at a time.
+    For golden folders of one document, in any store that Spark reaches; the
+    rows are read one partition at a time.
     """
-    parent = os.path.dirname(os.path.abspath(folder))
-    os.makedirs(parent, exist_ok=True)
-    fresh = tempfile.mkdtemp(dir=parent)
+    spark = files.sparkSession
+    place, fs = _store(spark, folder)
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    name = lambda kind: make(place.getParent(), f".{place.getName()}-{kind}-{uuid.uuid4().hex}")
+    fresh, old = name("fresh"), name("old")
     try:
+        fs.mkdirs(fresh)
         for r in files.select("path", "bytes").toLocalIterator():
-            at = os.path.normpath(os.path.join(fresh, r["path"]))
-            if not at.startswith(fresh + os.sep):
+            at = posixpath.normpath(r["path"])
+            if at.startswith(("../", "/")) or at in ("..", "."):
                 raise ValueError(f"{r['path']} leads out of the folder")
-            os.makedirs(os.path.dirname(at), exist_ok=True)
-            with open(at, "wb") as f:
-                f.write(bytes(r["bytes"]))
-        old = None
-        if os.path.exists(folder):
-            old = tempfile.mkdtemp(dir=parent)
-            os.rmdir(old)
-            os.rename(folder, old)
+            out = fs.create(make(fresh, at), True)
+            out.write(bytes(r["bytes"]))
+            out.close()
+        if had := fs.exists(place):
+            fs.rename(place, old)
         try:
-            os.rename(fresh, folder)
-        except OSError:
-            if old:
-                os.rename(old, folder)
-            raise
-        if old:
-            shutil.rmtree(old)
+            moved = fs.rename(fresh, place)
+        except Exception:
+            moved = False
+        if not moved:
+            if had:
+                fs.rename(old, place)
+            raise OSError(f"{folder} could not be replaced")
+        fs.delete(old, True)
     finally:
-        shutil.rmtree(fresh, ignore_errors=True)
+        fs.delete(fresh, True)
+
+
+def remove_folder(spark: SparkSession, folder: str | None) -> None:
+    if folder:
+        place, fs = _store(spark, folder)
+        fs.delete(place, True)
 
 
 def default_mode(env: dict[str, str]) -> str:
-    """``update`` or ``verify``: as PDF_ARTIFACTS says, else verify where CI is set to a true value."""
-    chosen = env.get("PDF_ARTIFACTS", "").lower()
-    if chosen in ("update", "verify"):
+    """``update`` or ``verify``: as PDF_ARTIFACTS says (another value is an error), else verify where CI is set to anything
+    but nothing, 0 and false."""
+    chosen = env.get("PDF_ARTIFACTS")
+    if chosen is not None:
+        if chosen not in ("update", "verify"):
+            raise ValueError("PDF_ARTIFACTS must be update or verify")
         return chosen
-    return "verify" if env.get("CI", "").lower() not in ("", "0", "false", "no", "off") else "update"
+    return "verify" if env.get("CI", "").lower() not in ("", "0", "false") else "update"
+
+
+def is_page_file(path: Column) -> Column:
+    return path.rlike(r"^page-[0-9]{3,}\.png\z")
+
+
+def page_images(files: DataFrame) -> DataFrame:
+    """The page files among ``files`` (path, bytes) as pages of the document "": doc_id, page_number, width, height, pixels.
+    A file that isn't a readable PNG has null width and an error in place of its pixels."""
+
+    def run(batches):
+        for d in batches:
+            rows = []
+            for p, b in zip(d["path"], d["bytes"], strict=True):
+                try:
+                    width, height, pixels = png.decode(bytes(b))
+                except ValueError:
+                    width, height, pixels = 1, 1, b""  # no pixels for one: corrupt
+                rows.append(("", int(p[5:-4]), width, height, pixels))
+            yield pd.DataFrame(rows, columns=["doc_id", "page_number", "width", "height", "pixels"])
+
+    return files.where(is_page_file(F.col("path"))).select("path", "bytes").mapInPandas(run, PAGES)
+
+
+def failure_report(expected: DataFrame, actual: DataFrame, found: DataFrame, document: bytes | None = None) -> DataFrame:
+    """Files (path, bytes) of a report: expected/, actual/ and diff/ pages, the document, and an HTML overview."""
+    spark = found.sparkSession
+    put = lambda d, n: d.select(F.concat(F.lit(n + "/"), "path").alias("path"), "bytes")
+    html = report_html(found.withColumn("doc_id", F.lit("")))
+    out = put(expected, "expected").unionByName(put(actual, "actual"))
+    out = out.unionByName(html.select(F.lit("report.html").alias("path"), F.encode("html", "UTF-8").alias("bytes")))
+    changed = found.where(is_page_file(F.col("path"))).select("path")
+    pages = [page_images(d.join(changed, "path", "left_semi")) for d in (expected, actual)]
+    total = F.lit(0)  # names as the pages': at least three digits
+    size = pages[1].select("page_number", "width", "height")
+    diff = page_differences(*pages).where("diff is not null").join(size, "page_number")
+
+    def encode(batches):
+        for d in batches:
+            yield pd.DataFrame({"path": d["path"], "bytes": [png.encode(int(w), int(h), bytes(b)) for w, h, b in zip(d["width"], d["height"], d["diff"], strict=True)]})
+
+    diff = diff.select(S.page_file(F.col("page_number"), total).alias("path"), "width", "height", "diff").mapInPandas(encode, "path string, bytes binary")
+    out = out.unionByName(put(diff, "diff"))
+    if document is not None:
+        out = out.unionByName(spark.createDataFrame([("actual.pdf", bytearray(document))], "path string, bytes binary"))
+    return out
 
 
-def check_artifact(expected: DataFrame, actual: DataFrame, folder: str, mode: str, failures: str | None = None) -> str:
-    """``matched``, ``updated`` or ``mismatched`` of two file tables (path, bytes); updates replace ``folder``, mismatches are reported.
+def check_artifact(expected: DataFrame, actual: DataFrame, folder: str, mode: str, failures: str | None = None, document: bytes | None = None) -> str:
+    """``matched``, ``updated`` or ``mismatched`` of two file tables (path, bytes); updates replace ``folder``, mismatches are
+    reported to ``failures`` with the ``document``; a report of an earlier run goes once nothing differs.
 
     ``failures`` must not lie inside ``folder`` nor hold it.
     """
     if failures:
-        a, b = (os.path.abspath(x) + os.sep for x in (folder, failures))
+        a, b = (posixpath.normpath(x) + "/" for x in (folder, failures))
         if a.startswith(b) or b.startswith(a):
             raise ValueError("the expected and the failure folder must not hold each other")
-    found = changes(expected, actual).cache()
+    found = staged(changes(expected, actual), "changes")
     if not found.limit(1).count():
+        remove_folder(found.sparkSession, failures)
         return "matched"
     if mode == "update":
         replace_folder(actual, folder)
+        remove_folder(found.sparkSession, failures)
         return "updated"
     if failures:
-        put = lambda d, n: d.select(F.concat(F.lit(n + "/"), "path").alias("path"), "bytes")
-        html = report_html(found.withColumn("doc_id", F.lit("")))
-        report = html.select(F.lit("report.html").alias("path"), F.encode("html", "UTF-8").alias("bytes"))
-        replace_folder(put(expected, "expected").unionByName(put(actual, "actual")).unionByName(report), failures)
+        replace_folder(failure_report(expected, actual, found, document), failures)
     return "mismatched"

@@ -58,6 +58,12 @@ def operation_errors(ops: DataFrame, fonts: DataFrame, images: DataFrame) -> Dat
     return ops.select(*PAGE, *ORDER, "op", error.alias("error")).where("error is not null")
 
 
+def font_errors(fonts: DataFrame) -> DataFrame:
+    """Fonts (doc_id, font_id, base_font) that aren't standard fonts: doc_id, font_id, error."""
+    bad = fonts.where(~S.is_standard_font("base_font"))
+    return bad.select("doc_id", "font_id", F.concat(F.lit("not a standard font: "), F.coalesce("base_font", F.lit("null"))).alias("error"))
+
+
 def resource_names(ops: DataFrame) -> DataFrame:
     """Names of fonts and images on each page by first use: doc_id, page_id, kind, res_id, first (struct of the place), name."""
     used = ops.where("op in ('font', 'drawImage')").withColumn("kind", F.when(F.col("op") == "font", "font").otherwise("image"))
@@ -67,9 +73,13 @@ def resource_names(ops: DataFrame) -> DataFrame:
 
 
 def encode_operations(ops: DataFrame, names: DataFrame, number=S.integer_text) -> DataFrame:
-    """``ops`` with the line of each operation. ``number`` writes a number; ``scalars.pdf_number`` writes any, in Python."""
+    """``ops`` with the line of each operation. ``number`` writes a number; ``scalars.pdf_number`` writes any, in Python.
+
+    A font or image without a name among ``names`` is an error."""
     kind = F.when(F.col("op") == "font", "font").when(F.col("op") == "drawImage", "image")
     ops = ops.withColumn("kind", kind).join(names.select(*PAGE, "kind", "res_id", "name"), [*PAGE, "kind", "res_id"], "left")
+    unnamed = F.raise_error(F.concat(F.lit("no name on its page for "), F.coalesce("res_id", F.lit("null"))))
+    ops = ops.withColumn("name", F.when(F.col("kind").isNull() | F.col("name").isNotNull(), F.col("name")).otherwise(unnamed))
     operator = F.create_map(*[F.lit(x) for k, (_, s) in OPS.items() for x in (k, s)])
     if number is not S.integer_text:
         for i in range(6):

@@ -140,6 +140,24 @@ def lower(documents: DataFrame, page_nodes: DataFrame, ops: DataFrame, fonts: Da
     return out.unionByName(info.join(last, "doc_id").select("doc_id", "object_number", "body"))
 
 
+def metadata_errors(metadata: DataFrame, documents: DataFrame) -> DataFrame:
+    """Metadata that can't be written: doc_id, field, error. Dates need a year of four digits, texts up to version 1.1 ASCII."""
+    m = metadata.join(documents.select("doc_id", "version"), "doc_id")
+    old = F.col("version").isin("1.0", "1.1")
+    text = [(F.col(c).isNotNull() & old & S.ascii_text_string(c).isNull(), c, "the text needs version 1.2") for c in METADATA]
+    date = [(F.col(c).isNotNull() & S.date_string(c).isNull(), c, "the year must have four digits") for c in ("creation_date", "modification_date")]
+    found = F.array(*[F.when(bad, F.struct(F.lit(c).alias("field"), F.lit(e).alias("error"))) for bad, c, e in [*text, *date]])
+    return m.select("doc_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("doc_id", "f.field", "f.error")
+
+
+def record_errors(ops: DataFrame, fonts: DataFrame, images: DataFrame) -> DataFrame:
+    """Fonts and images that pages use and no table holds: doc_id, page_id, kind, res_id."""
+    have = fonts.select("doc_id", F.lit("font").alias("kind"), F.col("font_id").alias("res_id")).unionByName(
+        images.select("doc_id", F.lit("image").alias("kind"), F.col("image_id").alias("res_id"))
+    )
+    return resource_names(ops).join(have, ["doc_id", "kind", "res_id"], "left_anti").select("doc_id", "page_id", "kind", "res_id")
+
+
 def info_bodies(metadata: DataFrame, versions: DataFrame) -> DataFrame:
     """doc_id, body of the Info dictionaries; documents whose metadata are all null have none."""
     m = metadata.join(versions, "doc_id")

@@ -73,22 +73,53 @@ def edges(graph: Graph) -> DataFrame:
     return refs.join(first, ["doc_id", "obj_index"]).select("doc_id", "src", "dst").distinct().join(known, ["doc_id", "dst"], "left_semi")
 
 
-def reachable(start: DataFrame, links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+#: Rounds of a frontier before the links that are left are shortened; parts of the visited nodes that are kept apart.
+PATIENCE, PARTS = 12, 6
+
+
+def reachable(start: DataFrame, links: DataFrame, patience: int = PATIENCE) -> DataFrame:
     """Nodes (doc_id, n) that can be reached from ``start`` (doc_id, n) over ``links`` (doc_id, src, dst), start included.
 
-    Rounds over a frontier, and every few rounds the pairs of links are
-    composed, so that long chains need few rounds. Visited nodes are staged.
+    Rounds over a frontier until it is empty. What each round finds is written
+    once, as a part of the visited nodes. After ``patience`` rounds the links to
+    visited nodes are left out, and where a node then leads to one node only,
+    such steps are composed, two, four, eight and so on, into shortcuts: a
+    chain takes rounds as the logarithm of its length.
     """
-    links = staged(links.select("doc_id", "src", "dst"), "links")
-    seen = staged(start.select("doc_id", "n").distinct(), "seen")
-    frontier = seen
-    for _ in range(max_rounds):
-        step = frontier.join(links.withColumnRenamed("src", "n"), ["doc_id", "n"]).select("doc_id", F.col("dst").alias("n")).distinct()
-        frontier = staged(step.join(seen, ["doc_id", "n"], "left_anti"), "frontier")
+    links = staged(links.select("doc_id", "src", "dst").distinct(), "links")
+    parts = [staged(start.select("doc_id", "n").distinct(), "seen")]
+    frontier, ways, rounds = parts[0], links, 0
+
+    def seen() -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    while True:
+        step = frontier.join(ways.select("doc_id", F.col("src").alias("n"), "dst"), ["doc_id", "n"]).select("doc_id", F.col("dst").alias("n")).distinct()
+        frontier = staged(step.join(seen(), ["doc_id", "n"], "left_anti"), "frontier")
         if not frontier.limit(1).count():
-            return seen
-        seen = staged(seen.unionByName(frontier), "seen")
-    raise RuntimeError(f"not settled after {max_rounds} rounds")
+            return seen()
+        parts.append(frontier)
+        if len(parts) > PARTS:
+            parts = [staged(seen(), "seen")]
+        rounds += 1
+        if rounds % patience == 0:
+            links = staged(links.join(seen().withColumnRenamed("n", "dst"), ["doc_id", "dst"], "left_anti").select("doc_id", "src", "dst"), "links")
+            ways = links.unionByName(shortcuts(links))
+
+
+def shortcuts(links: DataFrame) -> DataFrame:
+    """Compositions of 2, 4, 8 .. links that leave nodes with one link only: doc_id, src, dst."""
+    jump = staged(links.groupBy("doc_id", "src").agg(F.min("dst").alias("dst"), F.count(F.lit(1)).alias("n")).where("n = 1 and src <> dst").drop("n"), "jump")
+    out, reach, most = jump.limit(0), 1, jump.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
+    while reach < most:
+        jump = staged(jump.join(jump.select("doc_id", F.col("src").alias("dst"), F.col("dst").alias("far")), ["doc_id", "dst"]).select("doc_id", "src", F.col("far").alias("dst")), "jump")
+        if not jump.limit(1).count():
+            break
+        out, reach = out.unionByName(jump), 2 * reach
+    return out
 
 
 def reachable_objects(graph: Graph) -> DataFrame:

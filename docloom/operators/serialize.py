@@ -146,16 +146,18 @@ def serialize(graph: Graph, any_number: bool = True) -> DataFrame:
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """One file per document: ``folder``/doc_id.pdf. Partial files never carry the final name."""
-    import os
+    """One file per document: ``folder``/doc_id.pdf, written by the tasks into a store that all of them reach (a URI, or the
+    path of a shared mount). Partial files never carry the final name."""
+    from pyarrow import fs
 
-    os.makedirs(folder, exist_ok=True)
+    fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1])
 
     def put(rows):
+        store, base = fs.FileSystem.from_uri(folder)
         for r in rows:
-            path = os.path.join(folder, f"{r['doc_id']}.pdf")
-            with open(path + ".part", "wb") as f:
+            path = f"{base}/{r['doc_id']}.pdf"
+            with store.open_output_stream(path + ".part") as f:
                 f.write(bytes(r["bytes"]))
-            os.replace(path + ".part", path)
+            store.move(path + ".part", path)
 
     files.select("doc_id", "bytes").foreachPartition(put)

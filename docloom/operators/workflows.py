@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-#: A step that uses an action at a ref, with the version in a comment behind it.
-USES = r"^(\s*(?:-\s+)?uses:\s*)['\"]?([^@'\"\s#]+)@([^'\"\s#]+)['\"]?\s*#\s*(\S.*?)\s*$"
+#: A step that uses an action (owner and name) at a ref; the version is in a comment behind it.
+USES = r"^(\s*(?:-\s+)?uses:\s+)([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)@([^\s#]+)\s+#\s*([^\r\n]*\S)\s*\z"
 
 
 def workflow_lines(files: DataFrame) -> DataFrame:
@@ -19,18 +19,19 @@ def workflow_lines(files: DataFrame) -> DataFrame:
 
 
 def used_actions(lines: DataFrame) -> DataFrame:
-    """path, line_index, prefix, action, ref, comment, version of pinned uses; local actions are left out."""
+    """path, line_index, prefix, action, ref, comment, version of pinned uses; uses without a comment aren't pinned, and local
+    actions are left out. The version is the comment without a ``v`` in front."""
     part = lambda i: F.regexp_extract("line", USES, i)
     found = lines.where(F.col("line").rlike(USES)).select(
         "path", "line_index", part(1).alias("prefix"), part(2).alias("action"), part(3).alias("ref"), part(4).alias("comment")
     )
-    version = F.regexp_replace(F.element_at(F.split("comment", r"\s+"), 1), "^v", "")
+    version = F.regexp_replace("comment", "^v", "")
     return found.where(~F.col("action").startswith("./")).withColumn("version", version)
 
 
 def input_lines(lines: DataFrame, uses: DataFrame, key: str) -> DataFrame:
-    """The first line ``key: value`` after each use, before the next line that is indented less than the use's step."""
-    value = F.regexp_extract("line", rf"^\s*{key}:\s*['\"]?([^'\"#\s]+)", 1)
+    """The first line ``key: 1.2.3`` after each use, before the next line that is indented less than the use's step."""
+    value = F.regexp_extract("line", rf"^\s*\Q{key}\E:\s+([0-9]+\.[0-9]+\.[0-9]+)\s*\z", 1)
     marked = lines.join(uses.select("path", "line_index", "action"), ["path", "line_index"], "left")
     before = Window.partitionBy("path").orderBy("line_index").rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumn("use", F.last(F.when(F.col("action").isNotNull(), F.struct("line_index", "action", "indent")), ignorenulls=True).over(before))
@@ -57,4 +58,13 @@ def newest_tags(tags: DataFrame) -> DataFrame:
 def rewritten_lines(uses: DataFrame, newest: DataFrame) -> DataFrame:
     """path, line_index, line of the uses that a newer tag replaces: the commit as ref, the tag in the comment."""
     both = uses.join(newest, "action").where(F.col("ref") != F.col("commit"))
-    return both.select("path", "line_index", F.concat("prefix", "action", F.lit("@"), "commit", F.lit(" # "), "tag").alias("line"))
+    return both.select("path", "line_index", F.concat("prefix", "action", F.lit("@"), "commit", F.lit(" # "), S.with_version_prefix("tag")).alias("line"))
+
+
+def update_report(uses: DataFrame, newest: DataFrame) -> DataFrame:
+    """action, version, ref (short) of each group of uses, the newest version and its commit (short), and whether they differ;
+    null where no tag is known."""
+    groups = action_groups(uses).join(newest, "action", "left")
+    return groups.select(
+        "action", "version", S.short_commit("ref").alias("ref"), F.regexp_replace("tag", "^v", "").alias("newest"), S.short_commit("commit").alias("commit"), F.coalesce(F.col("ref") != F.col("commit"), F.lit(False)).alias("has_update")
+    )

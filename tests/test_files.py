@@ -1,8 +1,12 @@
 import os
+import struct
+import zlib
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import artifacts, content, jpeg, lowering, references, serialize
+from docloom.operators import artifacts, content, jpeg, lowering, png, references, serialize
 from docloom.sources.graphs import UNSET, ByteName, Dict, Document, Hex, Literal, Name, Obj, Ref, graph_from_literals, key_order, number_objects, read_files, read_graph
 from docloom.streaming.diagnostics import stream_value_rules
 from tests.documents import minimal
@@ -145,7 +149,19 @@ def test_artifacts(spark, tmp_path):
     assert sorted(os.listdir(golden)) == ["a", "b", "d"]
     assert artifacts.check_artifact(before, after, golden, "verify", str(tmp_path / "bad")) == "mismatched"
     assert os.path.exists(tmp_path / "bad" / "report.html") and os.path.exists(tmp_path / "bad" / "expected" / "n" / "c")
-    assert artifacts.default_mode({"CI": "true"}) == "verify" and artifacts.default_mode({"CI": "0"}) == "update"
+    (tmp_path / "bad" / "old").write_bytes(b"stale")
+    assert artifacts.check_artifact(before, before, golden, "verify", str(tmp_path / "bad")) == "matched" and not os.path.exists(tmp_path / "bad")
+    modes = [({"CI": "true"}, "verify"), ({"CI": "0"}, "update"), ({"CI": "False"}, "update"), ({"CI": "no"}, "verify"), ({}, "update"), ({"CI": "1", "PDF_ARTIFACTS": "update"}, "update")]
+    assert all(artifacts.default_mode(env) == mode for env, mode in modes)
+    with pytest.raises(ValueError):
+        artifacts.default_mode({"PDF_ARTIFACTS": "Verify"})
+    with pytest.raises(ValueError):
+        artifacts.replace_folder(make({"../x": b"1"}), golden)
+    image = lambda c: png.encode(2, 1, bytes(c * 4 + [9] * 4))
+    e, a = make({"page-001.png": image([1]), "page-002.png": b"junk", "m": b"1"}), make({"page-001.png": image([2]), "page-002.png": image([3]), "m": b"1"})
+    assert artifacts.check_artifact(e, a, golden, "verify", str(tmp_path / "bad"), b"%PDF") == "mismatched"
+    assert (tmp_path / "bad" / "actual.pdf").read_bytes() == b"%PDF" and os.listdir(tmp_path / "bad" / "diff") == ["page-001.png"]
+    assert png.decode((tmp_path / "bad" / "diff" / "page-001.png").read_bytes())[2][:4] == bytes(artifacts.MARK)
     white, one = bytes([255] * 16), bytes([255] * 12 + [0, 0, 0, 255])
     page = lambda n, px, w=2, h=2: ("d", n, w, h, bytearray(px) if px is not None else None)
     e = spark.createDataFrame([page(1, white), page(2, white), page(3, white), page(4, white[:8], 2, 1), page(5, b"x")], artifacts.PAGES)
@@ -157,6 +173,69 @@ def test_artifacts(spark, tmp_path):
     assert sizes == [(816, 1056), (1056, 816), (534, 320)]
 
 
+def _filtered(px, kinds, colour, extra=()):
+    """A PNG of (height, width, samples) pixels whose rows use these filters, made by the definition of the filters."""
+    h, w, n = px.shape
+    out = b""
+    for y in range(h):
+        kind, row = kinds[y % len(kinds)], b""
+        for x in range(w):
+            for k in range(n):
+                a, b, c = (int(px[j, i, k]) if i >= 0 and j >= 0 else 0 for j, i in ((y, x - 1), (y - 1, x), (y - 1, x - 1)))
+                p = a + b - c
+                paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                row += bytes([(int(px[y, x, k]) - (0, a, b, (a + b) // 2, paeth)[kind]) & 255])
+        out += bytes([kind]) + row
+    parts = [(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)), *extra, (b"IDAT", zlib.compress(out)[:7]), (b"IDAT", zlib.compress(out)[7:]), (b"IEND", b"")]
+    return png.SIGNATURE + b"".join(png._chunk(k, d) for k, d in parts)
+
+
+def test_png():
+    r = np.random.default_rng(1)
+    for colour, n in ((0, 1), (2, 3), (4, 2), (6, 4)):
+        px = r.integers(0, 256, (11, 7, n), np.uint8)
+        w, h, got = png.decode(_filtered(px, (0, 1, 2, 3, 4), colour))
+        got = np.frombuffer(got, np.uint8).reshape(h, w, 4)
+        grey = n < 3
+        assert (w, h) == (7, 11) and (got[..., :3] == (px[..., :1] if grey else px[..., :3])).all()
+        assert (got[..., 3] == (px[..., -1] if n in (2, 4) else 255)).all()
+    px = r.integers(0, 3, (4, 5, 1), np.uint8)
+    colours = bytes(range(9))
+    _, _, got = png.decode(_filtered(px, (4,), 3, [(b"PLTE", colours), (b"tRNS", b"\x07")]))
+    assert got[:4] == bytes([*colours[3 * px[0, 0, 0] : 3 * px[0, 0, 0] + 3], 7 if px[0, 0, 0] == 0 else 255])
+    data = png.encode(3, 2, bytes(range(24)))
+    assert png.decode(data) == (3, 2, bytes(range(24)))
+    for bad in (b"", b"x" + data, data[:-12], data[:-20], data.replace(b"IDAT", b"IDAX"), _filtered(px, (4,), 3)):
+        with pytest.raises(ValueError):
+            png.decode(bad)
+
+
+def test_reachable_over_long_chains(spark):
+    """A chain of 20,000 whose nodes lead back too, a circle, and a comb."""
+    n = 20_000
+    chain = spark.range(n).selectExpr("'a' AS doc_id", "id AS src", "id + 1 AS dst")
+    back = spark.range(1, n, 3).selectExpr("'a' AS doc_id", "id AS src", "0L AS dst")
+    circle = spark.range(300).selectExpr("'b' AS doc_id", "id AS src", "(id + 1) % 300 AS dst")
+    comb = spark.range(200).selectExpr("'c' AS doc_id", "id AS src", "explode(array(id + 1, id + 1000)) AS dst")
+    start = spark.createDataFrame([("a", 5), ("b", 7), ("c", 0), ("d", 9)], "doc_id string, n long")
+    got = references.reachable(start, chain.union(back).union(circle).union(comb)).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in got} == {"a": n + 1, "b": 300, "c": 401, "d": 1}
+
+
+def test_metadata_and_records(spark):
+    meta = spark.sql("SELECT 'd' AS doc_id, 'AΩ' AS title, 'x' AS author, '' AS subject, '' AS keywords, '' AS creator, '' AS producer, TIMESTAMP '+12026-01-01 00:00:00' AS creation_date, TIMESTAMP '2026-01-01 00:00:00' AS modification_date")
+    for version, want in (("1.1", {("title",), ("creation_date",)}), ("1.4", {("creation_date",)})):
+        documents = spark.createDataFrame([("d", version)], "doc_id string, version string")
+        assert {(r["field"],) for r in lowering.metadata_errors(meta, documents).collect()} == want
+    ops, fonts, images = _tables(spark)
+    lost = lowering.record_errors(ops, fonts.where("font_id = 'h'"), images.limit(0)).collect()
+    assert {(r["page_id"], r["res_id"]) for r in lost} == {(10, "g"), (10, "c"), (11, "z")}
+    odd = fonts.union(spark.createDataFrame([("d", "q", "Comic")], "doc_id string, font_id string, base_font string"))
+    assert [r["font_id"] for r in content.font_errors(odd).collect()] == ["q"]
+    with pytest.raises(Exception, match="no name on its page"):
+        content.encode_operations(ops, content.resource_names(ops).where("res_id <> 'c'")).collect()
+
+
 def test_streamed_rules(spark, tmp_path):
     nodes = graph_from_literals(spark, {"a": minimal(more=[Obj(6, [Name(""), float("nan")])])}).nodes
     nodes.write.parquet(str(tmp_path / "in"))

@@ -103,3 +103,21 @@ def test_boxes(spark):
     box = lambda *v: F.array(*[F.lit(float(x)) for x in v])
     r = one(spark, a=S.is_rectangle(box(0, 0, 0, 0)), c=S.is_rectangle(box(0, 0, 1)), d=S.is_rectangle(box(0, 0, 1, "nan")), e=S.is_positive_rectangle(box(0, 0, 0, 1)), f=S.is_positive_rectangle(box(0, 0, 1, 1)))
     assert tuple(r) == (True, False, False, False, True)
+
+
+def test_escapes_are_linear_and_whole(spark):
+    import time
+
+    every = bytes(range(256)) * 3
+    row = spark.createDataFrame([(bytearray(every), bytearray(b""), None)], "b binary, none binary, null binary").select(
+        S.literal_string("b").alias("l"), S.pdf_name("b").alias("n"), S.literal_string("none"), S.literal_string("null"), S.pdf_name("none")
+    ).first()
+    literal, name = S._literal_table(), S._name_table()
+    assert row["l"] == "(" + "".join(literal[i] for i in every) + ")" and row["n"] == "/" + "".join(name[i] for i in every) and tuple(row)[2:] == ("()", None, "/")
+    took = []
+    for n in (1 << 17, 1 << 20):
+        texts = spark.createDataFrame([(bytearray((b"some (text) \xe9" * n)[:n]),)], "b binary")
+        start = time.time()
+        assert texts.select(F.length(S.literal_string("b"))).first()[0] > n
+        took.append(time.time() - start)
+    assert took[1] < 20 * took[0] + 5

@@ -11,6 +11,8 @@ FILE = b"""jobs:
       - run: x
         version: 9
       - uses: plain@v1
+      - uses: a/b/c@v1 # v1
+      - uses: a/bare@v1
 """
 
 
@@ -30,3 +32,5 @@ def test_inventory(spark):
     tags = spark.createDataFrame([("actions/cache", "v3", "def"), ("actions/cache", "v10.0.1", "new"), ("actions/cache", "v11.0.0-rc", "rc")], "action string, tag string, commit string")
     new = W.rewritten_lines(uses, W.newest_tags(tags)).collect()
     assert {r["line"] for r in new} == {"      - uses: actions/cache@new # v10.0.1"} and len(new) == 2
+    report = {r["action"]: tuple(r)[1:] for r in W.update_report(uses, W.newest_tags(tags)).collect()}
+    assert report == {"actions/cache": ("3", "def", "10.0.1", "new", True), "actions/checkout": ("4.1.0", "abc", None, None, False)}
