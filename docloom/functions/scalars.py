@@ -96,7 +96,8 @@ def optional_text(s: Column, version: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def _plain_decimal(v: pd.Series) -> pd.Series:
     """Shortest digits that read back as the same double, without an exponent. Python: Java's digits may be longer."""
-    return v.map(lambda x: None if pd.isna(x) or x in (float("inf"), float("-inf")) else format(Decimal(repr(float(x))), "f"))
+    text = lambda x: format(Decimal(repr(float(x))), "f").removesuffix(".0")
+    return v.map(lambda x: None if pd.isna(x) or x in (float("inf"), float("-inf")) else "0" if x == 0 else text(x))
 
 
 def is_safe_integer(v: Column) -> Column:

@@ -30,16 +30,17 @@ def used_actions(lines: DataFrame) -> DataFrame:
 
 
 def input_lines(lines: DataFrame, uses: DataFrame, key: str) -> DataFrame:
-    """The first line ``key: 1.2.3`` after each use, before the next line that is indented less than the use's step."""
+    """The first line ``key: 1.2.3`` after each use, before the next line that is indented less than the use."""
     value = F.regexp_extract("line", rf"^\s*\Q{key}\E:\s+([0-9]+\.[0-9]+\.[0-9]+)\s*\z", 1)
-    marked = lines.join(uses.select("path", "line_index", "action"), ["path", "line_index"], "left")
-    before = Window.partitionBy("path").orderBy("line_index").rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumn("use", F.last(F.when(F.col("action").isNotNull(), F.struct("line_index", "action", "indent")), ignorenulls=True).over(before))
-    inside = Window.partitionBy("path", "use.line_index").orderBy("line_index").rowsBetween(Window.unboundedPreceding, 0)
-    left = F.max(((F.col("indent") < F.col("use.indent")) & (F.trim("line") != "")).cast("int")).over(inside)
-    rows = marked.withColumn("left", left).withColumn("value", value).where("use is not null and left = 0 and value <> ''")
-    first = rows.groupBy("path", F.col("use.line_index").alias("use_line"), F.col("use.action").alias("action"))
-    return first.agg(F.min(F.struct("line_index", "value")).alias("f")).select("path", "action", "use_line", F.col("f.line_index").alias("line_index"), "f.value")
+    here = uses.join(lines.select("path", "line_index", "indent"), ["path", "line_index"]).select("path", "line_index", "action", F.col("indent").alias("level"))
+    # for each indent that a use of the file has: the next line with a value, and the next that is indented less
+    ahead = Window.partitionBy("path", "level").orderBy("line_index").rowsBetween(1, Window.unboundedFollowing)
+    levels = lines.join(here.select("path", "level").distinct(), "path").withColumn("value", value)
+    found = F.min(F.when(F.col("value") != "", F.struct("line_index", "value"))).over(ahead)
+    out = F.min(F.when((F.col("indent") < F.col("level")) & (F.trim("line") != ""), F.col("line_index"))).over(ahead)
+    levels = levels.select("path", "level", "line_index", found.alias("f"), out.alias("out"))
+    rows = here.join(levels, ["path", "level", "line_index"]).where("f is not null and (out is null or out > f.line_index)")
+    return rows.select("path", "action", F.col("line_index").alias("use_line"), F.col("f.line_index").alias("line_index"), "f.value")
 
 
 def action_groups(uses: DataFrame) -> DataFrame:

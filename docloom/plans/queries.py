@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import artifacts, content, jpeg, lowering, page_tree, references, serialize, validate
-from ..sources.graphs import Dict, Document, Name, Obj, Ref, graph_from_literals
+from ..operators import artifacts, content, lowering, page_tree, references, serialize, validate
+from ..sources.graphs import Dict, Document, Graph, Name, Obj, Ref, graph_from_literals
+from . import more
 from .derived import EDGES, ENTRIES, GRAPH, OPERATIONS, derived_graph, derived_operations, derived_tree, views
 
 
@@ -199,21 +200,15 @@ def info_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_tree_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small documents whose page trees run in circles or share nodes."""
+    """A document a supplier whose page tree runs in circles and shares nodes."""
     kids = lambda *n: Dict({"Type": Name("Pages"), "Kids": [Ref(i) for i in n], "Count": len(n)})
     leaf = Dict({"Type": Name("Page"), "Parent": Ref(2)})
-    docs = {
-        f"d{i}": Document(Ref(1), [Obj(1, Dict({"Type": Name("Catalog"), "Pages": Ref(2)})), Obj(2, kids(3, 3 + i % 2, 4)), Obj(3, leaf), Obj(4, kids(2, 3))])
-        for i in range(8)
-    }
-    return page_tree.page_tree_diagnostics(graph_from_literals(spark, docs)).select("doc_id", "code", "path")
-
-
-def jpeg_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of documents taken for images: none is one."""
-    views(spark, sf_dir)
-    rows = spark.sql("SELECT CAST(doc_id AS STRING) AS doc_id, 'x' AS image_id, concat(unhex('FFD8FFDB'), encode(text, 'UTF-8')) AS bytes FROM documents")
-    return jpeg.inspect_images(rows)
+    two = {str(i): Document(Ref(1), [Obj(1, Dict({"Type": Name("Catalog"), "Pages": Ref(2)})), Obj(2, kids(3, 3 + i, 4)), Obj(3, leaf), Obj(4, kids(2, 3))]) for i in (0, 1)}
+    cases = graph_from_literals(spark, two)
+    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("doc"), (F.col("s_suppkey") % 2).cast("string").alias("doc_id"))
+    spread = lambda df: keys.join(F.broadcast(df), "doc_id").drop("doc_id").withColumnRenamed("doc", "doc_id").select(*df.columns)  # noqa: E731  two documents
+    graph = Graph(*(spread(getattr(cases, n)) for n in ("documents", "objects", "nodes", "flags")))
+    return page_tree.page_tree_diagnostics(graph).select("doc_id", "code", "path")
 
 
 QUERIES = {
@@ -222,7 +217,7 @@ QUERIES = {
         diagnostics_summary, name_encode, literal_escape, hex_strings, utf16_text, winansi_encode, date_strings, date_valid, number_text, missing_targets,
         generation_mismatch, duplicate_numbers, unreachable_objects, garbage_collected, page_counts, page_parents, inherited_attributes, object_bodies,
         object_offsets, xref_table, serialized_files, resource_names, object_numbering, content_stream, operation_errors, artifact_changes, raster_manifest,
-        html_escape, backgrounds, newest_versions, info_rules, page_tree_dirty, jpeg_inspect,
+        html_escape, backgrounds, newest_versions, info_rules, page_tree_dirty,
     )
 }
 
@@ -338,4 +333,10 @@ ORACLES = {
     " UNION ALL SELECT 'error', 'invalid-page-tree', count(*) + 1 FROM g_page WHERE bad_turn AND r <> 3"
     " UNION ALL SELECT 'error', 'incorrect-page-count', count(*) FROM g_nation WHERE bad_count AND r <> 3"
     " UNION ALL SELECT 'warning', 'unreachable-object', (SELECT count(*) FROM g_supplier) + (SELECT count(*) FROM g_page WHERE lost AND r <> 3) + (SELECT count(*) - 2 FROM (SELECT DISTINCT num FROM g_object WHERE r = 3) y) - (SELECT count(*) FROM g_supplier WHERE r = 3)",
+    "page_tree_dirty": "WITH v(k, code, path) AS (VALUES (0, 'missing-page-attribute', 'pages.Kids[0].MediaBox'), (0, 'missing-page-attribute', 'pages.Kids[0].Resources'), (1, 'missing-page-attribute', 'pages.Kids[0].MediaBox'),"
+    " (1, 'missing-page-attribute', 'pages.Kids[0].Resources'), (0, 'page-tree-node-reused', 'pages.Kids[1]'), (0, 'incorrect-page-parent', 'pages.Kids[2].Parent'), (0, 'page-tree-cycle', 'pages.Kids[2].Kids[0]'), (0, 'page-tree-node-reused', 'pages.Kids[2].Kids[1]'),"
+    " (1, 'incorrect-page-parent', 'pages.Kids[1].Parent'), (1, 'page-tree-cycle', 'pages.Kids[1].Kids[0]'), (1, 'page-tree-node-reused', 'pages.Kids[1].Kids[1]'), (1, 'page-tree-node-reused', 'pages.Kids[2]')) SELECT concat('s', s_suppkey) AS doc_id, code, path FROM supplier JOIN v ON s_suppkey % 2 = k",
 }
+
+QUERIES |= more.QUERIES
+ORACLES |= more.ORACLES

@@ -1,23 +1,8 @@
 """Small documents that the tests share."""
 
-from docloom.sources.graphs import Dict, Document, Name, Obj, Ref, Stream
+from docloom.plans.rules import minimal, page
 
-
-def page(parent=2, **more):
-    entries = {"Type": Name("Page"), "Parent": Ref(parent), "MediaBox": [0, 0, 612, 792], "Resources": Dict({}), "Contents": Ref(4)}
-    return Dict({k: v for k, v in (entries | more).items() if v is not ...})
-
-
-def minimal(pages=None, leaf=None, more=(), content=None, **k):
-    pages = pages or Dict({"Type": Name("Pages"), "Kids": [Ref(3)], "Count": 1})
-    objects = [
-        Obj(1, Dict({"Type": Name("Catalog"), "Pages": Ref(2)})),
-        Obj(2, pages),
-        Obj(3, leaf or page()),
-        Obj(4, content or Stream({}, b"BT\nET")),
-        *more,
-    ]
-    return Document(Ref(1), objects, **k)
+__all__ = ["codes", "minimal", "page"]
 
 
 def codes(diagnostics, doc):
