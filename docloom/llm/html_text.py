@@ -1,4 +1,4 @@
-"""Main text of web pages: known containers decide what they can, a suffix array over each host's pages the rest."""
+"""Main text of web pages: an article's blocks, and what a suffix array over each host's pages finds nowhere else."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import hashlib
 import html
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, staged
 from .url_filter import url_host
 
 #: Tokens of a repeated run at least, distinct pages it must stand on.
@@ -29,60 +30,95 @@ BLOCK = set(
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no page text; it ends at the closing tag only.
 RAW = set("script style noscript template textarea iframe noembed noframes object svg math canvas audio video xmp head title".split())
-#: Elements that never hold article text.
-DROP = set("nav aside footer form button select datalist dialog menu search header fieldset".split())
+#: Elements that never hold article text; a header and a form only in some places, see ``blocks``.
+DROP = set("nav aside footer button select datalist dialog menu search fieldset".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|header|masthead|topbar|footer|sidebar|side|aside|ads?|adverts?"
-    r"|advertisements?|advertising|banner|promos?|promotion|sponsor(?:ed)?|cookies?|consent|gdpr|notices?|notification|alert|popup"
-    r"|modal|overlay|newsletter|subscribe|subscription|signup|signin|login|register|share|sharing|social|follow|related|recommended"
-    r"|recommendations|trending|popular|comments?|commentlist|disqus|replies|reply|respond|widgets?|toolbar|pagination|pager"
-    r"|copyright|legal|disclaimer|skip|search|form|hidden)(?:$|[\s_-])",
-    re.I,
+# Parts of class names and ids, as pages use them: of boilerplate, of heads, of articles, and parts that say neither.
+NAMES = set(
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs topbar footer sidebar side aside ad ads advert adverts advertisement advertisements"
+    " advertising promo promos promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter"
+    " subscribe subscription signup signin login register share sharing social follow related recommended recommendations trending popular comment comments"
+    " commentlist disqus replies reply respond widget widgets toolbar pagination pager copyright legal disclaimer skip search form hidden".split()
+)
+HEADS = set("header masthead banner".split())
+BODIES = set("article articlebody post entry hentry story main maincontent blogpost".split())
+PLAIN = set(
+    "site page global top bottom left right primary secondary inner outer wrapper wrap container holder box bar block area section list item items body content"
+    " link links text panel col column row group inline small large mobile desktop sticky fixed float mini posts articles stories news topics slot unit button"
+    " buttons icon icons tools detail details full single title".split()
 )
-MAIN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|main|maincontent)(?:$|[\s_-])", re.I)
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    # a quote opens a value only behind an equals sign
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=(?!\s*[\"'])\s*[^\s>]*)*+)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>][^\s>]*)))?")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 
 KEEP, UNDECIDED = 1, 0
 
 
-def _traits(name: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element holds boilerplate, and whether it holds the article."""
-    if not attrs.strip(" /"):
-        return name in DROP, name in ("article", "main")
-    a = {}
+BOILERPLATE, HEAD, FORM, ARTICLE, NEUTRAL = "boilerplate", "head", "form", "article", "neutral"
+
+
+def named(label: str) -> str:
+    """What the class names and ids of an element say: a name counts only if all its parts are known, so that
+    ``side-effects`` is no sidebar."""
+    kind = NEUTRAL
+    for token in label.split():
+        parts = {x for x in re.split(r"[\W_]+", CAMEL.sub("-", token).lower()) if x and not x[0].isdigit()}
+        if not parts - NAMES - HEADS - BODIES - PLAIN:
+            if parts & NAMES:
+                return BOILERPLATE
+            if parts & HEADS:
+                kind = HEAD
+            elif parts & BODIES and kind == NEUTRAL:
+                kind = ARTICLE
+    return kind
+
+
+@lru_cache(1 << 14)
+def traits(name: str, attrs: str) -> str:
+    """What an element holds, by its name and attributes."""
+    plain = ARTICLE if name in ("article", "main") else HEAD if name == "header" else FORM if name == "form" else BOILERPLATE if name in DROP else NEUTRAL
+    if not attrs.strip(" /\n\t"):
+        return plain
+    a: dict[str, str] = {}
     for k, x, y, z in ATTRIBUTE.findall(attrs):
         a.setdefault(k.lower(), html.unescape(x or y or z))
     role = a.get("role", "").lower()
-    label = f"{a.get('class', '')} {a.get('id', '')}"
-    if name in DROP or role in ROLES or "hidden" in a or a.get("aria-hidden") == "true":
-        return True, False
+    if plain == BOILERPLATE or role in ROLES - {"banner"} or "hidden" in a or a.get("aria-hidden") == "true":
+        return BOILERPLATE
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
-        return True, False
+        return BOILERPLATE
     if name in ("body", "html"):
-        return False, False
-    body = name in ("article", "main") or role in ("main", "article") or a.get("itemprop", "").lower() == "articlebody"
-    if NAMES.search(label) and not (name == "main" or role == "main"):
-        return True, False
-    return False, body or bool(MAIN.search(label))
+        return NEUTRAL
+    if name == "main" or role == "main" or plain == FORM:
+        return ARTICLE if plain != FORM else FORM
+    said = named(f"{a.get('class', '')} {a.get('id', '')}")
+    if said == BOILERPLATE:
+        return said
+    if plain == HEAD or said == HEAD or role == "banner":
+        return HEAD
+    return ARTICLE if plain == ARTICLE or role == "article" or a.get("itemprop", "").lower() == "articlebody" else said
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
     """The text blocks of a page in order, without those in known boilerplate; KEEP: in an article, else UNDECIDED.
 
-    If a page has an article, only its blocks are given. Unclosed and stray
-    tags are borne: an end tag closes the nearest open element of its name.
+    A head inside an article is its headline, elsewhere the page's. A form is
+    dropped, but for an article in it, and unless it holds most of the text
+    outside articles: then it wraps the page. Unclosed and stray tags are
+    borne: an end tag closes the nearest open element of its name.
     """
     src = page or ""
-    out: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, in boilerplate, in an article
+    out: list[tuple[str, int, int]] = []  # text, KEEP or UNDECIDED, number of the form around it
+    stack: list[tuple[str, bool, bool, int]] = []  # element, in boilerplate, in an article, form
     text: list[str] = []
     dropped = body = False
+    form = forms = 0
     at, n = 0, len(src)
 
     def flush() -> None:
@@ -90,9 +126,13 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             if not dropped:
                 s = SPACE.sub(" ", html.unescape("".join(text))).strip()
                 if s:
-                    out.append((s, KEEP if body else UNDECIDED))
+                    out.append((s, KEEP if body else UNDECIDED, 0 if body else form))
             text.clear()
 
+    def cut(i: int) -> tuple[bool, bool, int]:
+        del stack[i:]
+        return stack[-1][1:] if stack else (False, False, 0)
+
     while at < n:
         m = TOKEN.search(src, at)
         if not m:
@@ -117,8 +157,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             if i is not None:
                 if any(x[0] in BLOCK for x in stack[i:]):
                     flush()
-                del stack[i:]
-                dropped, body = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                dropped, body, form = cut(i)
             continue
         if name in RAW and not m[4].endswith("/"):
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(src, at)
@@ -132,22 +171,30 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                 same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in same:
-                        del stack[i:]
-                        dropped, body = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                        dropped, body, form = cut(i)
                         break
                     if stack[i][0] in BLOCK:
                         break
         if name in VOID:
             continue
-        bad, good = _traits(name, m[4])
-        if name == "header" and body and not dropped and not m[4].strip():
-            bad = False  # the head of an article, not of the page
+        kind = traits(name, m[4])
         if m[4].endswith("/") and name not in BLOCK:
             continue
-        dropped, body = dropped or bad, body or (good and not dropped and not bad)
-        stack.append((name, dropped, body))
+        dropped = dropped or kind == BOILERPLATE or (kind in (HEAD, FORM) and not (kind == HEAD and body) and (kind == HEAD or body))
+        body = body or (kind == ARTICLE and not dropped)
+        if kind == FORM and not form and not dropped:
+            forms += 1
+            form = forms
+        stack.append((name, dropped, body, form))
     flush()
-    return [b for b in out if b[1] == KEEP] if any(k == KEEP for _, k in out) else out
+    if not forms:
+        return [(s, k) for s, k, _ in out]
+    size = Counter()
+    for s, k, f in out:
+        if k == UNDECIDED:
+            size[f] += len(s)
+    wraps = {f for f, c in size.items() if 2 * c > sum(size.values())}
+    return [(s, k) for s, k, f in out if not f or f in wraps]
 
 
 def suffix_order(tokens: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,8 +213,9 @@ def run_classes(streams: list[list[str]], run: int = RUN) -> tuple[np.ndarray, n
     """Where runs of ``run`` tokens begin in the streams laid end to end with a separator after each, the class of equal
     runs of each, on how many streams the class stands, and where the streams end.
 
-    The separators equal nothing; runs with the same first tokens are
-    neighbours in the suffix array.
+    The separators equal nothing. Neighbours in the suffix array that share
+    ``run`` tokens or more are one class. A longer repeated substring is covered
+    by its runs, each of which stands on as many streams at least.
     """
     vocab: dict[str, int] = {}
     ids = [np.array([vocab.setdefault(w, len(vocab)) for w in s], np.int64) for s in streams]
@@ -176,27 +224,29 @@ def run_classes(streams: list[list[str]], run: int = RUN) -> tuple[np.ndarray, n
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     tokens = np.concatenate([np.r_[s, a] for s, a in zip(ids, apart, strict=True)])
     owner = np.repeat(np.arange(len(streams)), [len(s) + 1 for s in ids])
-    order, rank = suffix_order(tokens, run)
-    # suffixes are one class if their first power of two >= run tokens agree; shorter agreements need the plain check
-    size = 1
-    while size < run:
-        size *= 2
-    if size != run:
-        key = np.zeros(len(tokens), np.int64)
-        for i in range(run):
-            part = np.r_[tokens[i:], np.full(min(i, len(tokens)), -1)][: len(tokens)] + 1
-            key = np.unique(key * (tokens.max() + 2) + part, return_inverse=True)[1].astype(np.int64)
-        order, rank = np.argsort(key, kind="stable"), key
-    grouped, who = rank[order], owner[order]
-    by = np.lexsort((who, grouped))
-    grouped, who, order = grouped[by], who[by], order[by]
+    order, _ = suffix_order(tokens, run)
+    common = common_prefix(tokens, order, run)
+    grouped = np.cumsum(np.r_[0, common < run])
+    by = np.lexsort((owner[order], grouped))
+    order, who = order[by], owner[order][by]
     new = np.r_[True, (grouped[1:] != grouped[:-1]) | (who[1:] != who[:-1])]
-    distinct = np.bincount(grouped, weights=new, minlength=len(tokens) + 1)
+    distinct = np.bincount(grouped, weights=new)
     ends = np.cumsum([len(s) + 1 for s in ids])
-    inside = order + run < ends[owner[order]]  # without a separator
+    inside = order + run < ends[who]  # without a separator
     return order[inside], grouped[inside], distinct[grouped][inside].astype(np.int64), ends
 
 
+def common_prefix(tokens: np.ndarray, order: np.ndarray, upto: int) -> np.ndarray:
+    """Number of first tokens, ``upto`` at most, that each suffix shares with the next one in ``order``."""
+    padded = np.concatenate([tokens, np.full(upto, -1)])
+    out, same = np.zeros(len(order) - 1, np.int64), np.ones(len(order) - 1, bool)
+    for i in range(upto):
+        x = padded[order + i]
+        same &= (x[1:] == x[:-1]) & (x[1:] >= 0)
+        out += same
+    return out
+
+
 def covered(starts: np.ndarray, ends: np.ndarray, run: int) -> list[np.ndarray]:
     """Per token of each stream whether a run that begins at one of ``starts`` holds it."""
     total = int(ends[-1]) if len(ends) else 0
@@ -242,7 +292,7 @@ def counted_runs(pages: list[list[str]], run: int = RUN) -> dict[int, int]:
 
 
 def unique_text(pages: list[list[str]], known: set[int], run: int = RUN) -> list[list[str]]:
-    """Of each page the tokens that no run named in ``known`` holds, by block, without the short blocks named there."""
+    """Of each page's blocks the tokens that no run named in ``known`` holds; nothing of the short blocks named there."""
     flat, starts, kind, _, ends = block_runs(pages, run)
     _, first, which = np.unique(kind, return_index=True, return_inverse=True)
     use = np.array([_run_name(flat[s : s + run]) in known for s in starts[first].tolist()], bool)
@@ -252,8 +302,7 @@ def unique_text(pages: list[list[str]], known: set[int], run: int = RUN) -> list
         for b in p:
             words = b.split(" ")
             left = [w for w, m in zip(words, mark[at : at + len(words)], strict=True) if not m]
-            if left and (len(words) >= run or _name(b) not in known):
-                kept.append(" ".join(left))
+            kept.append(" ".join(left) if len(words) >= run or _name(b) not in known else "")
             at += len(words) + 1
         out.append(kept)
     return out
@@ -262,64 +311,70 @@ def unique_text(pages: list[list[str]], known: set[int], run: int = RUN) -> list
 def extract_text(pages: DataFrame, run: int = RUN, least: int = PAGES, shard: int = SHARD) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
-    Blocks inside an article or main element (or one so named) are the text;
-    navigation, headers, footers, asides, forms, scripts and elements named as
-    menus, adverts, notices, comments and the like are not. On pages without an
-    article the remaining blocks are compared with those of the other such
-    pages of the host: runs that stand on at least ``least`` pages with
-    different blocks are removed, and so are blocks shorter than a run that
-    stand on as many; the rest of a block stays. Suffix arrays over about
-    ``shard`` pages each find the runs and count their pages; the counts of all
-    arrays of a host are added before a run is judged.
+    Blocks in navigation, headers, footers, asides, forms, scripts and elements
+    named as menus, adverts, notices, comments and the like are no text; blocks
+    inside an article or main element (or one so named) are. All other blocks
+    are compared with those of the host's other pages: runs that stand on at
+    least ``least`` pages with different blocks are removed, and so are blocks
+    shorter than a run that stand on as many; the rest of a block stays. Suffix
+    arrays over about ``shard`` pages each find the runs and count their pages;
+    the counts of all arrays of a host are added before a run is judged.
 
     Null and empty html give an empty text, null urls count as one host;
-    repeated rows give repeated rows; pages are read whole, however long; other
-    columns are ignored; no rows give no rows.
+    repeated rows give repeated rows; pages are read whole, however long, and
+    parsed once; other columns are ignored; no rows give no rows.
     """
     rows = small_batches(pages).select("page_id", "url", "html")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     head = f"page_id {kinds['page_id']}, url {kinds['url']}"
 
-    def decided(batches):
-        for batch in batches:
-            found = [blocks(h) for h in batch.column("html").to_pylist()]
-            use = [i for i, f in enumerate(found) if not f or f[0][1] == KEEP]
-            yield pa.record_batch(
-                [batch.column("page_id").take(pa.array(use, pa.int64())), batch.column("url").take(pa.array(use, pa.int64())), pa.array(["\n\n".join(b for b, _ in found[i]) for i in use], pa.string())],
-                ["page_id", "url", "text"],
-            )
-
-    def undecided(batches):
+    def parse(batches):
         for batch in batches:
-            found = [blocks(h) for h in batch.column("html").to_pylist()]
-            use = [i for i, f in enumerate(found) if f and f[0][1] == UNDECIDED]
-            yield pa.record_batch(
-                [
-                    *(batch.column(c).take(pa.array(use, pa.int64())) for c in ("page_id", "url")),
-                    pa.array([hashlib.sha256("\n".join(b for b, _ in found[i]).encode("utf-8", "surrogatepass")).digest() for i in use], pa.binary()),
-                    pa.array([[b for b, _ in found[i]] for i in use], pa.list_(pa.string())),
-                ],
-                ["page_id", "url", "content", "blocks"],
-            )
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [blocks(h) for h in part.column("html").to_pylist()]
+                is_open = [any(k == UNDECIDED for _, k in f) for f in found]
+                digest = lambda f: hashlib.sha256("\n".join(f"{k}{b}" for b, k in f).encode("utf-8", "surrogatepass")).digest()
+                yield pa.record_batch(
+                    [
+                        part.column("page_id"),
+                        part.column("url"),
+                        pa.array([None if o else "\n\n".join(b for b, _ in f) for f, o in zip(found, is_open, strict=True)], pa.string()),
+                        pa.array([digest(f) if o else None for f, o in zip(found, is_open, strict=True)], pa.binary()),
+                        pa.array([[b for b, _ in f] if o else None for f, o in zip(found, is_open, strict=True)], pa.list_(pa.string())),
+                        pa.array([[k == KEEP for _, k in f] if o else None for f, o in zip(found, is_open, strict=True)], pa.list_(pa.bool_())),
+                    ],
+                    ["page_id", "url", "text", "content", "blocks", "kept"],
+                )
+
+    def asked(group: pd.DataFrame) -> list[list[str]]:
+        return [[b for b, k in zip(bs, ks, strict=True) if not k] for bs, ks in zip(group["blocks"], group["kept"], strict=True)]
 
     def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        found = counted_runs([list(b) for b in group["blocks"]], run)
+        found = counted_runs(asked(group), run)
         names = np.fromiter(found.keys(), np.int64, len(found))
         return pd.DataFrame({"host": key[0], "shard": key[1], "name": names, "pages": np.fromiter(found.values(), np.int64, len(found))})
 
     def unique(group: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        kept = unique_text([list(b) for b in group["blocks"]], set(known["name"].tolist()), run)
-        return pd.DataFrame({"host": group["host"], "content": group["content"], "text": ["\n\n".join(b) for b in kept]})
-
-    done = rows.mapInArrow(decided, f"{head}, text string")
-    open_pages = rows.mapInArrow(undecided, f"{head}, content binary, blocks array<string>").withColumn("host", url_host(F.col("url")))
+        left = unique_text(asked(group), set(known["name"].tolist()), run)
+        texts = []
+        for bs, ks, rest in zip(group["blocks"], group["kept"], left, strict=True):
+            todo = iter(rest)
+            texts.append("\n\n".join(b for b in (b if k else next(todo) for b, k in zip(bs, ks, strict=True)) if b))
+        return pd.DataFrame({"host": group["host"], "content": group["content"], "text": texts})
+
+    parsed = staged(rows.mapInArrow(parse, f"{head}, text string, content binary, blocks array<string>, kept array<boolean>"), "parsed")
+    done = parsed.where("content is null").select("page_id", "url", "text")
+    open_pages = parsed.where("content is not null").withColumn("host", url_host(F.col("url")))
+    if not open_pages.limit(1).count():
+        return done.withColumn("n_chars", F.length("text").cast("long"))
     # pages with equal blocks are one; the number of such pages of each host is known without their text
-    single = open_pages.groupBy("host", "content").agg(F.first("blocks").alias("blocks"))
+    single = open_pages.groupBy("host", "content").agg(F.first("blocks").alias("blocks"), F.first("kept").alias("kept"))
     sizes = open_pages.groupBy("host").agg(F.ceil(F.count_distinct("content") / F.lit(shard)).alias("shards"))
     dealt = single.join(sizes, "host").withColumn("shard", F.pmod(F.xxhash64("content"), "shards"))
     counts = dealt.groupBy("host", "shard").applyInPandas(count, "host string, shard long, name long, pages long")
     many = counts.groupBy("host", "name").agg(F.sum("pages").alias("all")).where(F.col("all") >= least).select("host", "name")
     known = counts.select("host", "shard", "name").join(many, ["host", "name"], "left_semi")
     texts = dealt.groupBy("host", "shard").cogroup(known.groupBy("host", "shard")).applyInPandas(unique, "host string, content binary, text string")
-    rest = open_pages.drop("blocks").join(texts, ["host", "content"]).select("page_id", "url", "text")
+    rest = open_pages.drop("blocks", "kept", "text").join(texts, ["host", "content"]).select("page_id", "url", "text")
     return done.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))

@@ -591,3 +591,59 @@ def test_recall_at_the_shipped_settings(spark):
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
     found = vector_dedup.vector_components(docs, block=300).agg(F.sum("n_links")).first()[0]
     assert 0.999 * links <= found <= links
+
+
+def test_html_of_awkward_pages():
+    texts = lambda page: [t for t, _ in html_text.blocks(page)]
+    assert texts("<p title=don't>one<p title='a>b'>two<p x=\"'\">three</p><p data-a=it's y='>'>four") == ["one", "two", "three", "four"]
+    assert texts("<p it's>one <i 'x>two</i></p><p>three") == ["one two", "three"]
+    long = "words " * 30
+    assert texts(f"<body><form id=aspnet><div><nav>menu</nav><article><h1>T</h1><p>{long}</p></article></div></form>") == ["T", long.strip()]
+    assert texts(f"<form><h1>T</h1><p>{long}</p><input></form>") == ["T", long.strip()]
+    assert texts(f"<p>{long}</p><form>Name <input> <p>Send</p></form><p>end") == [long.strip(), "end"]
+    assert texts(f"<article><p>{long}</p><form>Your reply {long * 9}</form><p>end</article>") == [long.strip(), "end"]
+    page = "<header class=site-header>Top</header><article class='post post-12'><header class='entry-header'><h1>Headline</h1></header><section class='side-effects'><p>Rash</p></section><section class='legal-history'><p>Law</p></section><div class='post-comments'>me too</div><div class='ad-slot ad_300x250'>buy</div><div class=shareButtons>share</div></article>"
+    assert html_text.blocks(page) == [("Headline", 1), ("Rash", 1), ("Law", 1)]
+    outside = "<div class=lead><p>Before the article</p></div><article><p>In it</p></article><div class='related-posts'>More</div><p>After"
+    assert html_text.blocks(outside) == [("Before the article", 0), ("In it", 1), ("After", 0)]
+    deep = "<div>" * 3000 + "x" + "</div>" * 3000 + "<p " + "a=b " * 20000 + ">" + "y " * 200_000
+    assert texts(deep) == ["x", ("y " * 200_000).strip()]
+
+
+def brute_extract(rows, run=6, least=3):
+    """Texts of pages whose blocks are all undecided or kept, by the definition: sets of the runs of each distinct page."""
+    hosts = collections.defaultdict(dict)
+    for _, url, page in rows:
+        found = html_text.blocks(page)
+        if any(k == 0 for _, k in found):
+            hosts[url.split("/")[2]][tuple(found)] = [b.split(" ") for b, k in found if k == 0]
+    out = []
+    for i, url, page in rows:
+        found, where = html_text.blocks(page), collections.Counter()
+        for blocks in hosts[url.split("/")[2]].values():
+            where.update({tuple(b[j : j + run]) for b in blocks for j in range(len(b) - run + 1)} | {("", *b) for b in blocks if len(b) < run})
+        kept = []
+        for b, k in found:
+            w = b.split(" ")
+            gone = set(range(len(w))) if len(w) < run and where["", *w] >= least else {j + d for j in range(len(w) - run + 1) if where[tuple(w[j : j + run])] >= least for d in range(run)}
+            kept.append(b if k else " ".join(x for j, x in enumerate(w) if j not in gone))
+        out.append((i, url, "\n\n".join(x for x in kept if x)))
+    return out
+
+
+@pytest.mark.parametrize("shard", [7, 512])
+def test_html_against_brute_force(spark, shard):
+    """Pages with and without an article, footers on a few of many pages, near copies, and texts longer than any footer."""
+    r, rows = random.Random(31), []
+    foot = [" ".join(r.choices(VOCAB, k=n)) for n in (4, 8, 15, 40)]
+    for i in range(700):
+        own = [" ".join(r.choices(VOCAB, k=r.randrange(1, 60))) for _ in range(r.randrange(1, 4))]
+        own += [r.choice(own)] * (i % 5 == 0)
+        edge = [r.choice(foot) + (f" page {i}" if r.random() < 0.3 else "") for _ in range(r.randrange(0, 3))] + (["seldom seen on so few of the pages here"] if i % 230 == 3 else []) + (["twice seen on only these two pages"] if i % 600 == 50 else [])
+        parts = [f"<p>{x}</p>" for x in own]
+        page = "".join(f"<div>{x}</div>" for x in edge[:1]) + ("<article>" + "".join(parts) + "</article>" if i % 3 == 0 else "".join(parts)) + "".join(f"<div>{x}</div>" for x in edge[1:])
+        rows.append((i, f"http://h{0 if i % 4 else i % 8}.com/{i}", page))
+    rows += rows[:20] + [(1000, "http://long.com/", "<p>" + " ".join(r.choices(VOCAB, k=60_000)) + "</p>")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = [(g["page_id"], g["url"], g["text"]) for g in html_text.extract_text(table, shard=shard).collect()]
+    assert sorted(got) == sorted(brute_extract(rows))
