@@ -1,27 +1,29 @@
-"""Byte-level BPE: words folded by Spark higher-order functions, documents assembled from a bounded word table."""
+"""Byte-level BPE: the distinct words of a corpus are folded once by Spark higher-order functions, texts put together from them."""
 
 from __future__ import annotations
 
 import base64
 import heapq
 import json
+import random
 import zlib
-from array import array
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import most_frequent, small_batches, staged
+from .common import pack, settled, small_batches, staged, unpack
 
-#: Most distinct words in the table; the other words are merged in the task that meets them.
-TABLE = 100_000
-#: Longest word of the table in bytes: the fold's work grows with the square of a word's length.
-LONGEST = 64
-#: Distinct words that a Python worker remembers at once.
-MEMO = 300_000
+#: Longest word in bytes that is folded: the fold's work grows with the square of a word's length. Longer ones are merged on a
+#: heap, by the same rule.
+LONGEST = 256
+#: Characters of a chunk, the texts whose distinct words a task asks for together.
+CHUNK = 1 << 23
+#: Buckets of words for each shuffle partition.
+BUCKETS = 4
 NO_RANK = (1 << 31) - 1
 
 
@@ -31,89 +33,101 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def literal_ranks(ranks: dict[bytes, int]) -> tuple[Column, int]:
-    """The rank map as a literal: an array of small maps from hex to rank, indexed by the key's CRC-32."""
-    n = 1 << max(1, len(ranks) - 1).bit_length()
-    table: list[dict[str, int]] = [{} for _ in range(n)]
-    for piece, rank in ranks.items():
-        key = piece.hex().upper()
-        table[zlib.crc32(key.encode()) % n][key] = rank
-    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<map<string,int>>"), n
+class PairTable:
+    """The rank map by pairs of pieces: a perfect hash of (rank of the left piece, rank of the right one).
 
+    A pair stands at ``(key + shifts[key mod their number]) mod slots``, where key is left * wide + right.
+    """
 
-def _lookup(table: tuple[Column, int], key: Column) -> Column:
-    lit, n = table
-    return F.try_element_at(F.get(lit, F.pmod(F.crc32(key.cast("binary")), F.lit(n)).cast("int")), key)
-
-
-def fold_merges(word: Column, ranks: tuple[Column, int]) -> Column:
-    """Ids of a word (binary) by folding ranked merges: the lowest-ranked adjacent pair first, the leftmost of equals.
-
-    The literal is bound to a variable first: each place that named it would hold a copy of its own.
+    def __init__(self, ranks: dict[bytes, int], seed: int = 1):
+        self.wide = max(ranks.values(), default=0) + 1
+        self.single = [ranks.get(bytes([i]), NO_RANK) for i in range(256)]
+        pairs = {
+            ranks[piece[:i]] * self.wide + ranks[piece[i:]]: rank
+            for piece, rank in ranks.items()
+            for i in range(1, len(piece))
+            if piece[:i] in ranks and piece[i:] in ranks
+        }
+        rng = random.Random(seed)
+        slots = 2 * len(pairs) + 7
+        while not self._place(pairs, slots, rng):
+            slots += 1  # pairs of one group that agree in both remainders part at another number of slots
+
+    def _place(self, pairs: dict[int, int], slots: int, rng: random.Random) -> bool:
+        """Shifts that give every pair a slot of its own, the largest groups of pairs first; False if so many slots won't do."""
+        groups = defaultdict(list)
+        count = len(pairs) // 2 + 1
+        for key in pairs:
+            groups[key % count].append(key)
+        self.shifts, self.keys, self.values = np.zeros(count, np.int64), np.full(slots, -1, np.int64), np.zeros(slots, np.int64)
+        taken = bytearray(slots)
+        for group, keys in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
+            base = [key % slots for key in keys]
+            if len(set(base)) < len(base):
+                return False
+            for _ in range(10_000):
+                shift = rng.randrange(slots)
+                at = [(b + shift) % slots for b in base]
+                if not any(taken[i] for i in at):
+                    break
+            else:
+                return False
+            self.shifts[group] = shift
+            for i, key in zip(at, keys, strict=True):
+                taken[i], self.keys[i], self.values[i] = 1, key, pairs[key]
+        return True
+
+    def literal(self) -> Column:
+        """The table as one literal struct."""
+        made = {"shifts": self.shifts.tolist(), "keys": self.keys.tolist(), "values": self.values.tolist(), "single": self.single}
+        return F.from_json(F.lit(json.dumps(made, separators=(",", ":"))), "shifts array<bigint>, keys array<bigint>, values array<int>, single array<int>")
+
+    def rank(self, table: Column, left: Column, right: Column) -> Column:
+        """Rank of two pieces as one; NO_RANK if they are none, or the right one is null."""
+        key = left.cast("long") * F.lit(self.wide) + right
+        slot = lambda: ((key + F.get(table["shifts"], (key % F.lit(len(self.shifts))).cast("int"))) % F.lit(len(self.keys))).cast("int")
+        return F.when(F.get(table["keys"], slot()) == key, F.get(table["values"], slot())).otherwise(F.lit(NO_RANK))
+
+
+def fold_merges(word: Column, pairs: PairTable) -> Column:
+    """Ids of a word (array of its bytes as numbers) by folding ranked merges: the lowest-ranked adjacent pair first, the
+    leftmost of equals.
+
+    The state is the pieces' ranks, which are their ids, and the rank of each piece with the next. The table is bound to a
+    variable first: each place that named it would hold a copy of its own.
     """
-    table, n = ranks
-    return F.get(F.transform(F.array(table), lambda t: _fold(word, (t, n))), 0)
+    return F.get(F.transform(F.array(pairs.literal()), lambda t: _fold(word, t, pairs)), 0)
 
 
-def _fold(word: Column, ranks: tuple[Column, int]) -> Column:
-    code = F.hex(word)
-    rank = lambda piece: F.coalesce(_lookup(ranks, piece), F.lit(NO_RANK))
-    n = F.octet_length(word)
-    single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(code, 2 * i - 1, F.lit(2)))
+def _fold(word: Column, table: Column, pairs: PairTable) -> Column:
     state = lambda p, r: F.struct(p.alias("p"), r.alias("r"))
+    bind = lambda c, f: F.get(F.transform(F.array(c), f), 0)
+    none = F.array().cast("array<int>")
+
+    def merged(s: Column, low: Column) -> Column:
+        p, r = s["p"], s["r"]
 
-    def pairs(p: Column) -> Column:
-        return F.when(
-            F.size(p) > 1,
-            F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: rank(F.concat(F.get(p, i - 1), F.get(p, i)))),
-        ).otherwise(F.array().cast("array<int>"))
+        def at(k: Column) -> Column:  # k: place of the pair, from 0
+            left = F.when(k > 0, F.array(pairs.rank(table, F.get(p, k - 1), low))).otherwise(none)
+            return state(
+                F.concat(F.slice(p, F.lit(1), k), F.array(low), F.slice(p, k + 3, F.size(p))),
+                F.concat(F.slice(r, F.lit(1), F.greatest(k - 1, F.lit(0))), left, F.array(pairs.rank(table, low, F.get(p, k + 2))), F.slice(r, k + 3, F.size(p))),
+            )
+
+        return bind((F.array_position(r, low) - 1).cast("int"), at)
 
     def step(s: Column, _: Column) -> Column:
-        p, r = s["p"], s["r"]
+        return bind(F.array_min(s["r"]), lambda low: F.when(low < NO_RANK, merged(s, low)).otherwise(s))
 
-        def merged(low: Column) -> Column:
-            def at(k: Column) -> Column:  # k: 0-based place of the pair
-                both = F.concat(F.get(p, k), F.get(p, k + 1))
-                left = F.when(k > 0, F.array(rank(F.concat(F.get(p, k - 1), both)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(k + 2 < F.size(p), F.array(rank(F.concat(both, F.get(p, k + 2))))).otherwise(
-                    F.array().cast("array<int>")
-                )
-                return state(
-                    F.concat(F.slice(p, F.lit(1), k), F.array(both), F.slice(p, k + 3, F.size(p))),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(k - 1, F.lit(0))), left, right, F.slice(r, k + 3, F.size(p))),
-                )
-
-            return F.get(F.transform(F.array((F.array_position(r, low) - 1).cast("int")), at), 0)
-
-        low = F.array_min(r)
-        return F.when(F.coalesce(low, F.lit(NO_RANK)) < NO_RANK, merged(low)).otherwise(s)
-
-    done = F.aggregate(
-        F.sequence(F.lit(2), F.greatest(n, F.lit(2))),
-        F.get(F.transform(F.array(single), lambda p: state(p, pairs(p))), 0),
-        step,
-        lambda s: F.transform(s["p"], rank),
-    )
-    whole = _lookup(ranks, code)
-    return F.when(n == 0, F.array().cast("array<int>")).when(whole.isNotNull(), F.array(whole)).otherwise(done)
-
-
-def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word by ranked merges, for words that are not in the table: n log n steps where n is large."""
-    if word in ranks:
-        return [ranks[word]]
-    n, rank = len(word), ranks.get
-    if n <= LONGEST:
-        cut = list(range(n + 1))
-        low = [rank(word[i : i + 2], NO_RANK) for i in range(n - 1)]
-        while low and (best := min(low)) < NO_RANK:
-            i = low.index(best)
-            del cut[i + 1], low[i]
-            if i:
-                low[i - 1] = rank(word[cut[i - 1] : cut[i + 1]], NO_RANK)
-            if i < len(low):
-                low[i] = rank(word[cut[i] : cut[i + 2]], NO_RANK)
-        return [ranks[word[a:b]] for a, b in zip(cut, cut[1:], strict=False)]
+    first = F.transform(word, lambda b: F.get(table["single"], b))
+    start = bind(first, lambda p: state(p, F.zip_with(p, F.slice(p, F.lit(2), F.greatest(F.size(p), F.lit(1))), lambda a, b: pairs.rank(table, a, b))))
+    done = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), start, step, lambda s: s["p"])
+    return F.when(F.size(word) == 0, none).otherwise(done)
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one long word by ranked merges on a heap, in n log n steps."""
+    n = len(word)
     piece = [word[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, i, word[i : i + 2]) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
@@ -135,89 +149,218 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p]
 
 
-class Memo(dict):
-    """Ids by word, as the bytes of 32-bit numbers: a table, and the words merged since, at most MEMO of them."""
-
-    def __init__(self, table: dict[str, bytes], ranks: dict[bytes, int]):
-        super().__init__(table)
-        self.table, self.ranks = table, ranks
+def _chunks(batches, pattern: str):
+    """For each chunk: doc_ids, words of each text as numbers end to end, number of words of each text, the words.
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > MEMO + len(self.table):
-            self.clear()
-            self.update(self.table)
-        ids = self[word] = array("i", merge_word(word.encode(), self.ranks)).tobytes()
-        return ids
-
-
-def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """How often each match of ``pattern`` occurs in all texts: word, n. Counted in the tasks before the shuffle."""
-
-    def count(batches):
-        import regex
-
-        find, seen = regex.compile(pattern).findall, Counter()
-        flush = lambda: pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+    The same for the same rows; words are numbered as they are met.
+    """
+    import regex
+
+    find = regex.compile(pattern).findall
+    ids, numbers, sizes, place, size = [], [], [], {}, 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for i, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                words = find(text or "")
+                for w in set(words).difference(place):
+                    place[w] = 0  # in no order that lasts
+                ids.append(i)
+                sizes.append(len(words))
+                numbers.append(words)
+                size += len(text or "") + 1
+                if size > CHUNK:
+                    yield ids, numbers, sizes, place
+                    ids, numbers, sizes, place, size = [], [], [], {}, 0
+    if ids:
+        yield ids, numbers, sizes, place
+
+
+def _by_bucket(words, buckets: int) -> list[list[bytes]]:
+    """The words of each bucket, in byte order."""
+    out: list[list[bytes]] = [[] for _ in range(buckets)]
+    for w in words:
+        raw = w.encode()
+        out[zlib.crc32(raw) % buckets].append(raw)
+    for rows in out:
+        rows.sort()
+    return out
+
+
+def _pack_words(words: list[bytes]) -> tuple[bytes, bytes, int]:
+    flat = b"".join(words)
+    return pack(np.fromiter(map(len, words), np.int64, len(words))), pa.compress(flat, codec="zstd", asbytes=True) if flat else b"", len(flat)
+
+
+def _unpack_words(sizes: bytes, blob: bytes, size: int) -> list[bytes]:
+    ends = np.cumsum(unpack(sizes)).tolist()
+    flat = pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    return [flat[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _record(columns: dict) -> pa.RecordBatch:
+    return pa.record_batch(list(columns.values()), list(columns))
+
+
+REQUESTS = "chunk long, bucket long, lengths binary, words binary, size long"
+
+
+def _requests(pattern: str, buckets: int):
+    """Rows of the distinct words of each chunk, by bucket."""
+
+    def run(batches):
+        part = TaskContext.get().partitionId() << 32
+        for turn, (_, _, _, words) in enumerate(_chunks(batches, pattern)):
+            rows = [(b, *_pack_words(ws)) for b, ws in enumerate(_by_bucket(words, buckets)) if ws]
+            for s in range(0, len(rows), 256):
+                bucket, lengths, blobs, size = zip(*rows[s : s + 256], strict=True)
+                yield _record({
+                    "chunk": pa.array([part + turn] * len(bucket), pa.int64()), "bucket": pa.array(bucket, pa.int64()), "lengths": pa.array(lengths, pa.binary()), "words": pa.array(blobs, pa.binary()), "size": pa.array(size, pa.int64()),
+                })
+
+    return run
+
+
+def _distinct(ranks):
+    """The distinct words of each bucket, rows sorted by bucket: bucket, word, bytes (as numbers, to be folded), ids of the
+    words that are pieces themselves or too long to be folded."""
+
+    def done(bucket: int, words: set[bytes]):
+        known = ranks.value
+        for s in range(0, len(rows := sorted(words)), 4096):
+            part = rows[s : s + 4096]
+            ids = [[known[w]] if w in known else merge_long(w, known) if len(w) > LONGEST else None for w in part]
+            todo = [w if i is None else b"" for w, i in zip(part, ids, strict=True)]
+            ends = np.cumsum([0, *map(len, todo)], dtype=np.int32)
+            flat = np.frombuffer(b"".join(todo), np.uint8).astype(np.int32)
+            yield _record({
+                "bucket": pa.array([bucket] * len(part), pa.int64()), "word": pa.array(part, pa.binary()), "bytes": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "ids": pa.array(ids, pa.list_(pa.int32())),
+            })
+
+    def run(batches):
+        now, words = None, set()
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(find(text.as_py() or ""))
-                if len(seen) > MEMO:
-                    yield flush()
-                    seen.clear()
-        yield flush()
-
-    return small_batches(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = TABLE) -> DataFrame:
+            for bucket, lengths, blob, size in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lengths", "words", "size")), strict=True):
+                if bucket != now:
+                    if words:
+                        yield from done(now, words)
+                    now, words = bucket, set()
+                words.update(_unpack_words(lengths, blob, size))
+        if words:
+            yield from done(now, words)
+
+    return run
+
+
+def _answers(batches):
+    """For each request the ids of its words, in its order; rows sorted by bucket, the folded words of a bucket first."""
+    now, known = None, {}
+    for batch in batches:
+        out = []
+        columns = [batch.column(c) for c in ("bucket", "chunk", "word", "ids", "lengths", "words", "size")]
+        for bucket, chunk, word, ids, lengths, blob, size in zip(*(c.to_pylist() for c in columns), strict=True):
+            if bucket != now:
+                now, known = bucket, {}
+            if chunk is None:
+                known[word] = ids
+                continue
+            found = [known[w] for w in _unpack_words(lengths, blob, size)]
+            out.append((chunk, bucket, pack(np.fromiter(map(len, found), np.int64, len(found))), pack(np.fromiter((i for x in found for i in x), np.int64))))
+        if out:
+            chunk, bucket, counts, blobs = zip(*out, strict=True)
+            yield _record({"chunk": pa.array(chunk, pa.int64()), "bucket": pa.array(bucket, pa.int64()), "counts": pa.array(counts, pa.binary()), "ids": pa.array(blobs, pa.binary())})
+
+
+def _texts(pattern: str, buckets: int):
+    """The texts of each chunk, whose words are numbers in the order of its requests: chunk, bucket (null), counts (words of
+    each text), ids (the numbers), doc_ids."""
+
+    def run(batches):
+        part = TaskContext.get().partitionId() << 32
+        for turn, (ids, texts, sizes, words) in enumerate(_chunks(batches, pattern)):
+            at = 0
+            for rows in _by_bucket(words, buckets):
+                for w in rows:
+                    words[w.decode()] = at
+                    at += 1
+            get = words.__getitem__
+            for s in range(0, len(ids), 256):
+                n = sizes[s : s + 256]
+                numbers = np.fromiter((i for t in texts[s : s + 256] for i in map(get, t)), np.int64, sum(n))
+                yield _record({
+                    "chunk": pa.array([part + turn], pa.int64()), "bucket": pa.nulls(1, pa.int64()), "counts": pa.array([pack(np.array(n, np.int64))], pa.binary()), "ids": pa.array([pack(numbers)], pa.binary()),
+                    "doc_ids": pa.array([ids[s : s + 256]], pa.list_(pa.int64())),
+                })
+
+    return run
+
+
+def _assemble(batches):
+    """The ids of the texts of each chunk; rows sorted by chunk, its answers by bucket, then its texts."""
+    now, held, table = None, [], None
+    for batch in batches:
+        for chunk, bucket, counts, ids, docs in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bucket", "counts", "ids", "doc_ids")), strict=True):
+            if chunk != now:
+                now, held, table = chunk, [], None
+            if bucket is not None:
+                held.append((unpack(counts).astype(np.int64), unpack(ids).astype(np.int32)))
+                continue
+            if table is None:  # the first text of the chunk: all answers are there
+                size = np.concatenate([c for c, _ in held]) if held else np.empty(0, np.int64)
+                table = size, np.cumsum(size) - size, np.concatenate([i for _, i in held]) if held else np.empty(0, np.int32)
+            size, start, flat = table
+            words, n = unpack(ids).astype(np.int64), unpack(counts).astype(np.int64)
+            length = size[words]
+            ends = np.cumsum(length)
+            total = int(ends[-1]) if len(ends) else 0
+            take = np.arange(total) - np.repeat(ends - length, length) + np.repeat(start[words], length)
+            of_text = np.concatenate([[0], ends])[np.cumsum(np.concatenate([[0], n]))].astype(np.int32)
+            yield _record({"doc_id": pa.array(docs, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(of_text), pa.array(flat[take]))})
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, ids array<int>.
 
     Each match of ``pattern`` is encoded on its own, without special tokens.
-    The most frequent distinct words (at most ``most``, a bound on what is
-    broadcast) are folded in the JVM; all others are merged by the same rule in
-    the Python worker that meets them, which remembers a bounded number. Null
-    and empty texts have no ids; repeated rows are encoded alike; other columns
-    are ignored; no rows give no rows. Work is linear in the text, n log n in
-    the length of a word.
+    Tasks lay texts into chunks and send the distinct words of each to buckets
+    by hash. Every distinct word of the corpus is folded once in the JVM, but
+    for words that are pieces themselves and words above LONGEST bytes, which
+    are merged on a heap by the same rule; the ids go back to the chunks that
+    asked, where the texts, read again, are put together. Null and empty texts
+    have no ids; repeated rows are encoded alike; other columns are ignored; no
+    rows give no rows. Work is linear in the text, n log n in the length of a
+    long word.
     """
     spark = docs.sparkSession
-    counts = staged(word_counts(docs, pattern).where(F.octet_length("word") <= LONGEST), "words")
-    folded = most_frequent(counts, most).select(
-        "word", fold_merges(F.col("word").cast("binary"), literal_ranks(ranks)).alias("ids")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * parts
+    whole = settled(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    requests = staged(whole.mapInArrow(_requests(pattern, buckets), REQUESTS), "requests")
+    shared = spark.sparkContext.broadcast(ranks)
+    words = requests.select("bucket", "lengths", "words", "size").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    words = words.mapInArrow(_distinct(shared), "bucket long, word binary, bytes array<int>, ids array<int>")
+    folded = staged(words.select("bucket", "word", F.coalesce("ids", fold_merges(F.col("bytes"), PairTable(ranks))).alias("ids")), "folded")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    asked = folded.select("bucket", none("chunk", "long"), "word", "ids", none("lengths", "binary"), none("words", "binary"), none("size", "long")).unionByName(
+        requests.select("bucket", "chunk", none("word", "binary"), none("ids", "array<int>"), "lengths", "words", "size")
     )
-    # Arrow: rows of Python objects would fill the driver; a worker keeps what it makes of them here, from task to task
-    known = spark.sparkContext.broadcast({"rows": folded.toArrow(), "ranks": ranks, "memo": None})
-
-    def assemble(batches):
-        import regex
-
-        held = known.value
-        if held["memo"] is None:
-            pairs = ((b.column(0).to_pylist(), b.column(1)) for b in held["rows"].to_batches())
-            table = {w: array("i", ids).tobytes() for words, lists in pairs for w, ids in zip(words, lists.to_pylist(), strict=True)}
-            held["memo"] = Memo(table, held["ranks"])
-        find, get = regex.compile(pattern).findall, held["memo"].__getitem__
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [b"".join(map(get, find(t or ""))) for t in part.column("text").to_pylist()]
-                ends = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
-                flat = np.frombuffer(b"".join(rows), np.int32)
-                yield pa.record_batch(
-                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"]
-                )
-
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(assemble, "doc_id long, ids array<int>")
+    answers = asked.repartition(parts, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("chunk")).mapInArrow(_answers, "chunk long, bucket long, counts binary, ids binary")
+    # the branch of the texts comes first: its tasks are numbered as where their words were asked for
+    rows = whole.mapInArrow(_texts(pattern, buckets), "chunk long, bucket long, counts binary, ids binary, doc_ids array<long>").unionByName(
+        answers.withColumn("doc_ids", none("doc_ids", "array<long>"))
+    )
+    return rows.repartition(parts, "chunk").sortWithinPartitions("chunk", F.asc_nulls_last("bucket")).mapInArrow(_assemble, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``encoded`` (ids array<int>, and more) with the column ``decoded``: the binary pieces of the ids, concatenated.
 
-    Null ids, empty arrays and ids without a piece give no bytes.
+    Pieces stand in the table as Latin-1 text, a character for each byte. Null
+    ids, empty arrays and ids without a piece give no bytes.
     """
     pieces = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, i in ranks.items():
-        pieces[i] = piece.hex()
+        pieces[i] = piece.decode("latin-1")
     table = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
     text = F.array_join(F.transform(F.coalesce("ids", F.array().cast("array<int>")), lambda i: F.get(table, i)), "")
-    return encoded.withColumn("decoded", F.unhex(text))
+    return encoded.withColumn("decoded", F.encode(text, "ISO-8859-1"))

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,12 @@ ASCII_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode (tests), and
+    an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -97,8 +101,6 @@ def fit_in_task(rows: DataFrame, fit):
     def run(batches):
         import pickle
 
-        import pyarrow as pa
-
         held = [r for b in batches for r in zip(*(b.column(n).to_pylist() for n in names), strict=True)]
         if held:
             yield pa.record_batch([pa.array([pickle.dumps(fit(sorted(held)))], pa.binary())], ["made"])
@@ -109,6 +111,30 @@ def fit_in_task(rows: DataFrame, fit):
     return pickle.loads(made[0]["made"]) if made else None
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers as bytes of equal weight together, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    used = int(planes.any(1).nonzero()[0].max(initial=-1)) + 1
+    head = len(numbers).to_bytes(8, "little") + bytes([used])
+    return head + (pa.compress(planes[:used].tobytes(), codec="zstd", asbytes=True) if used else b"")
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    n, used = int.from_bytes(blob[:8], "little"), blob[8]
+    planes = np.zeros((8, n), np.uint8)
+    if used:
+        planes[:used] = np.frombuffer(pa.decompress(blob[9:], decompressed_size=n * used, codec="zstd", asbytes=True), np.uint8).reshape(used, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def pack_rising(names: np.ndarray) -> bytes:
+    return pack(np.diff(names, prepend=np.uint64(0)))
+
+
+def unpack_rising(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob), dtype=np.uint64)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of ``edges`` (a long, b long).
 

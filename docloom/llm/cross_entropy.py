@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, settled, small_batches, staged
+from .common import bit_filter, pack, pack_rising, settled, small_batches, staged, unpack, unpack_rising
 
 #: Weight of the unigrams.
 PRIOR = 50.0
@@ -66,30 +66,6 @@ def before_each(ids: np.ndarray, sizes: np.ndarray, start) -> np.ndarray:
     return out
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    """Unsigned numbers as bytes of equal weight together, compressed."""
-    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    used = int(planes.any(1).nonzero()[0].max(initial=-1)) + 1
-    head = len(numbers).to_bytes(8, "little") + bytes([used])
-    return head + (pa.compress(planes[:used].tobytes(), codec="zstd", asbytes=True) if used else b"")
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    n, used = int.from_bytes(blob[:8], "little"), blob[8]
-    planes = np.zeros((8, n), np.uint8)
-    if used:
-        planes[:used] = np.frombuffer(pa.decompress(blob[9:], decompressed_size=n * used, codec="zstd", asbytes=True), np.uint8).reshape(used, n)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
-
-
-def pack_rising(names: np.ndarray) -> bytes:
-    return pack(np.diff(names, prepend=np.uint64(0)))
-
-
-def unpack_rising(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpack(blob), dtype=np.uint64)
-
-
 class Corpus(NamedTuple):
     """What the models are made of: all counted texts, and the ids of those that make the target model."""
 

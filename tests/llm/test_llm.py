@@ -182,19 +182,33 @@ def ranks():
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@pytest.mark.parametrize("most", [1000, 3])
-def test_bpe(spark, most):
+@pytest.mark.parametrize("chunk", [1 << 23, 200])
+def test_bpe(spark, monkeypatch, chunk):
+    monkeypatch.setattr(bpe, "CHUNK", chunk)
     tiktoken = pytest.importorskip("tiktoken")
     table = ranks()
     enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
     r = random.Random(3)
     rows = [*ROWS, *((500 + i, "".join(r.choice("abcdefgh é€😀 \n\t0'") for _ in range(r.randrange(60))), "en", "a") for i in range(60)), (999, "ab" * 4000 + " <|endoftext|>", "en", "a")]
-    got = bpe.decode(bpe.encode(documents(spark, rows), table, PATTERN, most), table).collect()
+    got = bpe.decode(bpe.encode(documents(spark, rows), table, PATTERN), table).collect()
     want = sorted((i if i is not None else -1, enc.encode_ordinary(t or ""), (t or "").encode()) for i, t, *_ in rows)
     assert sorted((g["doc_id"] if g["doc_id"] is not None else -1, list(g["ids"]), bytes(g["decoded"])) for g in got) == want
     assert bpe.encode(documents(spark, rows).limit(0), table, PATTERN).count() == 0
 
 
+def test_pair_table():
+    """Every pair of pieces has its rank at its slot, every other none."""
+    table = ranks()
+    found = bpe.PairTable(table)
+    inverse = {i: p for p, i in table.items()}
+    for a in inverse:
+        for b in inverse:
+            key = a * found.wide + b
+            slot = (key + int(found.shifts[key % len(found.shifts)])) % len(found.keys)
+            rank = int(found.values[slot]) if found.keys[slot] == key else None
+            assert rank == table.get(inverse[a] + inverse[b])
+
+
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/")]
 
 
@@ -463,8 +477,8 @@ def test_packed_numbers():
     for n in (0, 1, 5, 1000):
         for high in (1, 2, 1 << 20, 1 << 63):
             x = r.integers(0, high, n, np.uint64)
-            assert (cross_entropy.unpack(cross_entropy.pack(x)) == x).all()
-            assert (cross_entropy.unpack_rising(cross_entropy.pack_rising(np.sort(x))) == np.sort(x)).all()
+            assert (common.unpack(common.pack(x)) == x).all()
+            assert (common.unpack_rising(common.pack_rising(np.sort(x))) == np.sort(x)).all()
 
 
 def test_bigrams_share_no_counts():
