@@ -15,6 +15,8 @@ from .common import bit_filter, connected_components, drop_staged, most_frequent
 HOT = 100_000
 #: A list of at most so many sets is compared all with all; longer ones against hubs.
 SMALL = 24
+#: Times as many sets of a list ask in each turn as in the one before: texts are read as often as the logarithm of a list.
+TURNS = 8
 #: Shingles counted together before a task hands on what it saw more than once.
 CHUNK = 4_000_000
 #: Bits of the filter that picks the texts to be read again, at most (eight a text below that); a fuller filter only lets
@@ -254,7 +256,7 @@ def _enough_common(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFr
     met = pairs.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("c"), F.max("token").alias("na"), F.max("place").alias("nb"), F.min("kind").alias("kind")
     ).where("kind = 0")
-    long = entries.groupBy("key").agg(F.count(F.lit(1)).alias("long"))
+    long = staged(entries.groupBy("key").agg(F.count(F.lit(1)).alias("long")), "long", few=True)  # plain shuffles below the joins: a hub's pairs can be split
     met = met.join(long.select(F.col("key").alias("a"), F.col("long").alias("la")), "a", "left")
     met = met.join(long.select(F.col("key").alias("b"), F.col("long").alias("lb")), "b", "left")
     unseen = F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
@@ -305,8 +307,9 @@ def jaccard_components(
     of at most ``small`` sets give all pairs. A longer list gives pairs with
     its hub only; sets that prove linked need no more answers. While a list
     still spans several components, the sets outside its largest one are
-    compared with the other components, some at a time, except where the
-    distances to the hub exclude a pair.
+    compared with the other components, a few at first and TURNS times as many
+    in each turn after, except where sizes, positions or the distances to the
+    hub exclude a pair.
     """
     prefixes = staged(_prefixes(docs, k, _frequent(docs, k, hot), percent, row), "prefixes")
     named_rows = [row] if row else []
@@ -330,9 +333,10 @@ def jaccard_components(
     drop_staged(found)
     checked = staged(_links(pairs, _sets_of(docs, pairs, nodes, k, bits), percent), "links", few=True)
     labels = connected_components(checked.where("linked").select("a", "b"))
-    known, asked = checked, None
-    while (turn := _askers(entries, labels, known, asked, 16 * small)) is not None:
+    known, asked, most = checked, None, 16 * small
+    while (turn := _askers(entries, labels, known, asked, most)) is not None:
         live, askers = turn
+        most *= TURNS
         pairs = _cross_pairs(live, askers, known, percent)
         if pairs.limit(1).count():
             again = staged(_links(pairs, _sets_of(docs, pairs, nodes, k, bits), percent), "links", few=True)

@@ -661,3 +661,16 @@ def test_html_against_brute_force(spark, shard):
     table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     got = [(g["page_id"], g["url"], g["text"]) for g in html_text.extract_text(table, shard=shard).collect()]
     assert sorted(got) == sorted(brute_extract(rows))
+
+
+def test_jaccard_of_a_long_list_of_unlike_sets(spark, monkeypatch):
+    """Texts that are mostly one license, and link only in part: every turn asks more of them."""
+    r = random.Random(41)
+    license_ = [f"lic{i}" for i in range(60)]
+    rows = [(i, " ".join(license_ + [f"x{i}y{j}" for j in range(r.randrange(1, 26))]), "en", "s") for i in range(150)]
+    rows += [(200 + i, rows[i][1] + " end", "en", "s") for i in range(20)] + [(300, " ".join(f"long{j % 9000}" for j in range(30_000)), "en", "s")]
+    turns, real = [], jaccard._askers
+    monkeypatch.setattr(jaccard, "_askers", lambda *a: turns.append(a[-1]) or real(*a))
+    got = jaccard.jaccard_components(documents(spark, rows), small=2, hot=0).collect()
+    assert sorted((g["doc_id"], g["n_shingles"], g["component_id"]) for g in got) == sorted(brute_jaccard(rows))
+    assert len(turns) < 6
