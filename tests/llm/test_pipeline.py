@@ -118,3 +118,48 @@ def test_near_copies_among_null_ids(spark):
     rows = [(None, base[0], "a"), (None, base[0] + " more", "a"), (1, base[1], "a"), (None, base[1] + " more", "a"), (2, base[2], "a"), (2, base[2] + " more", "a"), (2, base[3], "a"), (None, None, "a"), (None, "", "a")]
     got = sorted((r["doc_id"] or 0, (r["text"] or "")[:4]) for r in STAGE["n-gram Jaccard join"](spark, table(spark, rows), None).collect())
     assert got == [(0, ""), (0, ""), (0, "t0x0"), (1, "t1x0"), (2, "t2x0"), (2, "t3x0")]
+
+
+def test_stages_bear_columns_named_like_their_own(spark, tmp_path):
+    """Columns with the names the stages use themselves stay as they are, through all stages, and so do empty tables."""
+    names = ["__row", "__plan", "__taken", "__nth", "__one", "__text", "keep_id", "size", "whole", "part_from", "part_to", "component_key", "key", "score"]
+    rows = [(i, t, s) for i, t, s in corpus()]
+    docs = table(spark, rows).withColumns({n: P.F.lit(f"own {n}") for n in names})
+    spark.createDataFrame([(i, 1, int(i % 2)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for name, stage in P.STAGES[:-1]:
+            if name == "toxicity" and not empty:
+                continue  # words say nothing of these labels
+            now = P.staged(stage(spark, now, str(tmp_path)), "test")
+            assert now.columns == docs.columns
+            assert empty == (now.count() == 0) and now.where(" or ".join(f"`{n}` <> 'own {n}'" for n in names)).count() == 0
+        assert empty == (P.tokenize(spark, now, str(tmp_path)).count() == 0)
+
+
+def test_toxicity_stage_against_the_scores(spark, tmp_path):
+    """The rows that stay are those that the scored windows, each computed alone, leave below one half."""
+    import numpy as np
+
+    r = random.Random(9)
+    good, bad = [f"w{i}" for i in range(80)], ["vilewort", "grubling"]
+    rows = [(i, " ".join(r.choices(good, k=r.randrange(1, 70)) + r.choices(bad, k=i % 4 == 0)), "s") for i in range(240)] + [(3, "vilewort here", "t"), (None, None, "s"), (900, "", "s"), (901, "w1 " * 5000 + "grubling", "s")]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = table(spark, rows)
+    net = toxicity.fit_toxicity(docs, labels)
+
+    def score(text):
+        words = (text or "").lower().split()
+        starts = range(0, max(1, len(words) - (toxicity.WINDOW - toxicity.STRIDE)), toxicity.STRIDE)
+        best = -np.inf
+        for s in starts:
+            part = words[s : s + toxicity.WINDOW]
+            gates = np.zeros((1, toxicity.WINDOW, 6 * toxicity.HIDDEN), np.float32)
+            if part:
+                gates[0, : len(part)] = net.gates(part)
+            best = max(best, float(net.run(gates, np.arange(toxicity.WINDOW)[None] < len(part))[0]))
+        return 1 / (1 + np.exp(-(net.scale[0] * best + net.scale[1])))
+
+    kept = sorted((x["doc_id"] or -1, x["text"] or "") for x in STAGE["toxicity"](spark, docs, str(tmp_path)).collect())
+    assert kept == sorted((i or -1, t or "") for i, t, _ in rows if score(t) < 0.5) and 100 < len(kept) < 240
