@@ -7,15 +7,17 @@ import heapq
 import json
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack, settled, small_batches, staged, unpack
+from .common import pack, settled, small_batches, unpack
 
 #: Longest word in bytes that is folded: the fold's work grows with the square of a word's length. Longer ones are merged on a
 #: heap, by the same rule.
@@ -149,39 +151,29 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p]
 
 
-def _chunks(batches, pattern: str):
-    """For each chunk: doc_ids, words of each text as numbers end to end, number of words of each text, the words.
-
-    The same for the same rows; words are numbered as they are met.
-    """
-    import regex
-
-    find = regex.compile(pattern).findall
-    ids, numbers, sizes, place, size = [], [], [], {}, 0
+def _chunks(batches):
+    """doc_ids and texts of each chunk; the same for the same rows."""
+    ids, texts, size = [], [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             for i, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                words = find(text or "")
-                for w in set(words).difference(place):
-                    place[w] = 0  # in no order that lasts
                 ids.append(i)
-                sizes.append(len(words))
-                numbers.append(words)
-                size += len(text or "") + 1
+                texts.append(text or "")
+                size += len(texts[-1]) + 1
                 if size > CHUNK:
-                    yield ids, numbers, sizes, place
-                    ids, numbers, sizes, place, size = [], [], [], {}, 0
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
     if ids:
-        yield ids, numbers, sizes, place
+        yield ids, texts
 
 
 def _by_bucket(words, buckets: int) -> list[list[bytes]]:
     """The words of each bucket, in byte order."""
     out: list[list[bytes]] = [[] for _ in range(buckets)]
-    for w in words:
-        raw = w.encode()
-        out[zlib.crc32(raw) % buckets].append(raw)
+    crc = zlib.crc32
+    for raw in map(str.encode, words):
+        out[crc(raw) % buckets].append(raw)
     for rows in out:
         rows.sort()
     return out
@@ -198,105 +190,140 @@ def _unpack_words(sizes: bytes, blob: bytes, size: int) -> list[bytes]:
     return [flat[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def _record(columns: dict) -> pa.RecordBatch:
-    return pa.record_batch(list(columns.values()), list(columns))
-
+#: Rows of requests (bucket, lengths, words, size) and of texts (no bucket; counts, numbers, doc_ids) of each chunk.
+ASKED = "key long, chunk long, bucket long, lengths binary, words binary, size long, counts binary, numbers binary, doc_ids array<long>"
 
-REQUESTS = "chunk long, bucket long, lengths binary, words binary, size long"
 
-
-def _requests(pattern: str, buckets: int):
-    """Rows of the distinct words of each chunk, by bucket."""
+def _asked(pattern: str, buckets: int):
+    """For each chunk a row of the distinct words in each bucket; a row (no counts) of where each word stands in the order of
+    those, for words by falling number of occurrences; and rows of texts whose words are numbers in that order."""
 
     def run(batches):
+        import regex
+
+        find = regex.compile(pattern).findall
         part = TaskContext.get().partitionId() << 32
-        for turn, (_, _, _, words) in enumerate(_chunks(batches, pattern)):
-            rows = [(b, *_pack_words(ws)) for b, ws in enumerate(_by_bucket(words, buckets)) if ws]
+        for turn, (ids, texts) in enumerate(_chunks(batches)):
+            chunk, often = part + turn, Counter()
+            lists = [find(t) for t in texts]
+            for words in lists:
+                often.update(words)
+            by_bucket = _by_bucket(often, buckets)
+            rows = [(b, *_pack_words(ws)) for b, ws in enumerate(by_bucket) if ws]
             for s in range(0, len(rows), 256):
                 bucket, lengths, blobs, size = zip(*rows[s : s + 256], strict=True)
-                yield _record({
-                    "chunk": pa.array([part + turn] * len(bucket), pa.int64()), "bucket": pa.array(bucket, pa.int64()), "lengths": pa.array(lengths, pa.binary()), "words": pa.array(blobs, pa.binary()), "size": pa.array(size, pa.int64()),
-                })
+                yield _rows(ASKED, len(bucket), key=bucket, chunk=[chunk] * len(bucket), bucket=bucket, lengths=lengths, words=blobs, size=size)
+            order = [w.decode() for ws in by_bucket for w in ws]
+            rank = np.argsort(-np.fromiter(map(often.__getitem__, order), np.int64, len(order)), kind="stable")
+            yield _rows(ASKED, 1, key=[-1 - chunk], chunk=[chunk], numbers=[pack(rank)])
+            number = {order[p]: i for i, p in enumerate(rank.tolist())}.__getitem__
+            for s in range(0, len(ids), 256):
+                counts = np.fromiter(map(len, lists[s : s + 256]), np.int64)
+                numbers = np.fromiter(map(number, chain.from_iterable(lists[s : s + 256])), np.int64, int(counts.sum()))
+                yield _rows(ASKED, 1, key=[-1 - chunk], chunk=[chunk], counts=[pack(counts)], numbers=[pack(numbers)], doc_ids=[ids[s : s + 256]])
 
     return run
 
 
+KINDS = {"long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+
+
+def _rows(schema: str, n: int, **columns) -> pa.RecordBatch:
+    """A batch of ``n`` rows; columns that aren't given are null."""
+    kinds = dict(c.split() for c in schema.split(", "))
+    made = {c: columns.get(c, pa.nulls(n, KINDS[k])) for c, k in kinds.items()}
+    return pa.record_batch([v if isinstance(v, pa.Array) else pa.array(v, KINDS[kinds[c]]) for c, v in made.items()], list(made))
+
+
+DISTINCT = "chunk long, bucket long, bytes array<int>, ids array<int>, wanted binary, counts binary, numbers binary, doc_ids array<long>"
+
+
 def _distinct(ranks):
-    """The distinct words of each bucket, rows sorted by bucket: bucket, word, bytes (as numbers, to be folded), ids of the
-    words that are pieces themselves or too long to be folded."""
+    """For each bucket rows of its distinct words, in byte order (bytes as numbers, to be folded, or the ids of words that are
+    pieces themselves or too long to be folded), then rows of its requests (chunk, places of the wanted words). Rows come
+    sorted by bucket; rows of texts, behind all buckets, go on as they are."""
 
-    def done(bucket: int, words: set[bytes]):
+    def done(bucket: int, asked: list[tuple[int, list[bytes]]]):
         known = ranks.value
-        for s in range(0, len(rows := sorted(words)), 4096):
+        rows = sorted(set().union(*(words for _, words in asked)))
+        for s in range(0, len(rows), 4096):
             part = rows[s : s + 4096]
             ids = [[known[w]] if w in known else merge_long(w, known) if len(w) > LONGEST else None for w in part]
             todo = [w if i is None else b"" for w, i in zip(part, ids, strict=True)]
             ends = np.cumsum([0, *map(len, todo)], dtype=np.int32)
             flat = np.frombuffer(b"".join(todo), np.uint8).astype(np.int32)
-            yield _record({
-                "bucket": pa.array([bucket] * len(part), pa.int64()), "word": pa.array(part, pa.binary()), "bytes": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "ids": pa.array(ids, pa.list_(pa.int32())),
-            })
+            yield _rows(DISTINCT, len(part), bucket=[bucket] * len(part), bytes=pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), ids=ids)
+        place = dict(zip(rows, range(len(rows)), strict=True))
+        for s in range(0, len(asked), 256):
+            part = asked[s : s + 256]
+            wanted = [pack(np.fromiter(map(place.__getitem__, words), np.int64, len(words))) for _, words in part]
+            yield _rows(DISTINCT, len(part), chunk=[c for c, _ in part], bucket=[bucket] * len(part), ids=[[]] * len(part), wanted=wanted)
 
     def run(batches):
-        now, words = None, set()
+        now, asked = None, []
         for batch in batches:
-            for bucket, lengths, blob, size in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lengths", "words", "size")), strict=True):
+            texts = batch.filter(batch.column("bucket").is_null())
+            for bucket, chunk, lengths, blob, size in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "lengths", "words", "size")), strict=True):
                 if bucket != now:
-                    if words:
-                        yield from done(now, words)
-                    now, words = bucket, set()
-                words.update(_unpack_words(lengths, blob, size))
-        if words:
-            yield from done(now, words)
+                    if asked:
+                        yield from done(now, asked)
+                    now, asked = bucket, []
+                if bucket is not None:
+                    asked.append((chunk, _unpack_words(lengths, blob, size)))
+            if texts.num_rows:
+                yield _rows(DISTINCT, texts.num_rows, ids=[[]] * texts.num_rows, **{c: texts.column(c) for c in ("chunk", "counts", "numbers", "doc_ids")})
+        if asked:
+            yield from done(now, asked)
 
     return run
 
 
+ANSWERED = "chunk long, bucket long, counts binary, ids binary, doc_ids array<long>"
+
+
 def _answers(batches):
-    """For each request the ids of its words, in its order; rows sorted by bucket, the folded words of a bucket first."""
-    now, known = None, {}
+    """For each request the ids of its words, in its order (chunk, bucket, counts, ids): of each bucket the words come first.
+    Rows of texts go on (their numbers as ids)."""
+    now, held, table = None, [], None
     for batch in batches:
+        texts = batch.filter(batch.column("bucket").is_null())
+        if texts.num_rows:
+            yield _rows(ANSWERED, texts.num_rows, chunk=texts.column("chunk"), counts=texts.column("counts"), ids=texts.column("numbers"), doc_ids=texts.column("doc_ids"))
+        batch = batch.filter(batch.column("bucket").is_valid())
+        bucket = batch.column("bucket").to_numpy()
+        is_word = batch.column("chunk").is_null().to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]) | (is_word[1:] != is_word[:-1])) + 1).tolist(), len(bucket)]
         out = []
-        columns = [batch.column(c) for c in ("bucket", "chunk", "word", "ids", "lengths", "words", "size")]
-        for bucket, chunk, word, ids, lengths, blob, size in zip(*(c.to_pylist() for c in columns), strict=True):
-            if bucket != now:
-                now, known = bucket, {}
-            if chunk is None:
-                known[word] = ids
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if s == e:
                 continue
-            found = [known[w] for w in _unpack_words(lengths, blob, size)]
-            out.append((chunk, bucket, pack(np.fromiter(map(len, found), np.int64, len(found))), pack(np.fromiter((i for x in found for i in x), np.int64))))
+            if bucket[s] != now:
+                now, held, table = bucket[s], [], None
+            if is_word[s]:
+                ids = batch.column("ids").slice(s, e - s)
+                held.append((pc.list_value_length(ids).to_numpy().astype(np.int64), ids.flatten().to_numpy()))
+                continue
+            if table is None:
+                size = np.concatenate([n for n, _ in held])
+                table = size, np.cumsum(size) - size, np.concatenate([i for _, i in held])
+            for chunk, wanted in zip(batch.column("chunk").slice(s, e - s).to_pylist(), batch.column("wanted").slice(s, e - s).to_pylist(), strict=True):
+                n, ids = _taken(table, unpack(wanted).astype(np.int64))
+                out.append((chunk, int(now), pack(n), pack(ids)))
         if out:
-            chunk, bucket, counts, blobs = zip(*out, strict=True)
-            yield _record({"chunk": pa.array(chunk, pa.int64()), "bucket": pa.array(bucket, pa.int64()), "counts": pa.array(counts, pa.binary()), "ids": pa.array(blobs, pa.binary())})
-
-
-def _texts(pattern: str, buckets: int):
-    """The texts of each chunk, whose words are numbers in the order of its requests: chunk, bucket (null), counts (words of
-    each text), ids (the numbers), doc_ids."""
+            chunk, buckets, counts, blobs = zip(*out, strict=True)
+            yield _rows(ANSWERED, len(out), chunk=chunk, bucket=buckets, counts=counts, ids=blobs)
 
-    def run(batches):
-        part = TaskContext.get().partitionId() << 32
-        for turn, (ids, texts, sizes, words) in enumerate(_chunks(batches, pattern)):
-            at = 0
-            for rows in _by_bucket(words, buckets):
-                for w in rows:
-                    words[w.decode()] = at
-                    at += 1
-            get = words.__getitem__
-            for s in range(0, len(ids), 256):
-                n = sizes[s : s + 256]
-                numbers = np.fromiter((i for t in texts[s : s + 256] for i in map(get, t)), np.int64, sum(n))
-                yield _record({
-                    "chunk": pa.array([part + turn], pa.int64()), "bucket": pa.nulls(1, pa.int64()), "counts": pa.array([pack(np.array(n, np.int64))], pa.binary()), "ids": pa.array([pack(numbers)], pa.binary()),
-                    "doc_ids": pa.array([ids[s : s + 256]], pa.list_(pa.int64())),
-                })
 
-    return run
+def _taken(table: tuple[np.ndarray, np.ndarray, np.ndarray], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of ids, and the ids, of the words at these places of a table (numbers of ids, their starts, all ids)."""
+    size, start, flat = table
+    n = size[places]
+    ends = np.cumsum(n)
+    return n, flat[np.arange(int(n.sum())) - np.repeat(ends - n, n) + np.repeat(start[places], n)]
 
 
 def _assemble(batches):
-    """The ids of the texts of each chunk; rows sorted by chunk, its answers by bucket, then its texts."""
+    """The ids of the texts of each chunk; rows sorted by chunk: its answers by bucket, the order of its words, its texts."""
     now, held, table = None, [], None
     for batch in batches:
         for chunk, bucket, counts, ids, docs in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bucket", "counts", "ids", "doc_ids")), strict=True):
@@ -304,18 +331,16 @@ def _assemble(batches):
                 now, held, table = chunk, [], None
             if bucket is not None:
                 held.append((unpack(counts).astype(np.int64), unpack(ids).astype(np.int32)))
-                continue
-            if table is None:  # the first text of the chunk: all answers are there
-                size = np.concatenate([c for c, _ in held]) if held else np.empty(0, np.int64)
-                table = size, np.cumsum(size) - size, np.concatenate([i for _, i in held]) if held else np.empty(0, np.int32)
-            size, start, flat = table
-            words, n = unpack(ids).astype(np.int64), unpack(counts).astype(np.int64)
-            length = size[words]
-            ends = np.cumsum(length)
-            total = int(ends[-1]) if len(ends) else 0
-            take = np.arange(total) - np.repeat(ends - length, length) + np.repeat(start[words], length)
-            of_text = np.concatenate([[0], ends])[np.cumsum(np.concatenate([[0], n]))].astype(np.int32)
-            yield _record({"doc_id": pa.array(docs, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(of_text), pa.array(flat[take]))})
+            elif counts is None:
+                rank = unpack(ids).astype(np.int64)
+                size = np.concatenate([np.empty(0, np.int64), *(c for c, _ in held)])
+                table = size[rank], (np.cumsum(size) - size)[rank], np.concatenate([np.empty(0, np.int32), *(i for _, i in held)])
+                held = []
+            else:
+                n, flat = _taken(table, unpack(ids).astype(np.int64))
+                ends = np.cumsum(np.concatenate([[0], n]))
+                of_text = ends[np.cumsum(np.concatenate([[0], unpack(counts).astype(np.int64)]))].astype(np.int32)
+                yield pa.record_batch([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(of_text), pa.array(flat))], ["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -326,30 +351,21 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     by hash. Every distinct word of the corpus is folded once in the JVM, but
     for words that are pieces themselves and words above LONGEST bytes, which
     are merged on a heap by the same rule; the ids go back to the chunks that
-    asked, where the texts, read again, are put together. Null and empty texts
-    have no ids; repeated rows are encoded alike; other columns are ignored; no
-    rows give no rows. Work is linear in the text, n log n in the length of a
-    long word.
+    asked, where the texts, as numbers of their chunk's words, wait for them.
+    Null and empty texts have no ids; repeated rows are encoded alike; other
+    columns are ignored; no rows give no rows. Work is linear in the text,
+    n log n in the length of a long word.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = BUCKETS * parts
     whole = settled(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    requests = staged(whole.mapInArrow(_requests(pattern, buckets), REQUESTS), "requests")
     shared = spark.sparkContext.broadcast(ranks)
-    words = requests.select("bucket", "lengths", "words", "size").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    words = words.mapInArrow(_distinct(shared), "bucket long, word binary, bytes array<int>, ids array<int>")
-    folded = staged(words.select("bucket", "word", F.coalesce("ids", fold_merges(F.col("bytes"), PairTable(ranks))).alias("ids")), "folded")
-    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    asked = folded.select("bucket", none("chunk", "long"), "word", "ids", none("lengths", "binary"), none("words", "binary"), none("size", "long")).unionByName(
-        requests.select("bucket", "chunk", none("word", "binary"), none("ids", "array<int>"), "lengths", "words", "size")
-    )
-    answers = asked.repartition(parts, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("chunk")).mapInArrow(_answers, "chunk long, bucket long, counts binary, ids binary")
-    # the branch of the texts comes first: its tasks are numbered as where their words were asked for
-    rows = whole.mapInArrow(_texts(pattern, buckets), "chunk long, bucket long, counts binary, ids binary, doc_ids array<long>").unionByName(
-        answers.withColumn("doc_ids", none("doc_ids", "array<long>"))
-    )
-    return rows.repartition(parts, "chunk").sortWithinPartitions("chunk", F.asc_nulls_last("bucket")).mapInArrow(_assemble, "doc_id long, ids array<int>")
+    asked = whole.mapInArrow(_asked(pattern, BUCKETS * parts), ASKED).repartition(parts, "key").sortWithinPartitions(F.asc_nulls_last("bucket"), "chunk")
+    words = asked.drop("key").mapInArrow(_distinct(shared), DISTINCT)
+    folded = words.withColumn("ids", F.coalesce("ids", fold_merges(F.col("bytes"), PairTable(ranks)))).drop("bytes")
+    answered = folded.mapInArrow(_answers, ANSWERED).repartition(parts, "chunk")
+    in_order = [F.col("chunk"), F.asc_nulls_last("bucket"), F.col("counts").isNotNull()]
+    return answered.sortWithinPartitions(*in_order).mapInArrow(_assemble, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

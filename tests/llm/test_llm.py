@@ -674,3 +674,34 @@ def test_jaccard_of_a_long_list_of_unlike_sets(spark, monkeypatch):
     got = jaccard.jaccard_components(documents(spark, rows), small=2, hot=0).collect()
     assert sorted((g["doc_id"], g["n_shingles"], g["component_id"]) for g in got) == sorted(brute_jaccard(rows))
     assert len(turns) < 6
+
+
+def test_long_urls_and_repeated_pages(spark):
+    long = "https://" + ".".join(f"p{i}" for i in range(60)) + ".ads.example.com/en/" + "x/" * 50_000 + "?q=" + "y" * 100_000
+    rows = [(1, long), (1, long), (2, "HTTP://Ads.Example.COM/de"), (2, "http://ok.example.com/en/7"), (None, "http://ads.example.com"), (3, ""), (3, None), (4, "no scheme"), (5, "://ads.example.com#f")]
+    pages = spark.createDataFrame([(*r, "h") for r in rows], "page_id long, url string, host string")
+    listed = spark.createDataFrame([("ads.example.com",)], "key string")
+    got = url_filter.url_verdicts(pages, RULES, listed).collect()
+    assert sorted((g["page_id"] or 0, g["host"], g["rule"] or "", g["verdict"]) for g in got) == sorted(
+        [(1, long[8:].split("/")[0], "com/en/", "block")] * 2
+        + [(2, "ads.example.com", "", "block"), (2, "ok.example.com", "example.com/en/7", "allow"), (0, "ads.example.com", "", "block"), (3, "", "", "allow"), (3, "", "", "allow"), (4, "", "", "allow"), (5, "ads.example.com", "", "block")]
+    )
+    assert all(len(g["path"]) == (100_004 if g["page_id"] == 1 else len(g["path"])) for g in got)
+
+
+def test_repeated_rows_and_ties_are_judged_alike(spark):
+    """Rows that repeat, texts that tie, and a language and a class that have equal evidence: reruns agree."""
+    r = random.Random(13)
+    rows = [(i, " ".join(r.choices(["eins", "zwei"] if i % 2 else ["one", "two"], k=8)), "de" if i % 2 else "en", "s") for i in range(80)]
+    same = [(200 + i, "one zwei", None, "s") for i in range(3)] * 2 + [(300, None, None, "s"), (300, "", None, "s"), (None, "one", None, "s")]
+    docs = documents(spark, [*rows, *same])
+    fields = [lang_crf.fit_languages(documents(spark, x)) for x in (rows, rows[::-1])]
+    labelled = [lang_crf.label_languages(docs.repartition(n), f).collect() for n, f in zip((2, 5), fields, strict=True)]
+    assert sorted(map(str, labelled[0])) == sorted(map(str, labelled[1])) and len(labelled[0]) == len(rows) + len(same)
+    assert len({(g["lang_pred"], g["score"]) for g in labelled[0] if 200 <= (g["doc_id"] or 0) < 210}) == 1
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(0, 1)], "doc_id long, toxic int")
+    nets = [toxicity.fit_toxicity(documents(spark, x), labels) for x in (rows, rows[::-1])]
+    scored = [toxicity.score_toxicity(docs.repartition(n), net).collect() for n, net in zip((2, 5), nets, strict=True)]
+    plain = lambda x: sorted((g["doc_id"] or 0, round(g["score"], 6), g["predicted"], g["n_windows"]) for g in x)  # noqa: E731  sums of floats depend on the batch
+    assert plain(scored[0]) == plain(scored[1]) and len(scored[0]) == len(rows) + len(same)
+    assert len({round(g["score"], 6) for g in scored[0] if 200 <= (g["doc_id"] or 0) < 210}) == 1
