@@ -15,8 +15,8 @@ from ..stages import staged
 
 TABLES = "region nation customer supplier part orders conversations documents pages".split()
 
-#: Numbered objects and their faults. Each text is a list of common table expressions.
-GRAPH = """
+#: Nations and pages with their numbers and faults. Each text is a list of common table expressions.
+PAGES = """
 g_nation AS (
   SELECT n_regionkey AS r, n_nationkey AS n, 2 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS num,
          count(*) OVER (PARTITION BY n_regionkey) AS nn, n_nationkey % 3 = 0 AS has_box, n_nationkey % 2 = 0 AS has_res,
@@ -33,13 +33,17 @@ g_nation AS (
          c % 97 = 5 AS bad_parent, c % 53 = 7 AS lost, c % 71 = 3 AS stale, c % 61 <> 11 AS has_box, c % 89 <> 4 AS has_res,
          c % 101 = 1 AS bad_turn
   FROM g_customer
-), g_size AS (
+)"""
+#: Numbers of each document, of the suppliers' objects, and of all objects.
+_SIZES = """g_size AS (
   SELECT r, max(nn) AS nn, max(np) AS np FROM g_page GROUP BY r
-), g_supplier AS (
+)"""
+_SUPPLIERS = """g_supplier AS (
   SELECT z.r, s.s_suppkey AS s, s.s_name AS s_name,
          2 + z.nn + 2 * z.np + 2 * row_number() OVER (PARTITION BY z.r ORDER BY s.s_suppkey) AS num
   FROM supplier s JOIN nation t ON s.s_nationkey = t.n_nationkey JOIN g_size z ON t.n_regionkey = z.r
-), g_object AS (
+)"""
+_OBJECTS = """g_object AS (
   SELECT r, CAST(1 AS BIGINT) AS num, 'catalog' AS what FROM g_size
   UNION ALL SELECT r, 2, 'root' FROM g_size
   UNION ALL SELECT r, num, 'nation' FROM g_nation
@@ -49,6 +53,9 @@ g_nation AS (
 )
 """
 
+NUMBERED = _OBJECTS
+GRAPH = f"{PAGES}, {_SIZES}, {_SUPPLIERS}, {_OBJECTS}"
+
 #: Edges between numbers: g_edge (r, src, dst, gen, key).
 EDGES = """
 g_edge AS (
@@ -68,6 +75,13 @@ def views(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
+def page_views(spark: SparkSession, sf_dir: str) -> None:
+    """The tables, and nations, pages, sizes and suppliers computed once, as views: what is derived from them reads them often."""
+    views(spark, sf_dir)
+    for t, made in (("g_nation", PAGES), ("g_page", PAGES), ("g_size", _SIZES), ("g_supplier", _SUPPLIERS)):
+        staged(spark.sql(f"WITH {made} SELECT * FROM {t}"), t).createOrReplaceTempView(t)
+
+
 #: Entries of all dictionaries: place among the entries, key, kind and values; arrays have their items in g_item.
 ENTRIES = """
 g_entry AS (
@@ -101,8 +115,8 @@ g_entry AS (
 
 def derived_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph of all regions. The objects of region 3 have a second definition of number 1."""
-    views(spark, sf_dir)
-    head = f"WITH {GRAPH}, {ENTRIES} "
+    page_views(spark, sf_dir)
+    head = f"WITH {NUMBERED}, {ENTRIES} "
     doc = "concat('r', r) AS doc_id"
     objects = spark.sql(
         head + f"SELECT {doc}, CAST(num AS INT) AS obj_index, num AS object_number, 0 AS generation, true AS generation_ok, what FROM g_object"
@@ -162,9 +176,9 @@ g_line AS (
 
 
 def derived_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir)
+    page_views(spark, sf_dir)
     ops = spark.sql(
-        f"WITH {GRAPH}, {OPERATIONS} SELECT concat('r', r) AS doc_id, page AS page_id, frag AS frag_idx, fk AS frag_kind, CAST(seq AS INT) AS op_idx, op,"
+        f"WITH {NUMBERED}, {OPERATIONS} SELECT concat('r', r) AS doc_id, page AS page_id, frag AS frag_idx, fk AS frag_kind, CAST(seq AS INT) AS op_idx, op,"
         " filter(array(a, b), x -> x IS NOT NULL) AS args, res AS res_id, t AS text, CAST(NULL AS BINARY) AS bytes FROM g_op"
     )
     return staged(ops, "operations")
@@ -172,9 +186,9 @@ def derived_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derived_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logical page trees of the same documents: root, nations, customers."""
-    views(spark, sf_dir)
+    page_views(spark, sf_dir)
     tree = spark.sql(
-        f"WITH {GRAPH} SELECT concat('r', r) AS doc_id, CAST(2 AS BIGINT) AS node_id, CAST(NULL AS BIGINT) AS parent_id, 0 AS child_idx, 'root' AS kind, CAST(NULL AS array<double>) AS mediabox, 0 AS rotation, CAST(NULL AS STRING) AS owner_id FROM g_size"
+        f"WITH {NUMBERED} SELECT concat('r', r) AS doc_id, CAST(2 AS BIGINT) AS node_id, CAST(NULL AS BIGINT) AS parent_id, 0 AS child_idx, 'root' AS kind, CAST(NULL AS array<double>) AS mediabox, 0 AS rotation, CAST(NULL AS STRING) AS owner_id FROM g_size"
         " UNION ALL SELECT concat('r', r), num, 2, CAST(num - 3 AS INT), 'pages', NULL, 0, NULL FROM g_nation"
         " UNION ALL SELECT concat('r', r), num, up, CAST(kid AS INT), 'page', array(0D, 0D, 612D, 792D), 0, NULL FROM g_page"
     )
