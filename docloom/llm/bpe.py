@@ -7,8 +7,7 @@ import heapq
 import json
 import random
 import zlib
-from collections import Counter, defaultdict
-from itertools import chain
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from .common import pack, settled, small_batches, unpack
 #: heap, by the same rule.
 LONGEST = 256
 #: Characters of a chunk, the texts whose distinct words a task asks for together.
-CHUNK = 1 << 23
+CHUNK = 1 << 25
 #: Buckets of words for each shuffle partition.
 BUCKETS = 4
 NO_RANK = (1 << 31) - 1
@@ -151,21 +150,26 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p]
 
 
-def _chunks(batches):
-    """doc_ids and texts of each chunk; the same for the same rows."""
-    ids, texts, size = [], [], 0
+def _chunks(batches, find):
+    """For each chunk: doc_ids, the words of all texts end to end as numbers, the number of words of each text, and the
+    number of each distinct word."""
+    ids, numbers, sizes, place, size = [], [], [], {}, 0
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             for i, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                words = find(text or "")
+                for w in set(words).difference(place):
+                    place[w] = len(place)
                 ids.append(i)
-                texts.append(text or "")
-                size += len(texts[-1]) + 1
+                numbers.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
+                sizes.append(len(words))
+                size += len(text or "") + 1
                 if size > CHUNK:
-                    yield ids, texts
-                    ids, texts, size = [], [], 0
+                    yield ids, np.concatenate(numbers), np.array(sizes), place
+                    ids, numbers, sizes, place, size = [], [], [], {}, 0
     if ids:
-        yield ids, texts
+        yield ids, np.concatenate(numbers), np.array(sizes), place
 
 
 def _by_bucket(words, buckets: int) -> list[list[bytes]]:
@@ -203,24 +207,22 @@ def _asked(pattern: str, buckets: int):
 
         find = regex.compile(pattern).findall
         part = TaskContext.get().partitionId() << 32
-        for turn, (ids, texts) in enumerate(_chunks(batches)):
-            chunk, often = part + turn, Counter()
-            lists = [find(t) for t in texts]
-            for words in lists:
-                often.update(words)
-            by_bucket = _by_bucket(often, buckets)
+        for turn, (ids, words, sizes, place) in enumerate(_chunks(batches, find)):
+            chunk = part + turn
+            by_bucket = _by_bucket(place, buckets)
             rows = [(b, *_pack_words(ws)) for b, ws in enumerate(by_bucket) if ws]
             for s in range(0, len(rows), 256):
                 bucket, lengths, blobs, size = zip(*rows[s : s + 256], strict=True)
                 yield _rows(ASKED, len(bucket), key=bucket, chunk=[chunk] * len(bucket), bucket=bucket, lengths=lengths, words=blobs, size=size)
-            order = [w.decode() for ws in by_bucket for w in ws]
-            rank = np.argsort(-np.fromiter(map(often.__getitem__, order), np.int64, len(order)), kind="stable")
+            met = np.fromiter((place[w.decode()] for ws in by_bucket for w in ws), np.int64, len(place))  # numbers in the order of the requests
+            rank = np.argsort(-np.bincount(words, minlength=len(place))[met], kind="stable")
             yield _rows(ASKED, 1, key=[-1 - chunk], chunk=[chunk], numbers=[pack(rank)])
-            number = {order[p]: i for i, p in enumerate(rank.tolist())}.__getitem__
+            number = np.empty(len(place), np.int32)
+            number[met[rank]] = np.arange(len(place), dtype=np.int32)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
             for s in range(0, len(ids), 256):
-                counts = np.fromiter(map(len, lists[s : s + 256]), np.int64)
-                numbers = np.fromiter(map(number, chain.from_iterable(lists[s : s + 256])), np.int64, int(counts.sum()))
-                yield _rows(ASKED, 1, key=[-1 - chunk], chunk=[chunk], counts=[pack(counts)], numbers=[pack(numbers)], doc_ids=[ids[s : s + 256]])
+                e = min(s + 256, len(ids))
+                yield _rows(ASKED, 1, key=[-1 - chunk], chunk=[chunk], counts=[pack(sizes[s:e])], numbers=[pack(number[words[ends[s] : ends[e]]])], doc_ids=[ids[s:e]])
 
     return run
 

@@ -182,7 +182,7 @@ def ranks():
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@pytest.mark.parametrize("chunk", [1 << 23, 200])
+@pytest.mark.parametrize("chunk", [1 << 25, 200])
 def test_bpe(spark, monkeypatch, chunk):
     monkeypatch.setattr(bpe, "CHUNK", chunk)
     tiktoken = pytest.importorskip("tiktoken")
