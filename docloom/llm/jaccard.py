@@ -6,19 +6,24 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_filter, connected_components, drop_staged, most_frequent, small_batches, staged
+from .common import bit_filter, connected_components, drop_staged, pack, pack_rising, settled, small_batches, staged, unpack, unpack_rising
 
-#: Shingles kept as frequent, at most; they come last in every set's order, so unlike sets that share them stay apart.
+#: Shingles are ordered by the number of sets that hold them, up to this number; frequent ones come last in every set's order,
+#: so unlike sets that share them stay apart.
 HOT = 100_000
 #: A list of at most so many sets is compared all with all; longer ones against hubs.
 SMALL = 24
 #: Times as many sets of a list ask in each turn as in the one before: texts are read as often as the logarithm of a list.
 TURNS = 8
-#: Shingles counted together before a task hands on what it saw more than once.
-CHUNK = 4_000_000
+#: Shingles of a chunk, the texts whose shingles a task sends together.
+CHUNK = 1 << 21
+#: Buckets of names for each shuffle partition, and bits of a name.
+BUCKETS = 4
+NAME_BITS = 40
 #: Bits of the filter that picks the texts to be read again, at most (eight a text below that); a fuller filter only lets
 #: more texts through.
 FILTER_BITS = 1 << 24
@@ -57,75 +62,179 @@ def set_key(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _frequent(docs: DataFrame, k: int, most: int) -> np.ndarray:
-    """Shingles that many distinct texts hold, rising by how often tasks saw them more than once: any such order of the
-    sets is right, a good one keeps lists short."""
+#: Rows of requests (bucket, names, owners) and of texts (no bucket; doc_id, set_key, n, owner) of each chunk.
+ASKED = "key long, chunk long, bucket long, names binary, owners binary, doc_id long, set_key long, n long, owner long"
+#: The same without key; of requests the shared names are left, with the class of each.
+SHARED = "chunk long, bucket long, names binary, classes binary, owners binary, doc_id long, set_key long, n long, owner long"
+KINDS = {"long": pa.int64(), "binary": pa.binary()}
+
+
+def _rows(schema: str, more: pa.Schema, size: int, /, **columns) -> pa.RecordBatch:
+    """A batch of ``size`` rows of ``schema`` and the fields ``more``; columns that aren't given are null."""
+    kinds = {c: KINDS[k] for c, k in (x.split() for x in schema.split(", "))} | {f.name: f.type for f in more}
+    made = [columns.get(c, pa.nulls(size, k)) for c, k in kinds.items()]
+    return pa.record_batch([v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(made, kinds.values(), strict=True)], list(kinds))
+
+
+def _asked(k: int, buckets: int, named: list[str]):
+    """For each chunk a row of each text, and in each bucket, a range of names, the names of the shingles of its distinct
+    sets, rising, with the number in the chunk of the set that holds them (its owner)."""
+    firsts = np.array([-(-(b << NAME_BITS) // buckets) for b in range(1, buckets)], np.uint64)
+
+    def deal(chunk, held, more):
+        names = np.concatenate(held) >> np.uint64(64 - NAME_BITS)
+        order = np.argsort(names, kind="stable")
+        owners = np.repeat(np.arange(len(held), dtype=np.int32), [len(s) for s in held])[order]
+        names = names[order]
+        edges = np.concatenate([[0], np.searchsorted(names, firsts), [len(names)]])
+        for low in range(0, buckets, 256):
+            rows = [b for b in range(low, min(buckets, low + 256)) if edges[b] < edges[b + 1]]
+            cut = [slice(edges[b], edges[b + 1]) for b in rows]
+            yield _rows(
+                ASKED, more, len(rows), key=rows, chunk=[chunk] * len(rows), bucket=rows, names=[pack_rising(names[c]) for c in cut], owners=[pack(owners[c]) for c in cut]
+            )
 
-    def count(batches):
+    def run(batches):
         shingles, held, size, seen = Shingler(k), [], 0, set()
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            more = pa.schema([batch.schema.field(c) for c in named])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                keys, sizes, owners = [], [], []
+                for text in part.column("text"):
+                    s = shingles(text.as_py())
+                    keys.append(set_key(s) if len(s) else None)
+                    sizes.append(len(s))
+                    new = len(s) and keys[-1] not in seen
+                    owners.append(len(held) if new else None)
+                    if new:
+                        seen.add(keys[-1])
+                        held.append(s)
+                        size += len(s)
+                yield _rows(
+                    ASKED, more, len(part), key=[-1 - chunk] * len(part), chunk=[chunk] * len(part),
+                    doc_id=part.column("doc_id"), set_key=keys, n=sizes, owner=owners, **{c: part.column(c) for c in named},
+                )
+                if size > CHUNK:
+                    yield from deal(chunk, held, more)
+                    held, size, seen, chunk = [], 0, set(), chunk + 1
+        if held:
+            yield from deal(chunk, held, more)
+
+    return run
+
 
-        def flush():
-            t, n = np.unique(np.concatenate(held), return_counts=True)
-            t, n = t[n > 1], n[n > 1]
-            return pa.record_batch([pa.array(t.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+def _shared(hot: int, named: list[str]):
+    """Of the requests of each bucket the names that more than one set holds, with a class that rises with the number of
+    those sets. Rows come sorted by bucket; rows of texts, behind all buckets, go on as they are."""
+
+    def done(bucket, rows, more):
+        names = [unpack_rising(n) for _, n, _ in rows]
+        _, at, count = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
+        classes = 1 + (4 * np.log2(np.maximum(np.minimum(count, hot), 1))).astype(np.int64)
+        ends = np.cumsum([0, *map(len, names)])
+        out = []
+        for (chunk, _, owners), own, s, e in zip(rows, names, ends[:-1], ends[1:], strict=True):
+            many = count[at[s:e]] > 1
+            if many.any():
+                out.append((chunk, pack_rising(own[many]), pack(classes[at[s:e][many]]), pack(unpack(owners)[many])))
+        for s in range(0, len(out), 256):
+            chunk, blobs, ranks, owners = zip(*out[s : s + 256], strict=True)
+            yield _rows(SHARED, more, len(chunk), chunk=chunk, bucket=[bucket] * len(chunk), names=blobs, classes=ranks, owners=owners)
 
+    def run(batches):
+        now, held = None, []
         for batch in batches:
-            for text in batch.column(0):
-                s = shingles(text.as_py())
-                if not len(s) or (name := set_key(s)) in seen:
-                    continue
-                seen.add(name)
-                held.append(s)
-                size += len(s)
-                if size > CHUNK:
-                    yield flush()
-                    held, size, seen = [], 0, set()
+            more = pa.schema([batch.schema.field(c) for c in named])
+            asked = batch.filter(batch.column("bucket").is_valid())
+            for bucket, *row in zip(*(asked.column(c).to_pylist() for c in ("bucket", "chunk", "names", "owners")), strict=True):
+                if bucket != now:
+                    if held:
+                        yield from done(now, held, more)
+                    now, held = bucket, []
+                held.append(row)
+            texts = batch.filter(batch.column("bucket").is_null())
+            if texts.num_rows:
+                yield _rows(SHARED, more, texts.num_rows, **{c: texts.column(c) for c in ("chunk", "doc_id", "set_key", "n", "owner", *named)})
         if held:
-            yield flush()
+            yield from done(now, held, more)
 
-    counts = small_batches(docs).select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    table = most_frequent(staged(counts.where("n > 8"), "hot", few=True), most).toArrow()
-    token, n = (table[c].to_numpy() for c in ("token", "n"))
-    return token[np.lexsort((token, n))]
+    return run
 
 
-def _prefixes(docs: DataFrame, k: int, hot: np.ndarray, percent: int, row: str | None = None) -> DataFrame:
-    """doc_id, key, n and the prefix of each text's set: rare shingles first by hash, then frequent ones by count."""
-    names = np.ascontiguousarray(hot, np.int64).view(np.uint64)
-    order = np.argsort(names)
-    shared = docs.sparkSession.sparkContext.broadcast((names[order], order))
+def _cut(percent: int, named: list[str]):
+    """A row of each text: doc_id, key, n, the number of shingles that no other set holds (skip), and of the first text of
+    each set in a chunk the rest of the set's prefix. Rows come sorted by chunk."""
+
+    def done(texts, answers):
+        texts = pa.Table.from_batches(texts).combine_chunks().to_batches()[0]
+        sizes, owner = texts.column("n").to_numpy(), texts.column("owner")
+        first = np.flatnonzero(owner.is_valid().to_numpy(zero_copy_only=False))
+        n = sizes[first]  # owners are numbered as their texts come
+        name, rank, own = (np.concatenate([np.empty(0, np.uint64), *x]) for x in (zip(*answers, strict=True) if answers else ([], [], [])))
+        order = np.lexsort((name, rank, own))
+        name, own = name[order].view(np.int64), own[order].astype(np.int64)
+        many = np.bincount(own, minlength=len(n))
+        skip = n - many
+        some = np.clip(n - (percent * n + 99) // 100 + 1 - skip, 0, many)
+        start = np.cumsum(many) - many
+        prefix, skips = [b""] * len(sizes), np.zeros(len(sizes), np.int64)
+        skips[first] = skip
+        for i, s, e in zip(first.tolist(), start.tolist(), (start + some).tolist(), strict=True):
+            prefix[i] = name[s:e].tobytes()
+        return pa.record_batch(
+            [*(texts.column(c) for c in ("doc_id", "set_key", "n")), pa.array(skips), pa.array(prefix, pa.binary()), *map(texts.column, named)],
+            ["doc_id", "key", "n", "skip", "prefix", *named],
+        )
 
     def run(batches):
-        names, rank = shared.value
-        shingles = Shingler(k)
+        now, texts, answers = None, [], []
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                keys, sizes, blobs = [], [], []
-                for text in part.column("text"):
-                    s = shingles(text.as_py())
-                    n = len(s)
-                    keys.append(set_key(s) if n else None)
-                    sizes.append(n)
-                    if n and len(names):
-                        i = np.minimum(np.searchsorted(names, s), len(names) - 1)
-                        common = names[i] == s
-                        if common.any():
-                            s = np.concatenate([s[~common], s[common][np.argsort(rank[i[common]], kind="stable")]])
-                    blobs.append(s[: n - (percent * n + 99) // 100 + 1].tobytes() if n else b"")
-                yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary()), *map(part.column, named)],
-                    ["doc_id", "key", "n", "prefix", *named],
-                )
+            chunk = batch.column("chunk").to_numpy()
+            cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if s == e:
+                    continue
+                if chunk[s] != now:
+                    if texts:
+                        yield done(texts, answers)
+                    now, texts, answers = chunk[s], [], []
+                part = batch.slice(s, e - s)
+                asked = part.filter(part.column("bucket").is_valid())
+                for names, classes, owners in zip(*(asked.column(c).to_pylist() for c in ("names", "classes", "owners")), strict=True):
+                    answers.append((unpack_rising(names), unpack(classes), unpack(owners)))
+                own = part.filter(part.column("bucket").is_null())
+                if own.num_rows:
+                    texts.append(own)
+        if texts:
+            yield done(texts, answers)
 
+    return run
+
+
+def _prefixes(docs: DataFrame, k: int, hot: int, percent: int, row: str | None = None) -> DataFrame:
+    """doc_id, key, n, skip and the prefix of each text's set, as names, in the order of how many sets hold them: first
+    those that only one set of all texts holds, ``skip`` in number. They can't be shared, and are left out.
+
+    Tasks lay texts into chunks and send the names of their shingles to buckets once, packed; a bucket counts them, and
+    sends those that are shared back to the chunks. A name is the upper NAME_BITS bits of a hash: shingles that share one
+    count as shared, which lets more pairs through and loses none.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = [row] if row else []
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *named).mapInArrow(
-        run, "doc_id long, key long, n long, prefix binary" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in named)
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in named)
+    whole = settled(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *named))
+    asked = whole.mapInArrow(_asked(k, BUCKETS * parts, named), ASKED + more).repartition(parts, "key").sortWithinPartitions(F.asc_nulls_last("bucket"))
+    shared = asked.drop("key").mapInArrow(_shared(hot, named), SHARED + more).repartition(parts, "chunk")
+    # the texts of a chunk stay in the order of their owners' numbers
+    return shared.sortWithinPartitions("chunk", F.asc_nulls_last("bucket"), F.asc_nulls_last("owner")).mapInArrow(
+        _cut(percent, named), "doc_id long, key long, n long, skip long, prefix binary" + more
     )
 
 
 def _postings(batches):
-    """token, place (position in the upper, set size in the lower 32 bits), key."""
+    """token (a name), place (position in the upper, set size in the lower 32 bits), key."""
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
             part = batch.slice(at, 2048)
@@ -133,7 +242,8 @@ def _postings(batches):
             size = np.array([len(t) for t in tokens])
             if not size.sum():
                 continue
-            pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            skip = part.column("skip").to_numpy(zero_copy_only=False)
+            pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - skip, size)
             n = np.repeat(part.column("n").to_numpy(zero_copy_only=False), size)
             key = np.repeat(part.column("key").to_numpy(zero_copy_only=False).astype(np.int64), size)
             yield pa.record_batch(
@@ -289,6 +399,14 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return done.withColumn("linked", (100 + percent) * F.col("common") >= percent * F.col("total"))
 
 
+def _checked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, bits: int, percent: int) -> DataFrame:
+    """The verified overlaps of ``pairs``, staged; the sets don't outlive them."""
+    sets = _sets_of(docs, pairs, nodes, k, bits)
+    links = staged(_links(pairs, sets, percent), "links", few=True)
+    drop_staged(sets)
+    return links
+
+
 def jaccard_components(
     docs: DataFrame, k: int = 5, percent: int = 75, hot: int = HOT, small: int = SMALL, bits: int = FILTER_BITS, row: str | None = None
 ) -> DataFrame:
@@ -303,7 +421,8 @@ def jaccard_components(
     where no id is known; repeated rows share a component; other columns are
     ignored; no rows give no rows. Shingles and sets are named by 64-bit hashes.
 
-    Candidates come from an index of set prefixes, rare shingles first. Lists
+    Candidates come from an index of set prefixes, rare shingles of all texts
+    first; shingles that one set alone holds are in no list. Lists
     of at most ``small`` sets give all pairs. A longer list gives pairs with
     its hub only; sets that prove linked need no more answers. While a list
     still spans several components, the sets outside its largest one are
@@ -311,7 +430,7 @@ def jaccard_components(
     in each turn after, except where sizes, positions or the distances to the
     hub exclude a pair.
     """
-    prefixes = staged(_prefixes(docs, k, _frequent(docs, k, hot), percent, row), "prefixes")
+    prefixes = staged(_prefixes(docs, k, hot, percent, row), "prefixes")
     named_rows = [row] if row else []
     rows = staged(prefixes.select("doc_id", "key", "n", *named_rows), "rows")
     full = rows.where("key is not null")
@@ -320,7 +439,7 @@ def jaccard_components(
     )
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = prefixes.where("key is not null").select("key", "n", "prefix").mapInArrow(_postings, "token long, place long, key long")
+    index = prefixes.where("octet_length(prefix) > 0").select("key", "n", "skip", "prefix").mapInArrow(_postings, "token long, place long, key long")
     lists = index.repartition(parts, "token").sortWithinPartitions("token", "place", "key")
     found = staged(
         lists.mapInArrow(_list_pairs(percent, small), "kind long, token long, place long, a long, b long"), "found"
@@ -331,7 +450,7 @@ def jaccard_components(
     )
     pairs = staged(_enough_common(found.where("kind <> 1"), entries, percent), "pairs", few=True)
     drop_staged(found)
-    checked = staged(_links(pairs, _sets_of(docs, pairs, nodes, k, bits), percent), "links", few=True)
+    checked = _checked(docs, pairs, nodes, k, bits, percent)
     labels = connected_components(checked.where("linked").select("a", "b"))
     known, asked, most = checked, None, 16 * small
     while (turn := _askers(entries, labels, known, asked, most)) is not None:
@@ -339,7 +458,7 @@ def jaccard_components(
         most *= TURNS
         pairs = _cross_pairs(live, askers, known, percent)
         if pairs.limit(1).count():
-            again = staged(_links(pairs, _sets_of(docs, pairs, nodes, k, bits), percent), "links", few=True)
+            again = _checked(docs, pairs, nodes, k, bits, percent)
             known = staged(known.unionByName(again), "links", few=True)
             if again.where("linked").limit(1).count():
                 labels = connected_components(known.where("linked").select("a", "b"))

@@ -676,6 +676,24 @@ def test_jaccard_of_a_long_list_of_unlike_sets(spark, monkeypatch):
     assert len(turns) < 6
 
 
+def test_jaccard_lists_hold_shared_shingles_only(spark, monkeypatch):
+    """Sets with more shingles of their own than a prefix takes stand in no list, however many sets share the rest."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{passage} " + " ".join(f"own{i}x{j}" for j in range(60)), "en", "a") for i in range(40)]
+    rows += [(100, rows[0][1] + " end", "en", "a")]
+    sizes, real = {}, jaccard.staged
+
+    def counted(df, name, few=False):
+        out = real(df, name, few)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", counted)
+    got = jaccard.jaccard_components(documents(spark, rows), hot=20).collect()
+    assert sorted((g["doc_id"], g["n_shingles"], g["component_id"]) for g in got) == sorted(brute_jaccard(rows))
+    assert sizes["entries"] == 0 and 0 < sizes["found"] <= 31  # what the two alike share in their prefixes
+
+
 def test_long_urls_and_repeated_pages(spark):
     long = "https://" + ".".join(f"p{i}" for i in range(60)) + ".ads.example.com/en/" + "x/" * 50_000 + "?q=" + "y" * 100_000
     rows = [(1, long), (1, long), (2, "HTTP://Ads.Example.COM/de"), (2, "http://ok.example.com/en/7"), (None, "http://ads.example.com"), (3, ""), (3, None), (4, "no scheme"), (5, "://ads.example.com#f")]
