@@ -33,8 +33,9 @@ def input_lines(lines: DataFrame, uses: DataFrame, key: str) -> DataFrame:
     """The first line ``key: 1.2.3`` after each use, before the next line that is indented less than the use."""
     value = F.regexp_extract("line", rf"^\s*\Q{key}\E:\s+([0-9]+\.[0-9]+\.[0-9]+)\s*\z", 1)
     here = uses.join(lines.select("path", "line_index", "indent"), ["path", "line_index"]).select("path", "line_index", "action", F.col("indent").alias("level"))
-    # for each indent that a use of the file has: the next line with a value, and the next that is indented less
-    ahead = Window.partitionBy("path", "level").orderBy("line_index").rowsBetween(1, Window.unboundedFollowing)
+    # for each indent that a use of the file has: the next line with a value, and the next that is indented less; read from the
+    # last line up, as a frame that grows: Spark starts one that shrinks anew for each row
+    ahead = Window.partitionBy("path", "level").orderBy(F.desc("line_index")).rowsBetween(Window.unboundedPreceding, -1)
     levels = lines.join(here.select("path", "level").distinct(), "path").withColumn("value", value)
     found = F.min(F.when(F.col("value") != "", F.struct("line_index", "value"))).over(ahead)
     out = F.min(F.when((F.col("indent") < F.col("level")) & (F.trim("line") != ""), F.col("line_index"))).over(ahead)

@@ -34,3 +34,14 @@ def test_inventory(spark):
     assert {r["line"] for r in new} == {"      - uses: actions/cache@new # v10.0.1"} and len(new) == 2
     report = {r["action"]: tuple(r)[1:] for r in W.update_report(uses, W.newest_tags(tags)).collect()}
     assert report == {"actions/cache": ("3", "def", "10.0.1", "new", True), "actions/checkout": ("4.1.0", "abc", None, None, False)}
+
+
+def test_inputs_take_one_pass_over_long_files(spark):
+    """Values behind a line that is indented less are another step's; frames that shrink would be quadratic in a file's lines."""
+    text = "      - uses: a/b@r # v1\n          version: 1.2.%d\n      - uses: a/c@r # v1\n    x:\n          version: 9.9.9\n"
+    many = "".join(text % i for i in range(300)) + "      - uses: a/b@r # v1\n"
+    lines = W.workflow_lines(spark.createDataFrame([("w/a.yml", bytearray(many, "utf8")), ("w/b.yml", bytearray(FILE))], "path string, bytes binary"))
+    found = W.input_lines(lines, W.used_actions(lines), "version")
+    assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    got = {(r["action"], r["use_line"], r["line_index"], r["value"]) for r in found.where("path = 'w/a.yml'").collect()}
+    assert got == {("a/b", 5 * i, 5 * i + 1, f"1.2.{i}") for i in range(300)}
