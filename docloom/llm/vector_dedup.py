@@ -15,6 +15,8 @@ from .common import connected_components, staged
 PROJECTIONS = 48
 RECALL = 0.999
 BLOCK = 2048
+#: Projections whose collisions are counted for all pairs of a block, and rows counted at once.
+DENSE, SLAB = 24, 64
 
 
 def calibrate(cosine: float, projections: int = PROJECTIONS, recall: float = RECALL) -> tuple[float, int]:
@@ -51,32 +53,32 @@ def _compare(cosine: float, projections: int, recall: float):
             return np.empty(0, int), np.empty(0, int)
         lines = directions(x.shape[1], projections)
         px, py = x @ lines, y @ lines
-        order = np.argsort(py[:, 0], kind="stable")
-        y0 = py[order, 0]
-        found_i, found_j = [], []
-        # a pair must collide in one of the first spare + 1 projections; each is sorted and read in query-centred windows
-        seen = np.zeros((len(x), len(y)), bool)
-        for k in range(spare + 1):
-            if k:
-                order = np.argsort(py[:, k], kind="stable")
-                y0 = py[order, k]
-            lo, hi = np.searchsorted(y0, px[:, k] - width), np.searchsorted(y0, px[:, k] + width, "right")
-            n = hi - lo
-            i = np.repeat(np.arange(len(x)), n)
-            j = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-            new = ~seen[i, j]
-            i, j = i[new], j[new]
-            seen[i, j] = True
-            # the pair missed the k projections before; count its other collisions, leaving it once it can't reach the count
-            missed = np.full(len(i), k)
-            for m in range(k + 1, projections):
-                missed += np.abs(px[i, m] - py[j, m]) > width
-                if m % 4 == 0:
-                    live = missed <= spare
-                    i, j, missed = i[live], j[live], missed[live]
-            live = missed <= spare
-            found_i.append(i[live])
-            found_j.append(j[live])
+        kind = np.uint16 if len(y) < 1 << 16 else np.uint32
+        # where each row of y stands in each sorted projection, and the window that each row of x has there
+        order = np.argsort(py, axis=0, kind="stable")
+        place = np.empty(order.shape, kind)
+        np.put_along_axis(place, order, np.arange(len(y), dtype=kind)[:, None], axis=0)
+        place = np.ascontiguousarray(place.T)
+        low, wide = np.empty((projections, len(x), 1), kind), np.empty((projections, len(x), 1), kind)
+        for k in range(projections):
+            sorted_ = py[order[:, k], k]
+            lo, hi = np.searchsorted(sorted_, px[:, k] - width), np.searchsorted(sorted_, px[:, k] + width, "right")
+            low[k, :, 0], wide[k, :, 0] = lo, hi - lo
+        first = min(projections, DENSE)
+        found_i, found_j = [np.empty(0, int)], [np.empty(0, int)]
+        for s in range(0, len(x), SLAB):
+            met = np.zeros((min(SLAB, len(x) - s), len(y)), np.uint8)
+            for k in range(first):  # a place below the window wraps around, beyond its end
+                met += (place[k] - low[k, s : s + SLAB] < wide[k, s : s + SLAB]).view(np.uint8)
+            i, j = np.nonzero(met >= max(0, first - spare))
+            # the others are counted for what is left, leaving pairs once they can't reach the count
+            missed, i = first - met[i, j].astype(np.int64), i + s
+            for k in range(first, projections):
+                missed += place[k, j] - low[k, i, 0] >= wide[k, i, 0]
+                live = missed <= spare
+                i, j, missed = i[live], j[live], missed[live]
+            found_i.append(i)
+            found_j.append(j)
         return np.concatenate(found_i), np.concatenate(found_j)
 
     return run

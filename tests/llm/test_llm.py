@@ -4,8 +4,10 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -694,6 +696,25 @@ def test_jaccard_lists_hold_shared_shingles_only(spark, monkeypatch):
     assert sizes["entries"] == 0 and 0 < sizes["found"] <= 31  # what the two alike share in their prefixes
 
 
+def test_block_collisions_cost_less_than_plain_counts():
+    """The pairs of a block are those that collide often enough, for less work than comparing all projections one by one."""
+    r = np.random.default_rng(3)
+    x = r.standard_normal((2048, 64))
+    x[1024:1300] = x[:276] + 0.3 * r.standard_normal((276, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    block = pd.DataFrame({"unit": list(x)})
+    start = time.process_time()
+    i, j = vector_dedup._compare(0.93, vector_dedup.PROJECTIONS, vector_dedup.RECALL)(block, block)
+    took = time.process_time() - start
+    width, least = vector_dedup.calibrate(0.93)
+    start = time.process_time()
+    p = x @ vector_dedup.directions(64, vector_dedup.PROJECTIONS)
+    met = sum((np.abs(p[:, None, k] - p[None, :, k]) <= width).astype(int) for k in range(p.shape[1]))
+    plain = time.process_time() - start
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(*(a.tolist() for a in np.nonzero(met >= least)), strict=True))
+    assert took < plain
+
+
 def test_long_urls_and_repeated_pages(spark):
     long = "https://" + ".".join(f"p{i}" for i in range(60)) + ".ads.example.com/en/" + "x/" * 50_000 + "?q=" + "y" * 100_000
     rows = [(1, long), (1, long), (2, "HTTP://Ads.Example.COM/de"), (2, "http://ok.example.com/en/7"), (None, "http://ads.example.com"), (3, ""), (3, None), (4, "no scheme"), (5, "://ads.example.com#f")]
