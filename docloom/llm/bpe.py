@@ -16,13 +16,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack, settled, small_batches, unpack
+from .common import pack, release, released, settled, small_batches, unpack
 
 #: Longest word in bytes that is folded: the fold's work grows with the square of a word's length. Longer ones are merged on a
 #: heap, by the same rule.
 LONGEST = 256
 #: Characters of a chunk, the texts whose distinct words a task asks for together.
 CHUNK = 1 << 25
+#: Texts and words of a row of texts, at most, but for a longer text; bytes of a batch that a worker is handed.
+TEXTS, WORDS, BATCH = 256, 1 << 18, 1 << 22
 #: Buckets of words for each shuffle partition.
 BUCKETS = 4
 NO_RANK = (1 << 31) - 1
@@ -151,9 +153,8 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _chunks(batches, find):
-    """For each chunk: doc_ids, the words of all texts end to end as numbers, the number of words of each text, and the
-    number of each distinct word."""
-    ids, numbers, sizes, place, size = [], [], [], {}, 0
+    """For each chunk: doc_ids, the words of each text as numbers, and the number of each distinct word."""
+    ids, numbers, place, size = [], [], {}, 0
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
@@ -163,13 +164,24 @@ def _chunks(batches, find):
                     place[w] = len(place)
                 ids.append(i)
                 numbers.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
-                sizes.append(len(words))
                 size += len(text or "") + 1
                 if size > CHUNK:
-                    yield ids, np.concatenate(numbers), np.array(sizes), place
-                    ids, numbers, sizes, place, size = [], [], [], {}, 0
+                    yield ids, numbers, place
+                    ids, numbers, place, size = [], [], {}, 0
     if ids:
-        yield ids, np.concatenate(numbers), np.array(sizes), place
+        yield ids, numbers, place
+
+
+def _runs(numbers: list[np.ndarray]):
+    """Bounds of the runs of texts that share a row."""
+    start, held = 0, 0
+    for i, words in enumerate(numbers):
+        if i > start and (i - start == TEXTS or held + len(words) > WORDS):
+            yield start, i
+            start, held = i, 0
+        held += len(words)
+    if numbers:
+        yield start, len(numbers)
 
 
 def _by_bucket(words, buckets: int) -> list[list[bytes]]:
@@ -207,7 +219,7 @@ def _asked(pattern: str, buckets: int):
 
         find = regex.compile(pattern).findall
         part = TaskContext.get().partitionId() << 32
-        for turn, (ids, words, sizes, place) in enumerate(_chunks(batches, find)):
+        for turn, (ids, numbers, place) in enumerate(_chunks(batches, find)):
             chunk = part + turn
             by_bucket = _by_bucket(place, buckets)
             rows = [(b, *_pack_words(ws)) for b, ws in enumerate(by_bucket) if ws]
@@ -215,14 +227,19 @@ def _asked(pattern: str, buckets: int):
                 bucket, lengths, blobs, size = zip(*rows[s : s + 256], strict=True)
                 yield _rows(ASKED, len(bucket), key=bucket, chunk=[chunk] * len(bucket), bucket=bucket, lengths=lengths, words=blobs, size=size)
             met = np.fromiter((place[w.decode()] for ws in by_bucket for w in ws), np.int64, len(place))  # numbers in the order of the requests
-            rank = np.argsort(-np.bincount(words, minlength=len(place))[met], kind="stable")
+            del by_bucket, rows
+            met_often = np.zeros(len(place), np.int64)
+            for s, e in _runs(numbers):
+                met_often += np.bincount(np.concatenate(numbers[s:e]), minlength=len(place))
+            rank = np.argsort(-met_often[met], kind="stable")
             yield _rows(ASKED, 1, key=[-1 - chunk], chunk=[chunk], numbers=[pack(rank)])
             number = np.empty(len(place), np.int32)
             number[met[rank]] = np.arange(len(place), dtype=np.int32)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            for s in range(0, len(ids), 256):
-                e = min(s + 256, len(ids))
-                yield _rows(ASKED, 1, key=[-1 - chunk], chunk=[chunk], counts=[pack(sizes[s:e])], numbers=[pack(number[words[ends[s] : ends[e]]])], doc_ids=[ids[s:e]])
+            place.clear()
+            release()
+            for s, e in _runs(numbers):
+                sizes = np.fromiter(map(len, numbers[s:e]), np.int64, e - s)
+                yield _rows(ASKED, 1, key=[-1 - chunk], chunk=[chunk], counts=[pack(sizes)], numbers=[pack(number[np.concatenate(numbers[s:e])])], doc_ids=[ids[s:e]])
 
     return run
 
@@ -360,14 +377,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    whole = settled(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    whole = settled(small_batches(docs, size=BATCH).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     shared = spark.sparkContext.broadcast(ranks)
-    asked = whole.mapInArrow(_asked(pattern, BUCKETS * parts), ASKED).repartition(parts, "key").sortWithinPartitions(F.asc_nulls_last("bucket"), "chunk")
-    words = asked.drop("key").mapInArrow(_distinct(shared), DISTINCT)
+    asked = whole.mapInArrow(released(_asked(pattern, BUCKETS * parts)), ASKED).repartition(parts, "key").sortWithinPartitions(F.asc_nulls_last("bucket"), "chunk")
+    words = asked.drop("key").mapInArrow(released(_distinct(shared)), DISTINCT)
     folded = words.withColumn("ids", F.coalesce("ids", fold_merges(F.col("bytes"), PairTable(ranks)))).drop("bytes")
-    answered = folded.mapInArrow(_answers, ANSWERED).repartition(parts, "chunk")
+    answered = folded.mapInArrow(released(_answers), ANSWERED).repartition(parts, "chunk")
     in_order = [F.col("chunk"), F.asc_nulls_last("bucket"), F.col("counts").isNotNull()]
-    return answered.sortWithinPartitions(*in_order).mapInArrow(_assemble, "doc_id long, ids array<int>")
+    return answered.sortWithinPartitions(*in_order).mapInArrow(released(_assemble), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

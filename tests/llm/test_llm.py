@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,40 @@ def test_bpe(spark, monkeypatch, chunk):
     assert bpe.encode(documents(spark, rows).limit(0), table, PATTERN).count() == 0
 
 
+def test_bpe_rows_and_batches_are_bounded(spark, monkeypatch):
+    """Long texts share no row of texts beyond its words, and a worker is handed few large rows at once; no text is lost."""
+    monkeypatch.setattr(bpe, "WORDS", 100)
+    sizes = [*[40] * 5, 900, 0, *[1] * 300, 99, 100, 101]
+    held = [sizes[s:e] for s, e in bpe._runs([np.zeros(n, np.int32) for n in sizes])]
+    assert sum(held, []) == sizes and list(bpe._runs([])) == []
+    assert all(len(h) == 1 or len(h) <= bpe.TEXTS and sum(h) <= 100 for h in held) and [40, 40] in held and [900] in held
+
+    bpe.encode(documents(spark, ROWS), ranks(), PATTERN)
+
+    def bytes_of(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    large = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).cast("binary").alias("blob"))
+    got = large.mapInArrow(bytes_of, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 40 and max(r["size"] for r in got) <= bpe.BATCH + (1 << 21)
+
+
+def test_released_gives_memory_back():
+    """What a task has freed does not stay with its worker, though something above it is still held."""
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    held = []
+
+    def run(batches):
+        blocks = [bytearray(b"x" * 60_000) for _ in range(3_000)]
+        held.extend(blocks[::300])
+        yield from batches
+
+    before = resident()
+    assert list(common.released(run)([1, 2])) == [1, 2]
+    assert resident() - before < 60_000_000 and len(held) == 10
+
+
 def test_pair_table():
     """Every pair of pieces has its rank at its slot, every other none."""
     table = ranks()
