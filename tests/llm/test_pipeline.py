@@ -89,6 +89,17 @@ def test_tokenizing_stage_and_run(spark, tmp_path):
     assert got == sorted((i, len(enc.encode_ordinary(t or ""))) for i, t, _ in rows)
 
 
+def test_tokenizing_stage_hands_workers_few_bytes(spark):
+    """The last stage bounds its batches by bytes, whatever the session had, and loses no row."""
+    pytest.importorskip("public_tokenizers")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, "64m")
+    rows = [(i, "word " * 20_000, "a") for i in range(40)]
+    got = STAGE["byte-level BPE encoding and decoding"](spark, table(spark, rows), None)
+    assert spark.conf.get(name) == f"{P.bpe.BATCH}b"
+    assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == list(range(40))
+
+
 def test_stages_are_in_order():
     assert [n for n, _ in P.STAGES][0] == "toxicity" and len(P.STAGES) == 5 and toxicity.WINDOW == 16
 
