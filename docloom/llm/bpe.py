@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 import random
 import zlib
 from collections import defaultdict
@@ -13,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pack, release, released, settled, small_batches, unpack
@@ -80,10 +79,11 @@ class PairTable:
                 taken[i], self.keys[i], self.values[i] = 1, key, pairs[key]
         return True
 
-    def literal(self) -> Column:
-        """The table as one literal struct."""
-        made = {"shifts": self.shifts.tolist(), "keys": self.keys.tolist(), "values": self.values.tolist(), "single": self.single}
-        return F.from_json(F.lit(json.dumps(made, separators=(",", ":"))), "shifts array<bigint>, keys array<bigint>, values array<int>, single array<int>")
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """The table as one struct in one row."""
+        made = {"shifts": (self.shifts, pa.int64()), "keys": (self.keys, pa.int64()), "values": (self.values, pa.int32()), "single": (self.single, pa.int32())}
+        columns = {c: pa.array([np.asarray(v).tolist()], pa.list_(kind)) for c, (v, kind) in made.items()}
+        return spark.createDataFrame(pa.table(columns)).select(F.struct(*made))
 
     def rank(self, table: Column, left: Column, right: Column) -> Column:
         """Rank of two pieces as one; NO_RANK if they are none, or the right one is null."""
@@ -92,14 +92,24 @@ class PairTable:
         return F.when(F.get(table["keys"], slot()) == key, F.get(table["values"], slot())).otherwise(F.lit(NO_RANK))
 
 
-def fold_merges(word: Column, pairs: PairTable) -> Column:
+def with_table(df: DataFrame, name: str, table: DataFrame) -> DataFrame:
+    """``df`` with the one value of ``table`` as the column ``name``, for one expression above that names it once: Spark puts
+    the subquery itself in the name's place then, so that no row holds a copy.
+
+    A literal's text would stand in all texts of the plan, which Spark's listeners keep on the driver for each query that
+    ran and are sent anew each time that the plan is adapted: megabytes each.
+    """
+    return df.withColumn(name, table.scalar())
+
+
+def fold_merges(word: Column, table: Column, pairs: PairTable) -> Column:
     """Ids of a word (array of its bytes as numbers) by folding ranked merges: the lowest-ranked adjacent pair first, the
-    leftmost of equals.
+    leftmost of equals. ``table``: a column with the value of ``pairs.frame``.
 
     The state is the pieces' ranks, which are their ids, and the rank of each piece with the next. The table is bound to a
     variable first: each place that named it would hold a copy of its own.
     """
-    return F.get(F.transform(F.array(pairs.literal()), lambda t: _fold(word, t, pairs)), 0)
+    return F.get(F.transform(F.array(table), lambda t: _fold(word, t, pairs)), 0)
 
 
 def _fold(word: Column, table: Column, pairs: PairTable) -> Column:
@@ -381,7 +391,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(ranks)
     asked = whole.mapInArrow(released(_asked(pattern, BUCKETS * parts)), ASKED).repartition(parts, "key").sortWithinPartitions(F.asc_nulls_last("bucket"), "chunk")
     words = asked.drop("key").mapInArrow(released(_distinct(shared)), DISTINCT)
-    folded = words.withColumn("ids", F.coalesce("ids", fold_merges(F.col("bytes"), PairTable(ranks)))).drop("bytes")
+    pairs = PairTable(ranks)
+    held = with_table(words, "table", pairs.frame(spark))
+    folded = held.withColumn("ids", F.coalesce("ids", fold_merges(F.col("bytes"), F.col("table"), pairs))).drop("bytes", "table")
     answered = folded.mapInArrow(released(_answers), ANSWERED).repartition(parts, "chunk")
     in_order = [F.col("chunk"), F.asc_nulls_last("bucket"), F.col("counts").isNotNull()]
     return answered.sortWithinPartitions(*in_order).mapInArrow(released(_assemble), "doc_id long, ids array<int>")
@@ -396,6 +408,9 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     pieces = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, i in ranks.items():
         pieces[i] = piece.decode("latin-1")
-    table = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
+    table, taken = "pieces", {c.lower() for c in encoded.columns}
+    while table in taken:
+        table += "_"
+    held = with_table(encoded, table, encoded.sparkSession.createDataFrame(pa.table({"pieces": pa.array([pieces], pa.list_(pa.string()))})))
     text = F.array_join(F.transform(F.coalesce("ids", F.array().cast("array<int>")), lambda i: F.get(table, i)), "")
-    return encoded.withColumn("decoded", F.encode(text, "ISO-8859-1"))
+    return held.withColumn("decoded", F.encode(text, "ISO-8859-1")).drop(table)

@@ -100,6 +100,22 @@ def test_tokenizing_stage_hands_workers_few_bytes(spark):
     assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == list(range(40))
 
 
+def test_tokenizing_stage_keeps_its_tables_out_of_the_plan(spark):
+    """The driver keeps the texts of plans: they don't hold the tables of ranks and pieces, and neither do the rows."""
+    pytest.importorskip("public_tokenizers")
+    done = STAGE["byte-level BPE encoding and decoding"](spark, table(spark, corpus()), None)
+    plan = done._jdf.queryExecution()
+    texts = [p.toString() for p in (plan.analyzed(), plan.optimizedPlan(), plan.executedPlan())]
+    assert max(map(len, texts)) < 100_000
+    assert not [t for t in texts[1:] if re.search(r"AS (table|pieces)#", t)] and "scalar-subquery" in texts[1]
+
+
+def test_decoding_beside_columns_of_the_same_name(spark):
+    rows = spark.createDataFrame([(1, [1, 0, 2], "x", 5), (2, None, "y", 6), (3, [9], "z", 7)], "doc_id long, ids array<int>, Pieces string, pieces_ int")
+    got = P.bpe.decode(rows, {b"a": 0, b"\xff\x00": 1, b"": 2}).orderBy("doc_id").collect()
+    assert [(*r[:1], *r[2:]) for r in got] == [(1, "x", 5, b"\xff\x00a"), (2, "y", 6, b""), (3, "z", 7, b"")]
+
+
 def test_stages_are_in_order():
     assert [n for n, _ in P.STAGES][0] == "toxicity" and len(P.STAGES) == 5 and toxicity.WINDOW == 16
 
